@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vitalstream.sources.tables import materialise
+
 
 def q(name: str) -> str:
     """A column name quoted for SQL text."""
@@ -17,13 +19,18 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFra
 
     Without keys the summary has one row and is read as a scalar subquery: it
     is computed once and costs neither a join nor a shuffle of ``df``. With
-    keys it is a left equi-join whose strategy is left to adaptive execution.
+    keys it is stored first, so that the planner knows its true size: a small
+    one is broadcast and ``df`` stays where it is, a large one is joined by a
+    shuffle that adaptive execution splits at hot keys.
     """
     names = [c for c in stats.columns if c not in keys]
     if keys:
-        return df.join(stats, list(keys), "left")
+        return df.join(materialise(stats, "summary"), list(keys), "left")
+    # One subquery column, taken apart in a second step: a subquery per column
+    # would multiply the plan when summaries build on each other.
     cell = stats.select(F.struct(*names).alias("cell")).scalar()
-    return df.withColumns({c: cell.getField(c) for c in names})
+    kept = [q(c) for c in df.columns if c not in names]
+    return df.withColumn("__cell", cell).selectExpr(*kept, *[f"__cell.{q(c)} AS {q(c)}" for c in names])
 
 
 def totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:

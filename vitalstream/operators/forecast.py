@@ -79,6 +79,8 @@ def fit_forecast(numbered: DataFrame, cfg: ForecastConfig = ForecastConfig(), by
         .withColumn(POS, F.rint(F.col("j") * (F.col("history") - 1) / F.col("count")).cast("bigint"))
     )
     at = ratio(F.col("us") - F.col("t0"), F.col("span"))
+    # Stored, so that their known size lets the planner leave the rows in place.
+    marks = materialise(marks, "marks")
     points = marks.join(train.select(*by, POS, "us"), [*by, POS]).groupBy(*by).agg(
         F.sort_array(F.collect_list(at)).alias("changepoints")
     )
@@ -88,6 +90,8 @@ def fit_forecast(numbered: DataFrame, cfg: ForecastConfig = ForecastConfig(), by
         "span": F.greatest("span", F.lit(1.0)),
         "y_scale": F.when(F.col("y_scale") > 0, F.col("y_scale")).otherwise(1.0),
     })
+    # One small row per series; it is joined to the rows and to the solution.
+    points = materialise(points, "changepoints")
     rows = attach(train.select(*by, "us", "y"), points.select(*by, "t0", "span", "y_scale", "changepoints"), by)
     order, size = cfg.fourier_order, 2 + cfg.n_changepoints + 2 * cfg.fourier_order + 1
     width = cfg.n_changepoints

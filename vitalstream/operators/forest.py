@@ -14,13 +14,15 @@ from vitalstream.config import ForestConfig
 from vitalstream.functions.flags import chronological, flag, min_max
 from vitalstream.functions.quantiles import exact_quantiles
 from vitalstream.functions.summary import attach, long_rows, q
-from vitalstream.operators.blocks import POS, with_length
+from vitalstream.operators.blocks import POS, task_count, with_length
 from vitalstream.sources.tables import require_table, write_table
 
 NODE_SCHEMA = "tree int, slot int, feature int, threshold double, path double, n int, depth int"
 META_SCHEMA = ("features array<string>, depth int, max_samples int, contamination double, "
                "threshold double, score_min double, score_max double")
 SCORE = "raw_score"
+# Hash values are compared as numbers below this one.
+RESOLUTION = 1 << 53
 # Rows walked down the trees at a time: keeps the working arrays in cache.
 CHUNK = 4096
 
@@ -72,14 +74,13 @@ def sample_for_trees(
     """
     pair_chance = min(1.0, 2.0 * size / max(n, 1))
     row_chance = min(1.0, trees * pair_chance)
-    resolution = 1 << 53
-    row_hash = F.pmod(F.xxhash64(*row_key, F.lit(seed)), F.lit(resolution))
-    kept = df.where(row_hash < F.lit(int(row_chance * resolution)))
-    offered = kept.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    ticket = F.pmod(F.xxhash64(F.col("tree"), *row_key, F.lit(seed + 1)), F.lit(resolution))
-    return offered.withColumn("ticket", ticket).where(
-        F.col("ticket") < F.lit(int(pair_chance / row_chance * resolution))
-    )
+    key = ", ".join(q(c) for c in row_key)
+    ticket = f"pmod(xxhash64({{tree}}, {key}, {seed + 1}), {RESOLUTION})"
+    kept = df.where(f"pmod(xxhash64({key}, {seed}), {RESOLUTION}) < {int(row_chance * RESOLUTION)}L")
+    wanted = f"{ticket.format(tree='t')} < {int(pair_chance / row_chance * RESOLUTION)}L"
+    # The list of trees is cut down before rows are copied for it.
+    offers = F.expr(f"explode(filter(sequence(0, {trees - 1}), t -> {wanted}))")
+    return kept.withColumn("tree", offers).withColumn("ticket", F.expr(ticket.format(tree="tree")))
 
 
 def fit_forest(
@@ -102,10 +103,14 @@ def fit_forest(
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(rows["tree"].iloc[0])
         names = [f"f{i}" for i in range(width)]
-        chosen = rows.sort_values(["ticket", *names]).head(size)
+        # Equal tickets mean equal row keys; then the values decide.
+        order = ["ticket"] if rows["ticket"].is_unique else ["ticket", *names]
+        chosen = rows.sort_values(order).head(size)
         return _grow_tree(chosen[names].to_numpy(), tree, depth, seed)
 
-    nodes = offered.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+    # An explicit number of tasks: the samples are small, the work on them is not.
+    tasks = min(cfg.n_estimators, task_count(train))
+    nodes = offered.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
     # At most n_estimators x 2^(depth+1) small rows: pinned so that every use sees the same trees.
     grown = train.sparkSession.createDataFrame(nodes.toPandas(), NODE_SCHEMA)
     return ForestModel(features, grown, depth, size, cfg.contamination)
@@ -141,14 +146,13 @@ def _forest_arrays(nodes: pd.DataFrame, depth: int) -> tuple[np.ndarray, np.ndar
     feature = np.zeros((trees, inner), dtype=np.intp)
     cut = np.full((trees, inner), np.inf)
     path = np.zeros((trees, leaves))
-    for row in nodes.itertuples(index=False):
-        if row.feature >= 0:
-            feature[row.tree, row.slot], cut[row.tree, row.slot] = row.feature, row.threshold
-        else:
-            slot = row.slot
-            for _ in range(depth - row.depth):
-                slot = 2 * slot + 1
-            path[row.tree, slot - inner] = row.path
+    split = nodes[nodes["feature"] >= 0]
+    feature[split["tree"], split["slot"]] = split["feature"]
+    cut[split["tree"], split["slot"]] = split["threshold"]
+    ends = nodes[nodes["feature"] < 0]
+    # Going left from slot s for k levels leads to slot (s + 1) * 2^k - 1.
+    last = (ends["slot"] + 1) * 2 ** (depth - ends["depth"]) - 1
+    path[ends["tree"], last - inner] = ends["path"]
     return feature, cut, path
 
 

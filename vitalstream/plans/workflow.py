@@ -31,11 +31,15 @@ class ForecastDetector:
         rows = clean.select(
             *keys, F.col(self.series.timestamp).alias("ds"), F.col(self.cfg.target).cast("double").alias("y")
         ).dropna("any", subset=["y"])
-        return forecast.number_series(rows, self.cfg.train_split, keys, self.series.block_rows)
+        numbered = forecast.number_series(rows, self.cfg.train_split, keys, self.series.block_rows)
+        return materialise(numbered, "series")
 
-    def fit(self, clean: DataFrame) -> "ForecastDetector":
-        fitted = forecast.fit_forecast(self._numbered(clean), self.cfg, self.series.keys)
+    def _fit(self, numbered: DataFrame) -> None:
+        fitted = forecast.fit_forecast(numbered, self.cfg, self.series.keys)
         self.model = materialise(fitted, "forecast-model")
+
+    def fit(self, clean: DataFrame) -> "ForecastDetector":
+        self._fit(self._numbered(clean))
         return self
 
     def score(self, clean: DataFrame) -> DataFrame:
@@ -44,7 +48,9 @@ class ForecastDetector:
         return forecast.forecast_and_flag(self._numbered(clean), self.model, self.cfg, self.series.keys)
 
     def run(self, clean: DataFrame) -> DataFrame:
-        return self.fit(clean).score(clean)
+        numbered = self._numbered(clean)
+        self._fit(numbered)
+        return forecast.forecast_and_flag(numbered, self.model, self.cfg, self.series.keys)
 
     def save(self, path: str) -> None:
         if self.model is None:
@@ -67,7 +73,8 @@ class ForestDetector:
 
     def fit(self, table: DataFrame, columns: list[str]) -> "ForestDetector":
         keys, ts = list(self.series.keys), self.series.timestamp
-        labelled = label_split(table, self.cfg.train_split, keys)
+        # Read twice: for sampling and for scoring.
+        labelled = materialise(label_split(table, self.cfg.train_split, keys), "forest-input")
         train = labelled.where(F.col("split") == "train")
         model = forest.fit_forest(train, columns, [*keys, POS], self.cfg)
         self.scored = materialise(forest.score_rows(model, labelled, [*keys, POS, ts, "split"]), "forest-scores")

@@ -39,7 +39,8 @@ def write_table(
 ) -> None:
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        # CSV keeps microseconds only when told to.
+        writer = writer.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
