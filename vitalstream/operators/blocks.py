@@ -19,6 +19,8 @@ from vitalstream.functions.timeline import floor_div
 POS = "pos"
 BLOCK = "block"
 HALO = "is_halo"
+# Below this many bytes per core a table is small.
+SMALL_SPLIT = 32 << 20
 # Blocks per group when summaries are carried over the blocks of a series.
 FANOUT = 4096
 
@@ -27,6 +29,19 @@ def task_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Put a small table on all cores before costly work per row.
+
+    A small table often sits in one file or row group and would keep one task
+    busy. A large one has many splits already and is left where it is.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SMALL_SPLIT else df
+
+
 def by_block(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(*[F.col(c) for c in (*keys, BLOCK)])
 

@@ -19,7 +19,7 @@ from vitalstream.config import ForecastConfig
 from vitalstream.functions.flags import chronological, flag, ratio
 from vitalstream.functions.summary import attach, q, totals
 from vitalstream.functions.timeline import DAY_US, micros
-from vitalstream.operators.blocks import POS, number_rows
+from vitalstream.operators.blocks import POS, number_rows, spread
 from vitalstream.operators.clean import require_columns
 from vitalstream.sources.tables import materialise, require_table, write_table
 
@@ -125,7 +125,7 @@ def fit_forecast(numbered: DataFrame, cfg: ForecastConfig = ForecastConfig(), by
         if open_sums:
             yield emit()
 
-    summed = rows.mapInPandas(grams, gram_schema).groupBy(*by, "i", "j").agg(F.sum("g").alias("g"))
+    summed = spread(rows).mapInPandas(grams, gram_schema).groupBy(*by, "i", "j").agg(F.sum("g").alias("g"))
     solve_schema = T.StructType(key_fields + [
         T.StructField("slope", T.DoubleType()), T.StructField("intercept", T.DoubleType()),
         T.StructField("deltas", T.ArrayType(T.DoubleType())), T.StructField("season", T.ArrayType(T.DoubleType())),

@@ -14,7 +14,7 @@ from vitalstream.config import ForestConfig
 from vitalstream.functions.flags import chronological, flag, min_max
 from vitalstream.functions.quantiles import exact_quantiles
 from vitalstream.functions.summary import attach, long_rows, q
-from vitalstream.operators.blocks import POS, task_count, with_length
+from vitalstream.operators.blocks import POS, spread, task_count, with_length
 from vitalstream.sources.tables import require_table, write_table
 
 NODE_SCHEMA = "tree int, slot int, feature int, threshold double, path double, n int, depth int"
@@ -94,7 +94,7 @@ def fit_forest(
     size = min(cfg.max_samples, n)
     depth = max(1, math.ceil(math.log2(max(size, 2))))
     columns = [F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)]
-    keyed = train.select(*columns, *[F.col(c).alias(f"k{i}") for i, c in enumerate(row_key)])
+    keyed = spread(train.select(*columns, *[F.col(c).alias(f"k{i}") for i, c in enumerate(row_key)]))
     keys = [f"k{i}" for i in range(len(row_key))]
     seed = cfg.random_state
     offered = sample_for_trees(keyed, keys, n, cfg.n_estimators, size, seed).drop(*keys)
@@ -180,7 +180,7 @@ def score_rows(model: ForestModel, df: DataFrame, keep: Sequence[str]) -> DataFr
     keep, depth = list(keep), model.depth
     norm = path_correction(model.max_samples) or 1.0
     names = [f"__f{i}" for i in range(len(model.features))]
-    rows = df.select(*keep, *[F.col(c).cast("double").alias(n) for c, n in zip(model.features, names)])
+    rows = spread(df.select(*keep, *[F.col(c).cast("double").alias(n) for c, n in zip(model.features, names)]))
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(SCORE, T.DoubleType())])
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,7 +225,7 @@ def flag_scores(model: ForestModel, scored: DataFrame, normalise: str = "batch")
 
 def forest_result(
     flagged: DataFrame, clean: DataFrame, vitals: Sequence[str], frac: float,
-    keys: Sequence[str] = (), ts: str = "timestamp", meta: Sequence[str] = ("was_missing",),
+    keys: Sequence[str] = (), ts: str = "timestamp", meta: Sequence[str] = ("patient_id", "was_missing"),
 ) -> DataFrame:
     """Result table with the measurements in their own units and the chronological split."""
     picked = [c for c in (*meta, *vitals) if c in clean.columns]

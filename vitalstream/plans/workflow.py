@@ -178,13 +178,12 @@ def run_preprocess(raw: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Raw readings to the clean table, kept in the shared folder."""
     named, _ = cleaning.rename_columns(raw, s.clean.column_mapping)
     parsed = cleaning.nan_to_null(cleaning.parse_timestamps(named, s.series.timestamp))
-    return materialise(
-        cleaning.clean(
-            parsed, s.series.vitals, s.clean.limits, s.clean.freq, s.clean.max_gap,
-            s.series.keys, s.series.timestamp, s.series.block_rows,
-        ),
-        "clean",
+    clean = cleaning.clean(
+        parsed, s.series.vitals, s.clean.limits, s.clean.freq, s.clean.max_gap,
+        s.series.keys, s.series.timestamp, s.series.block_rows,
     )
+    # Without keys all readings are one stream, whatever ids they came with.
+    return materialise(clean if s.series.keys else cleaning.single_stream(clean), "clean")
 
 
 def run_features(clean: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, list[str], list[Row]]:
