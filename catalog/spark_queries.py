@@ -668,7 +668,8 @@ def forecast_status(spark, sf_dir):
 def _line_forest(spark: SparkSession, sf_dir: str) -> forest.ForestModel:
     rows = _stored(spark, sf_dir, "forest")
     model = forest.fit_forest(rows, LINE_COLS, LINE_KEY)
-    return forest.calibrate(model, forest.score_rows(model, rows, LINE_KEY))
+    scores = materialise(forest.score_rows(model, rows, LINE_KEY), "forest-scores")
+    return forest.calibrate(model, scores)
 
 
 @query
@@ -717,7 +718,7 @@ def stream_scoring(spark, sf_dir):
     path, state = scratch(spark, "scored"), scratch(spark, "state")
     src = f"{sf_dir}/lineitem.parquet"
     stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(f"{sf_dir}/lineitem*.parquet")
-    start_scoring(model, stream, LINE_KEY, path, state).awaitTermination()
+    start_scoring(model, stream, LINE_KEY, path, state, tasks=spark.sparkContext.defaultParallelism).awaitTermination()
     return rounded(read_table(spark, path))
 
 

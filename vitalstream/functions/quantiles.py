@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitalstream.sources.tables import materialise
 
-# Up to this many rows the built-in aggregate may hold every distinct value.
+# Up to this many rows of a group the built-in aggregate may hold every distinct value.
 EXACT_ROWS = 2_000_000
 ACCURACY = 10_000
 
@@ -19,15 +19,16 @@ def exact_quantiles(
 ) -> DataFrame:
     """``by..., prob, value``: quantiles with linear interpolation, nulls skipped.
 
-    Small inputs use ``percentile``. That aggregate keeps all distinct values
-    of a group in one buffer, so larger inputs are narrowed first: approximate
+    Small groups use ``percentile``. That aggregate keeps all distinct values
+    of a group in one buffer, so larger groups are narrowed first: approximate
     quantiles bracket each wanted rank, exact counts confirm or correct the
     bracket, and rounds go on until a bracket holds at most ``exact_rows`` rows
     or a single value.
     """
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select(*by, value.cast("double").alias("v")).where(F.col("v").isNotNull())
-    if rows.count() <= exact_rows:
+    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= exact_rows:
         grid = rows.groupBy(*by).agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("vs"))
         pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("vs").alias("value"))
         out = grid.select(*by, F.explode(pairs).alias("z"))
@@ -83,12 +84,15 @@ def _narrow(rows: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFr
     # Bracket the rank inside the current bracket, a little wider than the
     # error of the approximate quantile.
     grid = 1.0 / ACCURACY
-    near = materialise(
-        _inside(rows, brackets, keys).groupBy(*rank, "below", "inside", "lo", "hi").agg(
+    # Ranks that share a bracket, as all do at first, share its quantiles.
+    span = [*keys, "lo", "hi"]
+    cuts = materialise(
+        _inside(rows, brackets.select(*span).distinct(), keys).groupBy(*span).agg(
             F.percentile_approx("v", F.array(*[F.lit(i / 100) for i in range(101)]), ACCURACY).alias("cuts")
         ),
         "cuts",
     )
+    near = materialise(brackets.join(cuts, span), "cuts")
     share = (F.col("k") - F.col("below")) / F.col("inside")
     first = F.greatest(F.floor((share - 2 * grid) * 100), F.lit(0)).cast("int")
     last = F.least(F.ceil((share + 2 * grid) * 100), F.lit(100)).cast("int")

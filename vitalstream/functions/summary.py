@@ -41,3 +41,14 @@ def long_rows(wide: DataFrame, ids: Sequence[str], rows: Sequence[Mapping[str, C
     """One output row per mapping and input row; meant for aggregate results."""
     structs = [F.struct(*[c.alias(n) for n, c in row.items()]) for row in rows]
     return wide.select(*ids, F.explode(F.array(*structs)).alias("r")).select(*ids, "r.*")
+
+
+def long_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``i, v``: every value of the i-th column as a row of its own.
+
+    Statistics of many columns are taken from this by ``groupBy("i")``: a
+    single aggregation of hundreds of expressions generates a method that the
+    JVM does not compile.
+    """
+    values = ", ".join(f"CAST({q(c)} AS DOUBLE)" for c in cols)
+    return df.selectExpr(f"posexplode(array({values})) AS (i, v)")

@@ -25,16 +25,18 @@ def freq_micros(freq: str) -> int:
     return int(match.group(1) or 1) * UNIT_US[match.group(2)]
 
 
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970-01-01 as BIGINT."""
+def seconds(ts: Column) -> Column:
+    """Whole seconds since 1970-01-01, rounded down, as BIGINT."""
     ts = ts.cast("timestamp_ntz")
-    return F.unix_date(ts.cast("date")).cast("bigint") * F.lit(DAY_US) + micros_of_day(ts)
+    of_day = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return F.unix_date(ts.cast("date")).cast("bigint") * 86_400 + of_day
 
 
-def micros_of_day(ts: Column) -> Column:
-    ts = ts.cast("timestamp_ntz")
-    seconds = F.hour(ts).cast("bigint") * 3600 + F.minute(ts) * 60
-    return seconds * F.lit(1_000_000) + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 as BIGINT."""
+    # Zones differ by whole seconds, so the fraction may come from any zone.
+    fraction = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1_000_000))
+    return seconds(ts) * F.lit(1_000_000) + fraction
 
 
 def from_micros(us: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from vitalstream.functions.flags import any_missing, outside, within
 from vitalstream.functions.summary import attach, long_rows, q
-from vitalstream.functions.timeline import DAY_US, floor_div, freq_micros, from_micros, micros
+from vitalstream.functions.timeline import DAY_US, floor_div, freq_micros, from_micros, seconds
 from vitalstream.operators.blocks import (
     BLOCK, FANOUT, POS, block_window, by_block, carry_nearest, carry_sum, task_count, with_block,
 )
@@ -78,16 +78,18 @@ def resample(
     is unioned to the readings before the aggregation, so filling the axis
     costs no join; a bucket with very many readings is combined map-side.
     """
-    step = freq_micros(freq)
-    readings = df.where(F.col(ts).isNotNull()).withColumn("us", micros(F.col(ts)))
-    if DAY_US % step:
+    step = freq_micros(freq) // 1_000_000
+    # Frequencies are whole seconds, so the fraction of a second never matters.
+    readings = df.where(F.col(ts).isNotNull()).withColumn("at", seconds(F.col(ts)))
+    day = DAY_US // 1_000_000
+    if day % step:
         # Buckets that do not divide a day count from midnight of the first day.
-        start = readings.agg((F.min("us") - F.pmod(F.min("us"), F.lit(DAY_US))).alias("origin"))
+        start = readings.agg((F.min("at") - F.pmod(F.min("at"), F.lit(day))).alias("origin"))
         readings = attach(readings, start)
     else:
         start = None
         readings = readings.withColumn("origin", F.lit(0).cast("bigint"))
-    readings = readings.withColumn("bucket", floor_div(F.col("us") - F.col("origin"), step))
+    readings = readings.withColumn("bucket", floor_div(F.col("at") - F.col("origin"), step))
 
     bounds = readings.groupBy(*keys).agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
     last_block = floor_div(F.col("last") - F.col("first"), block_rows)
@@ -121,7 +123,7 @@ def resample(
     return means.select(
         *keys,
         (F.col("bucket") - F.col("first")).alias(POS),
-        from_micros(at).alias(ts),
+        from_micros(at * 1_000_000).alias(ts),
         *vitals,
         any_missing(list(vitals)).alias("was_missing"),
     )

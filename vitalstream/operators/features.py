@@ -7,10 +7,11 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from vitalstream.functions.summary import long_rows, q
+from vitalstream.functions.summary import long_columns, q
 from vitalstream.functions.timeline import cos_time, sin_time
 from vitalstream.operators.blocks import BLOCK, HALO, POS, by_block, number_rows, with_halo
 from vitalstream.operators.clean import require_columns
+from vitalstream.sources.tables import materialise
 
 # Window frames are rebuilt for every row, so their cost grows with the frame
 # width. Above this many aggregate updates per row the block is rolled in
@@ -85,12 +86,8 @@ def _roll_in_arrow(
                 out[lag_name(c, k)] = values.shift(k)
         return pd.DataFrame(out)[~block[HALO]]
 
-    rolled = blocked.groupBy(*keys, BLOCK).applyInPandas(roll, schema)
-    # Arrow hands missing doubles back as NaN.
-    doubles = {f.name for f in schema if isinstance(f.dataType, T.DoubleType)}
-    return rolled.selectExpr(*[
-        f"nanvl({q(c)}, NULL) AS {q(c)}" if c in doubles else q(c) for c in schema.names
-    ])
+    # Missing values come back from Arrow as nulls.
+    return blocked.groupBy(*keys, BLOCK).applyInPandas(roll, schema)
 
 
 def add_time_features(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -123,7 +120,8 @@ def fill_features(
         raise ValueError(f"unknown null policy {policy!r}")
     if policy == "drop":
         df = df.dropna("any", subset=list(vitals))
-    return df.fillna(0.0, subset=list(cols))
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)} & set(cols)
+    return df.selectExpr(*[f"coalesce({q(c)}, 0) AS {q(c)}" if c in numeric else q(c) for c in df.columns])
 
 
 def sanity_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -132,24 +130,28 @@ def sanity_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Variance (ddof 1, 4 decimals) of rolling deviations must not be 0; the
     mean share of non-zero lag values must reach 0.90; no nulls may be left.
     """
-    spread = [c for c in cols if "roll_std" in c]
-    lagged = [c for c in cols if "_lag_" in c]
-    aggs = [f"round(var_samp({q(c)}), 4) AS {q('v_' + c)}" for c in spread]
-    # A null differs from 0 in the reference semantics, so it counts as non-zero.
-    aggs += [f"avg(CAST(coalesce({q(c)} != 0, true) AS INT)) AS {q('l_' + c)}" for c in lagged]
-    aggs += [f"count_if({q(c)} IS NULL) AS {q('n_' + c)}" for c in cols]
-    wide = df.agg(*[F.expr(a) for a in aggs])
-    rows = [
-        {"check": F.lit("roll_std_variance"), "column": F.lit(c), "value": F.col(f"v_{c}").cast("double"),
-         "ok": F.coalesce(F.col(f"v_{c}") != 0, F.lit(True))} for c in spread
-    ]
-    if lagged:
-        mean = F.expr("(" + " + ".join(q(f"l_{c}") for c in lagged) + f") / {len(lagged)}")
-        rows.append({"check": F.lit("lag_nonzero_rate"), "column": F.lit("all"),
-                     "value": mean.cast("double"), "ok": mean >= 0.90})
-    nulls = F.expr("+".join(q(f"n_{c}") for c in cols)).cast("double")
-    rows.append({"check": F.lit("null_count"), "column": F.lit("all"), "value": nulls, "ok": nulls == 0})
-    return long_rows(wide, [], rows)
+    names = list(cols)
+    stats = materialise(
+        long_columns(df, names).groupBy("i").agg(
+            F.round(F.var_samp("v"), 4).alias("variance"),
+            # A null differs from 0, so it counts as non-zero.
+            F.avg(F.coalesce(F.col("v") != 0, F.lit(True)).cast("int")).alias("nonzero"),
+            F.count_if(F.col("v").isNull()).alias("nulls"),
+        ),
+        "sanity",
+    ).withColumn("column", F.get(F.array(*[F.lit(c) for c in names]), F.col("i")))
+    everything = F.lit("all").alias("column")
+    spread = stats.where(F.col("column").contains("roll_std")).select(
+        F.lit("roll_std_variance").alias("check"), "column", F.col("variance").alias("value"),
+        F.coalesce(F.col("variance") != 0, F.lit(True)).alias("ok"),
+    )
+    lagged = stats.where(F.col("column").contains("_lag_")).agg(F.avg("nonzero").alias("value")).where(
+        F.col("value").isNotNull()
+    ).select(F.lit("lag_nonzero_rate").alias("check"), everything, "value", (F.col("value") >= 0.90).alias("ok"))
+    nulls = stats.agg(F.sum("nulls").cast("double").alias("value")).select(
+        F.lit("null_count").alias("check"), everything, "value", (F.col("value") == 0).alias("ok")
+    )
+    return spread.unionByName(lagged).unionByName(nulls)
 
 
 def build_features(

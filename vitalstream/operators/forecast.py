@@ -198,28 +198,32 @@ def predict(numbered: DataFrame, model: DataFrame, cfg: ForecastConfig = Forecas
 
     The bounds use the closed-form variance of noise plus future trend changes.
     """
+    # Arrays are folded by a lambda: written out, the terms make a method that
+    # the JVM does not compile.
+    rate = "coalesce(aggregate(deltas, 0D, (a, d) -> a + abs(d)) / nullif(size(deltas), 0), 0D) AS rate"
     names = ["t0", "span", "y_scale", "changepoints", "slope", "intercept", "deltas", "season", "sigma"]
-    rows = attach(numbered.withColumn("us", micros(F.col("ds"))), model.select(*by, *names), by)
+    coefficients = model.selectExpr(*[q(c) for c in by], *names, rate)
+    rows = attach(numbered.withColumn("us", micros(F.col("ds"))), coefficients, by)
     rows = rows.withColumns({
         "t": (F.col("us") - F.col("t0")) / F.col("span"),
         "angle": F.pmod(F.col("us"), F.lit(DAY_US)) * F.lit(2 * math.pi / DAY_US),
     })
-    terms = ["slope * t", "intercept"]
-    terms += [f"coalesce(get(deltas, {i}) * greatest(t - get(changepoints, {i}), 0D), 0D)"
-              for i in range(cfg.n_changepoints)]
-    for k in range(cfg.fourier_order):
-        terms += [f"get(season, {2 * k}) * sin({k + 1} * angle)", f"get(season, {2 * k + 1}) * cos({k + 1} * angle)"]
+    hinges = ("aggregate(zip_with(changepoints, slice(deltas, 1, size(changepoints)), "
+              "(c, d) -> d * greatest(t - c, 0D)), 0D, (a, x) -> a + x)")
+    waves = " + ".join(
+        f"get(season, {2 * k}) * sin({k + 1} * angle) + get(season, {2 * k + 1}) * cos({k + 1} * angle)"
+        for k in range(cfg.fourier_order)
+    )
     z = NormalDist().inv_cdf((1 + cfg.interval_width) / 2)
-    count = max(cfg.n_changepoints, 1)
-    rate = "(" + " + ".join(f"abs(coalesce(get(deltas, {i}), 0D))" for i in range(count)) + f") / {count}"
+    future = f"2 * rate * rate * {cfg.n_changepoints} * pow(greatest(t - 1, 0D), 3) / 3"
     rows = rows.selectExpr(
-        *[q(c) for c in numbered.columns], "y_scale",
-        f"y_scale * ({' + '.join(terms)}) AS yhat",
-        f"{z!r}D * y_scale * sqrt(sigma * sigma + 2 * pow({rate}, 2) * {count} * pow(greatest(t - 1, 0D), 3) / 3) AS half",
+        *[q(c) for c in numbered.columns],
+        f"y_scale * (slope * t + intercept + {hinges} + {waves or '0D'}) AS yhat",
+        f"{z!r}D * y_scale * sqrt(sigma * sigma + {future}) AS half",
     )
     return rows.withColumns({
         "yhat_lower": F.col("yhat") - F.col("half"), "yhat_upper": F.col("yhat") + F.col("half"),
-    }).drop("half", "y_scale")
+    }).drop("half")
 
 
 def merge_forecast(actuals: DataFrame, forecast: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -194,7 +194,10 @@ def score_rows(model: ForestModel, df: DataFrame, keep: Sequence[str]) -> DataFr
 
 
 def calibrate(model: ForestModel, train_scores: DataFrame) -> ForestModel:
-    """Set the threshold (upper contamination quantile) and the score range from training scores."""
+    """Set the threshold (upper contamination quantile) and the score range from training scores.
+
+    The scores are read more than once and should be a stored table.
+    """
     cut = exact_quantiles(train_scores, SCORE, [1 - model.contamination]).first()["value"]
     lo, hi = train_scores.agg(F.min(SCORE), F.max(SCORE)).first()
     return ForestModel(model.features, model.nodes, model.depth, model.max_samples,

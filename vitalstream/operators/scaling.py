@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from vitalstream.functions.summary import q
+from vitalstream.functions.summary import long_columns, q
 from vitalstream.sources.tables import require_table, write_table
 
 SCHEMA = "feature string, kind string, center double, scale double"
@@ -25,23 +25,18 @@ def fit_scaler(
     if not cols:
         raise ValueError("no feature columns to scale")
     rows = df if fit_where is None else df.where(fit_where)
-    aggs = ["count(1) AS n"]
-    for i, c in enumerate(cols):
-        center, spread = (
-            (f"avg({q(c)})", f"stddev_pop({q(c)})") if kind == "standard"
-            else (f"min({q(c)})", f"max({q(c)}) - min({q(c)})")
-        )
-        aggs += [f"CAST({center} AS DOUBLE) AS c{i}", f"CAST({spread} AS DOUBLE) AS s{i}",
-                 f"count_if({q(c)} IS NULL) AS m{i}"]
-    got = rows.agg(*[F.expr(a) for a in aggs]).first()
-    if got["n"] == 0:
+    center, scale = ("avg(v)", "stddev_pop(v)") if kind == "standard" else ("min(v)", "max(v) - min(v)")
+    got = long_columns(rows, cols).groupBy("i").agg(
+        F.expr(f"{center} AS center"), F.expr(f"{scale} AS scale"), F.expr("count_if(v IS NULL) AS missing")
+    ).collect()  # one row per column
+    if not got:
         raise ValueError("no rows to fit the scaler on")
-    missing = sum(got[f"m{i}"] for i in range(len(cols)))
+    missing = sum(r["missing"] for r in got)
     if missing:
         raise ValueError(f"{missing} nulls left in the feature columns")
     return [
-        Row(feature=c, kind=kind, center=got[f"c{i}"], scale=got[f"s{i}"] or 1.0)
-        for i, c in enumerate(cols)
+        Row(feature=cols[r["i"]], kind=kind, center=r["center"], scale=r["scale"] or 1.0)
+        for r in sorted(got, key=lambda r: r["i"])
     ]
 
 

@@ -10,18 +10,23 @@ from pyspark.sql.streaming import StreamingQuery
 from vitalstream.operators.forest import ForestModel, flag_scores, score_rows
 
 
-def score_stream(model: ForestModel, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Stateless scoring; scores use the training range, so they do not depend on the micro-batch."""
+def score_stream(model: ForestModel, rows: DataFrame, keep: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """Stateless scoring; scores use the training range, so they do not depend on the micro-batch.
+
+    ``tasks`` spreads micro-batches that arrive in fewer splits than there are cores.
+    """
+    if tasks:
+        rows = rows.repartition(tasks)
     return flag_scores(model, score_rows(model, rows, keep), normalise="model")
 
 
 def start_scoring(
     model: ForestModel, rows: DataFrame, keep: Sequence[str], out_path: str, checkpoint: str,
-    trigger: dict | None = None,
+    trigger: dict | None = None, tasks: int | None = None,
 ) -> StreamingQuery:
     """Append scored rows to a parquet table; ``trigger`` defaults to all available input."""
     return (
-        score_stream(model, rows, keep).writeStream.format("parquet").outputMode("append")
+        score_stream(model, rows, keep, tasks).writeStream.format("parquet").outputMode("append")
         .option("path", out_path).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
