@@ -341,4 +341,10 @@ ORACLES = {
         f"{r('count(*) FILTER (anomaly_score >= t) / count(*)', 'rate')} FROM score_result, (SELECT quantile_cont(anomaly_score, {q}) AS t FROM score_result)"
         for c, q in ((0.01, 0.99), (0.03, 0.97), (0.05, 0.95), (0.08, 0.92), (0.10, 0.90))),
     "ensemble_votes": f"WITH {MERGED} SELECT * FROM merged",
+    "window_error_of_zero": f"""WITH {CLEAN}, sq AS (SELECT pos, {' + '.join(f'coalesce({c}, 0) * coalesce({c}, 0)' for c in CHANNELS)} AS s FROM clean),
+        w AS (SELECT pos, sum(s) OVER (ORDER BY pos ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) / {WINDOW * len(CHANNELS)} AS mse FROM sq)
+        SELECT pos, {r('mse', 'mse')} FROM w WHERE pos >= {WINDOW - 1}""",
+    "forecast_status": f"WITH {CLEAN} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS series, CAST(floor(count({c}) * 0.8::DOUBLE) AS BIGINT) AS n, 'ok' AS status FROM clean" for c in CHANNELS)
+        + " UNION ALL SELECT 'not_there', NULL, 'failed: no such column'",
 }

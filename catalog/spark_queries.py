@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from vitalstream.config import (
@@ -701,6 +702,13 @@ def window_model_scores(spark, sf_dir):
     return rounded(workflow.WindowDetector(cfg, series).run(scaled, clean))
 
 
+@query
+def window_error_of_zero(spark, sf_dir):
+    """The error of a model passed in as a function: here one that answers 0 everywhere."""
+    filled = clean15(spark, sf_dir).na.fill(0.0, CHANNELS)
+    return rounded(reconstruct.score_windows(filled, CHANNELS, WINDOW, np.zeros_like, block_rows=256))
+
+
 @query
 def embedding_reconstruction(spark, sf_dir):
     """Vectors as windows of one row: distance from the best 8-dimensional subspace."""
