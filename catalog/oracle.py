@@ -346,5 +346,5 @@ ORACLES = {
         SELECT pos, {r('mse', 'mse')} FROM w WHERE pos >= {WINDOW - 1}""",
     "forecast_status": f"WITH {CLEAN} " + " UNION ALL ".join(
         f"SELECT '{c}' AS series, CAST(floor(count({c}) * 0.8::DOUBLE) AS BIGINT) AS n, 'ok' AS status FROM clean" for c in CHANNELS)
-        + " UNION ALL SELECT 'not_there', NULL, 'failed: no such column'",
+        + " UNION ALL SELECT 'not_there', 0, 'failed: no such column'",
 }

@@ -336,12 +336,12 @@ def dataset_overview(spark, sf_dir):
 
 @query
 def describe_lines(spark, sf_dir):
-    return profile.describe(table(spark, sf_dir, "lineitem"), LINE_COLS)
+    return rounded(profile.describe(table(spark, sf_dir, "lineitem"), LINE_COLS, None), 2)
 
 
 @query
 def describe_grid(spark, sf_dir):
-    return profile.describe(grid15(spark, sf_dir), CHANNELS)
+    return rounded(profile.describe(grid15(spark, sf_dir), CHANNELS, None), 2)
 
 
 @query

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vitalstream.functions.summary import attach
 from vitalstream.sources.tables import materialise
 
 # Up to this many rows of a group the built-in aggregate may hold every distinct value.
@@ -37,9 +38,8 @@ def exact_quantiles(
 
 
 def _by_brackets(rows: DataFrame, probs: Sequence[float], by: Sequence[str], exact_rows: int) -> DataFrame:
-    g = [f"g{i}" for i in range(len(by))]
-    keys = ["one", *g]
-    rows = rows.select(F.lit(1).alias("one"), *[F.col(c).alias(n) for c, n in zip(by, g)], "v")
+    keys = [f"g{i}" for i in range(len(by))]
+    rows = rows.select(*[F.col(c).alias(n) for c, n in zip(by, keys)], "v")
     rank = F.col("prob") * (F.col("n") - 1)
     targets = materialise(
         rows.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -71,12 +71,15 @@ def _by_brackets(rows: DataFrame, probs: Sequence[float], by: Sequence[str], exa
     high = found.withColumnsRenamed({"k": "k1", "v": "v1"})
     out = targets.join(low, [*keys, "k0"]).join(high, [*keys, "k1"])
     value = F.col("v0") + F.col("part") * (F.col("v1") - F.col("v0"))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(by, g)], "prob", value.alias("value"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(by, keys)], "prob", value.alias("value"))
 
 
 def _inside(rows: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows within their bracket. The bracket table has a few rows per group."""
-    return rows.join(brackets, list(keys)).where(F.col("v").between(F.col("lo"), F.col("hi")))
+    """Each row once per bracket it lies in; a group has at most two brackets per probability."""
+    fields = [c for c in brackets.columns if c not in keys]
+    lists = brackets.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("brackets"))
+    hits = F.expr("explode(filter(brackets, b -> v >= b.lo AND v <= b.hi)) AS b")
+    return attach(rows, lists, keys).select(*keys, "v", hits).select(*keys, "v", "b.*")
 
 
 def _narrow(rows: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:

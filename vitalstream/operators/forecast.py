@@ -272,7 +272,8 @@ def forecast_all(
     numbered = materialise(number_series(to_long(df, present, ts), cfg.train_split, block_rows=block_rows), "series")
     model = materialise(fit_forecast(numbered, cfg), "forecast-model")
     wanted = df.sparkSession.createDataFrame([(c,) for c in targets], f"{SERIES} string")
-    status = wanted.join(model.select(SERIES, "n", "status"), SERIES, "left").withColumn(
+    known = wanted.join(model.select(SERIES, "n", "status"), SERIES, "left")
+    status = known.withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))).withColumn(
         "status", F.coalesce("status", F.when(F.col(SERIES).isin(present), "failed: no training rows").otherwise("failed: no such column"))
     )
     good = numbered.join(model.where("status = 'ok'").select(SERIES), SERIES, "left_semi")

@@ -24,8 +24,8 @@ def overview(df: DataFrame, ts: str = "timestamp", key: str | None = None) -> Da
     )
 
 
-def describe(df: DataFrame, cols: Sequence[str], digits: int = 2, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """Long table ``column, n_null, count, mean, std, min, q25, q50, q75, max``."""
+def describe(df: DataFrame, cols: Sequence[str], digits: int | None = 2, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """Long table ``column, n_null, count, mean, std, min, q25, q50, q75, max``, rounded to ``digits``."""
     long = melt(df, cols)
     base = long.groupBy("column").agg(
         F.count_if(F.col("value").isNull()).alias("n_null"), F.count("value").alias("count"),
@@ -35,7 +35,8 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 2, exact_rows: in
     cuts = quantile_columns(long, ["column"], {"q25": 0.25, "q50": 0.5, "q75": 0.75}, exact_rows)
     out = base.join(cuts, "column", "left")
     stats = ["mean", "std", "min", "q25", "q50", "q75", "max"]
-    return out.select("column", "n_null", "count", *[F.round(c, digits).alias(c) for c in stats])
+    shown = stats if digits is None else [F.round(c, digits).alias(c) for c in stats]
+    return out.select("column", "n_null", "count", *shown)
 
 
 def melt(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:

@@ -103,7 +103,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     available when executors are lost.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/vitalstream/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{_stage_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _stage_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/vitalstream/{spark.sparkContext.applicationId}"
+
+
+def drop_stage_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once its results are stored."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(_stage_dir(spark))
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
