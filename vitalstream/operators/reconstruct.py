@@ -53,10 +53,12 @@ class WindowModel:
                            np.asarray(parts).reshape(len(parts), len(mean)))
 
 
-def _require_length(df: DataFrame, length: int, keys: Sequence[str]) -> None:
-    short = series_length(df, keys).where(F.coalesce(F.col("n"), F.lit(0)) < length).first()
-    if short is not None:
+def _require_length(df: DataFrame, length: int, keys: Sequence[str]) -> int:
+    """Rows in all series; ``ValueError`` if one is shorter than a window."""
+    shortest, total = series_length(df, keys).agg(F.min(F.coalesce("n", F.lit(0))), F.sum("n")).first()
+    if shortest is not None and shortest < length:
         raise ValueError(f"a series has fewer rows than the window length {length}")
+    return total or 0
 
 
 def _views(values: np.ndarray, length: int) -> np.ndarray:
@@ -80,14 +82,16 @@ def fit_windows(
     (their number and size do not grow with the data) are summed by Spark.
     """
     cols, length = list(cols), cfg.sequence_length
-    _require_length(df, length, keys)
+    total_rows = _require_length(df, length, keys)
     n = series_length(df, keys, name="series_n")
     windows = F.col("series_n") - (length - 1)
     in_train = (F.col(POS) - (length - 1)) < F.floor(windows * F.lit(cfg.train_split))
     rows = attach(df.select(*keys, POS, *cols), n, keys)
     blocks = _blocks(rows, cols, length, keys, [in_train.alias("in_train")], block_rows)
     order = [F.col(c) for c in (*keys, BLOCK)]
-    placed = blocks.repartition(task_count(df), *order).sortWithinPartitions(*order, F.col(POS))
+    # Every task hands on a whole matrix, so there are no more tasks than blocks.
+    tasks = max(1, min(task_count(df), -(-total_rows // block_rows)))
+    placed = blocks.repartition(tasks, *order).sortWithinPartitions(*order, F.col(POS))
     names = [f"x{i}" for i in range(len(cols))]
     size = length * len(cols) + 1
     upper = np.triu_indices(size)
@@ -103,7 +107,8 @@ def fit_windows(
             flat = _views(block[names].to_numpy(), length)[wanted].reshape(-1, size - 1)
             flat = np.column_stack([flat, np.ones(len(flat))])
             total += flat.T @ flat
-        yield pd.DataFrame({"i": upper[0].astype("int32"), "j": upper[1].astype("int32"), "g": total[upper]})
+        if total[-1, -1]:
+            yield pd.DataFrame({"i": upper[0].astype("int32"), "j": upper[1].astype("int32"), "g": total[upper]})
 
     summed = placed.mapInPandas(moments, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
     part = summed.toPandas()  # size * (size + 1) / 2 numbers
