@@ -37,18 +37,18 @@ def assign_shards(
     """
     fields = df.columns
     rows = rows_of(
-        df, source=col(source).cast("string"), hash=F.xxhash64(F.lit(seed), *[col(k) for k in key]),
+        df, source=col(source).cast("string"),
+        hash=F.xxhash64(F.lit(seed), *[col(k) for k in key]).bitwiseAND(F.lit((1 << 63) - 1)),
         whole=F.xxhash64(*[col(c) for c in fields]),
     )
     rows = materialise(rows, "rows")
     total = rows.count()
     cells = total // cell_rows + 1
-    # The upper 32 bits as a fraction of 2^32: equal ranges of the hash.
-    share = (F.shiftrightunsigned("hash", 32)) / F.lit(float(1 << 32))
+    # The upper bits as a fraction: equal ranges of the hash.
+    share = F.shiftright("hash", 32) / F.lit(float(1 << 31))
     rows = rows.withColumn("cell", F.floor(share * cells)).withColumn("known", F.coalesce("source", F.lit("")))
     rows = rows.withColumn("none", F.col("source").isNull())
     rows = _numbered(rows, ["none", "known"], "rank", "n", order=["hash", "whole"])
-    # A rational number is compared by its parts: no two ranks of a source are rounded together.
     rows = rows.withColumn("part", (F.col("rank") + 0.5) / F.col("n"))
     rows = rows.withColumn("cell", F.floor(F.col("part") * cells)).withColumn("all", F.lit(0)).drop("n")
     rows = materialise(rows, "interleaved")
