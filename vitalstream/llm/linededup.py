@@ -74,12 +74,13 @@ def drop_repeated_chunks(
         F.min("chunk").alias("least"), F.max("chunk").alias("most"), F.min(place).alias("first"), F.max(place).alias("final")
     ).where("first <> final").select("digest", "first", (F.col("least") == F.col("most")).alias("equal")), "digests")
     repeats = chunked.drop("chunk").join(seen.where("equal").select("digest", "first"), "digest").where(place != F.col("first"))
-    # Different texts under one digest: hardly ever any, but they are told apart.
-    mixed = chunked.join(seen.where("not equal").select("digest"), "digest", "left_semi")
-    texts = mixed.groupBy("chunk").agg(F.min(place).alias("first"))
-    repeats = repeats.select("id", "hash", "at", "lines").unionByName(
-        mixed.join(texts, "chunk").where(place != F.col("first")).select("id", "hash", "at", "lines")
-    )
+    repeats = repeats.select("id", "hash", "at", "lines")
+    if not seen.where("not equal").isEmpty():
+        # Different texts under one digest: hardly ever any, but they are told apart by their bytes.
+        mixed = chunked.join(seen.where("not equal").select("digest"), "digest", "left_semi")
+        texts = mixed.groupBy("chunk").agg(F.min(place).alias("first"))
+        told = mixed.join(texts, "chunk").where(place != F.col("first"))
+        repeats = repeats.unionByName(told.select("id", "hash", "at", "lines"))
     # Rows equal in id and text name the same places again.
     gone = repeats.groupBy("id", "hash").agg(F.collect_set(F.struct("at", "lines")).alias("gone"))
     rows = rows_of(df, **where, text=col(text).cast("string")).join(gone, ["id", "hash"], "left")
