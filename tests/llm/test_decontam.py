@@ -70,9 +70,12 @@ def test_drop(spark):
     assert decontam.drop_leaks(df.limit(0), bench).count() == 0
 
 
-def test_strides_and_memory(monkeypatch):
-    text = prose(seeded(4), 400) + " Été été ÉTÉ_x"
+def test_word_hashes(monkeypatch):
+    text = prose(seeded(4), 400) + " Été été ÉTÉ_x é" + " ab ba aab abb"
     whole = decontam.word_hashes(text)
-    monkeypatch.setattr(decontam, "STRIDE", 5)
-    monkeypatch.setattr(decontam, "KNOWN", 3)
+    words = [w for w in decontam.GAP.split(text.lower()) if w]
+    known = dict(zip(words, whole.tolist()))
+    assert len(whole) == len(words) and [known[w] for w in words] == whole.tolist()
+    assert len(set(known.values())) == len(known)
+    monkeypatch.setattr(decontam, "STRIDE", 9)
     np.testing.assert_array_equal(decontam.word_hashes(text), whole)

@@ -17,7 +17,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from vitalstream.llm.common import col, kept_rows, materialise, pieces_of, rows_of
@@ -27,10 +26,23 @@ MASKS = ("11011011011", "101010101010101", "111101111", "1110010110011")
 MIN_MATCHES, MIN_SHARE = 12, 0.75
 #: Words compared on each side of a hit; bits and probes of the filter.
 REACH, BLOOM_BITS, PROBES = 48, 22, 3
-WORD = re.compile(r"[^\W_]+")
-#: Words remembered by a worker; characters looked at together.
-KNOWN, STRIDE = 500_000, 1 << 20
-_known: dict[str, int] = {}
+GAP = re.compile(r"[\W_]+")
+#: Characters looked at together; a word longer than that may be cut.
+STRIDE = 1 << 16
+#: An odd base of the word hashes, and the multiplier that mixes them.
+BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_powers: list[np.ndarray] = []
+
+
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, modulo 2^64."""
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            factors = np.full(n, base, np.uint64)
+            factors[0] = 1
+            _powers.append(np.cumprod(factors))
+    return _powers[0], _powers[1]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -38,19 +50,19 @@ def word_hashes(text: str | None) -> np.ndarray:
     text, parts, at = text or "", [], 0
     while at < len(text):
         end = min(len(text), at + STRIDE)
-        while end < len(text) and (text[end].isalnum() or not text[end].isascii()):
+        while end < min(len(text), at + 2 * STRIDE) and (text[end].isalnum() or not text[end].isascii()):
             end += 1
-        words = WORD.findall(text[at:end].lower())
-        try:
-            found = list(map(_known.__getitem__, words))
-        except KeyError:
-            if len(_known) > KNOWN:
-                _known.clear()
-            for w in set(words).difference(_known):
-                _known[w] = xxhash.xxh64_intdigest(w)
-            found = list(map(_known.__getitem__, words))
-        parts.append(np.array(found, dtype=np.uint64))
+        letters = np.frombuffer((" " + GAP.sub(" ", text[at:end].lower()) + " ").encode(), np.uint8)
         at = end
+        power, inverse = _tables(max(len(letters), 4096))
+        # Sums of bytes times inverse powers: the difference over a word, moved back to its start, is its hash.
+        sums = np.cumsum(letters * inverse[: len(letters)])
+        gaps = np.flatnonzero(letters == 32)
+        before, after = gaps[:-1], gaps[1:]
+        filled = after - before > 1
+        before, after = before[filled], after[filled]
+        hashes = (sums[after - 1] - sums[before]) * power[before]
+        parts.append((hashes ^ (hashes >> np.uint64(32))) * np.uint64(MIX))
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
