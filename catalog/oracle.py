@@ -314,7 +314,29 @@ ORACLES = {
     "split_labels": """WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders)
         SELECT o_orderkey, pos, CASE WHEN pos < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM p""",
     "sliding_windows": windows_sql(["click", '"view"'], 4),
-    "time_ordered": "SELECT event_id, ts FROM events ORDER BY event_id, ts",
+    "time_ordered": "SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events",
+    "quantiles_with_null_group": f"""
+        WITH l AS (SELECT nullif(l_returnflag, 'N') AS v, l_extendedprice AS x FROM lineitem),
+        p AS (SELECT v, prob, quantile_cont(x, 0.1) AS a, quantile_cont(x, 0.5) AS b FROM l, (VALUES (0.1), (0.5)) t(prob) GROUP BY ALL)
+        SELECT v, prob::DOUBLE AS prob, {r('CASE WHEN prob = 0.1 THEN a ELSE b END', 'value')}, way
+        FROM p, (VALUES ('small'), ('large')) w(way)""",
+    "histogram_null_group": f"""
+        WITH l AS (SELECT nullif(l_returnflag, 'N') AS g, l_quantity AS x FROM lineitem),
+        b AS (SELECT g, min(x) AS lo, max(x) AS hi, count(*) AS m, (max(x) - min(x)) / 7 AS step FROM l GROUP BY g),
+        e AS (SELECT *, lo + bin * step AS a, lo + (bin + 1) * step AS z FROM b, (SELECT unnest(range(7))::INTEGER AS bin))
+        SELECT e.g, bin, {r('a', 'left')}, {r('z', 'right')}, count(x) AS n, {r('count(x) / (any_value(m) * any_value(step))', 'density')}
+        FROM e LEFT JOIN l ON l.g IS NOT DISTINCT FROM e.g AND x >= a AND (x < z OR bin = 6) GROUP BY e.g, bin, a, z""",
+    "box_null_group": f"""
+        WITH l AS (SELECT nullif(l_returnflag, 'N') AS bin, l_quantity AS x FROM lineitem),
+        q AS (SELECT bin, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3 FROM l GROUP BY bin)
+        SELECT q.bin, 'l_quantity' AS "column", {r('q1', 'q1')}, {r('median', 'median')}, {r('q3', 'q3')}, count(*) AS n,
+          {r('min(x) FILTER (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 'whisker_lo')},
+          {r('max(x) FILTER (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 'whisker_hi')},
+          count(*) FILTER (x NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_outliers
+        FROM l JOIN q ON l.bin IS NOT DISTINCT FROM q.bin GROUP BY q.bin, q1, median, q3""",
+    "positions_null_key": """
+        SELECT event_id, nullif(event_type, 'view') AS block,
+          row_number() OVER (PARTITION BY nullif(event_type, 'view') ORDER BY event_id) - 1 AS pos FROM events""",
     "top_unanimous": f"WITH {MERGED} SELECT * FROM merged WHERE vote_count = 3 ORDER BY \"timestamp\" LIMIT 20",
     "unanimous_share": f"WITH {MERGED} SELECT count(*) FILTER (vote_count = 3) AS n_unanimous, {r('avg((vote_count = 3)::INTEGER)', 'share')} FROM merged",
     "top_flagged_scores": f"WITH {SCORE} SELECT \"timestamp\", {r('anomaly_score', 'anomaly_score')}, split, {CH6} FROM score_result WHERE anomaly = 1 ORDER BY score_result.anomaly_score DESC, \"timestamp\" LIMIT 20",

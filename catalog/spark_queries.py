@@ -77,8 +77,6 @@ def _stored(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
         return materialise(C.resample(limited, CHANNELS, "15min"), what)
     if what == "clean15":
         return materialise(C.clean(channels(spark, sf_dir), CHANNELS, LIMITS, "15min", 10), what)
-    if what == "clean1":
-        return materialise(C.clean(channels(spark, sf_dir), CHANNELS, LIMITS, "1min", 10), what)
     if what == "features":
         made, cols = features.build_features(_stored(spark, sf_dir, "clean15"), CHANNELS, (5, 15), (1, 5))
         return materialise(made.select("timestamp", POS, "was_missing", *cols), what)
@@ -109,7 +107,7 @@ def clean15(spark, sf_dir):
 def _band(spark, sf_dir) -> DataFrame:
     """Trailing mean and deviation of ``click`` as a forecast made elsewhere."""
     rolled = features.add_window_features(
-        clean15(spark, sf_dir).select(POS, "timestamp", "click"), ["click"], [60], engine="sql"
+        clean15(spark, sf_dir).select(POS, "timestamp", "click"), ["click"], [60]
     )
     mean, std = F.col("click_roll_mean_60"), F.col("click_roll_std_60")
     return rolled.select(
@@ -453,6 +451,33 @@ def score_quantiles_bracketed(spark, sf_dir):
     return rounded(profile.quantile_table(li, "l_extendedprice", [0.5, 0.9, 0.95, 0.99], exact_rows=2000))
 
 
+@query
+def quantiles_with_null_group(spark, sf_dir):
+    """A null key is a group like any other, whichever way its quantiles are found."""
+    lines = table(spark, sf_dir, "lineitem").select(F.nullif("l_returnflag", F.lit("N")).alias("v"), "l_extendedprice")
+    small = exact_quantiles(lines, "l_extendedprice", [0.1, 0.5], ["v"])
+    large = exact_quantiles(lines, "l_extendedprice", [0.1, 0.5], ["v"], exact_rows=500)
+    return rounded(small.withColumn("way", F.lit("small")).unionByName(large.withColumn("way", F.lit("large"))))
+
+
+@query
+def histogram_null_group(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.nullif("l_returnflag", F.lit("N")).alias("g"), "l_quantity")
+    return rounded(profile.histogram(lines, "l_quantity", 7, ["g"]))
+
+
+@query
+def box_null_group(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.nullif("l_returnflag", F.lit("N")).alias("bin"), "l_quantity")
+    return rounded(profile.box_stats(lines, ["l_quantity"], "bin"))
+
+
+@query
+def positions_null_key(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", F.nullif("event_type", F.lit("view")).alias("block"))
+    return number_rows(events, ["block"], "event_id", 256)
+
+
 @query
 def first_test_time(spark, sf_dir):
     return profile.first_test_time(_score_result(spark, sf_dir))
@@ -492,14 +517,14 @@ def clean_minutes(spark, sf_dir):
 @query
 def rolling_features(spark, sf_dir):
     grid = grid15(spark, sf_dir).select(POS, "click", "view")
-    return rounded(features.add_window_features(grid, ["click", "view"], [5, 15, 60], engine="sql"))
+    return rounded(features.add_window_features(grid, ["click", "view"], [5, 15, 60]))
 
 
 @query
 def rolling_features_wide(spark, sf_dir):
     """All channels: the frames are wide enough for the Arrow path."""
     grid = grid15(spark, sf_dir).select(POS, *CHANNELS)
-    return rounded(features.add_window_features(grid, CHANNELS, [5, 15, 60], block_rows=512, engine="arrow"))
+    return rounded(features.add_window_features(grid, CHANNELS, [5, 15, 60], block_rows=512))
 
 
 @query
@@ -541,7 +566,10 @@ def _flat_windows(df: DataFrame, length: int, width: int) -> DataFrame:
 
 @query
 def time_ordered(spark, sf_dir):
-    return report.sorted_by_time(table(spark, sf_dir, "events").select("event_id", "ts"), ["event_id"], "ts")
+    """Sorted by time; the place is part of the result, so that the order is checked."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    ordered = report.sorted_by_time(events, (), "ts", ["event_id"])
+    return report.numbered_in_order(ordered, "place")
 
 
 @query
@@ -713,7 +741,10 @@ def window_error_of_zero(spark, sf_dir):
 def embedding_reconstruction(spark, sf_dir):
     """Vectors as windows of one row: distance from the best 8-dimensional subspace."""
     emb = table(spark, sf_dir, "embeddings")
-    dims = [f"e{i}" for i in range(64)]
+    size, longest = emb.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if size != longest:
+        raise ValueError("vectors of unequal length")
+    dims = [f"e{i}" for i in range(size)]
     rows = number_rows(emb.select("vec_id", *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(dims)]), (), "vec_id")
     cfg = WindowModelConfig(sequence_length=1, latent_dim=8)
     model = reconstruct.fit_windows(rows, dims, cfg)

@@ -20,11 +20,10 @@ def table(n=500, seed=0):
     return pdf
 
 
-@pytest.mark.parametrize("engine", ["sql", "arrow"])
 @pytest.mark.parametrize("block_rows", [64, 256, 4096])
-def test_window_features_equal_pandas(spark, engine, block_rows):
+def test_window_features_equal_pandas(spark, block_rows):
     pdf = table()
-    got = FT.add_window_features(frame(spark, pdf), ["a", "b"], [5, 15, 60], [1, 5, 15], (), block_rows, engine)
+    got = FT.add_window_features(frame(spark, pdf), ["a", "b"], [5, 15, 60], [1, 5, 15], (), block_rows)
     got = got.orderBy("pos").toPandas()
     assert len(got) == len(pdf)
     for c in ("a", "b"):
@@ -36,8 +35,8 @@ def test_window_features_equal_pandas(spark, engine, block_rows):
             same(got[f"{c}_lag_{k}"], pdf[c].shift(k))
 
 
-def test_arrow_path_returns_nulls_not_nan(spark):
-    out = FT.add_window_features(frame(spark, table()), ["a"], [5], [1], engine="arrow")
+def test_missing_features_are_null_not_nan(spark):
+    out = FT.add_window_features(frame(spark, table()), ["a"], [5], [1])
     assert out.where(F.isnan("a") | F.isnan("a_lag_1") | F.isnan("a_roll_mean_5")).count() == 0
     assert out.where(F.col("a_lag_1").isNull()).count() > 0
 
@@ -47,13 +46,15 @@ def test_halo_larger_than_block_is_refused(spark):
         with_halo(spark.range(3).withColumnRenamed("id", "pos"), 64, 64)
 
 
-def test_one_shuffle_and_one_window_for_all_frames(spark):
+def test_one_shuffle_and_one_sort_for_all_frames(spark):
     df = frame(spark, table())
-    out = FT.add_window_features(df, ["a", "b"], [5, 15], [1], engine="sql")
+    out = FT.add_window_features(df, ["a", "b"], [5, 15], [1])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     physical = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Window [") == 1
+    # One window for the block's centre, one for all running sums, means and lags.
+    assert plan.count("Window [") == 2
     assert physical.count("Exchange hashpartitioning") == 1
+    assert physical.count("Sort [") == 1
 
 
 @pytest.mark.parametrize("size,fanout", [(4, 2), (64, 4), (4096, 4096)])

@@ -60,7 +60,6 @@ class FeatureConfig:
     lags: tuple[int, ...] = (1, 5, 15)
     scaler: str = "standard"
     null_policy: str = "zero"
-    engine: str = "auto"
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vitalstream.functions.summary import attach
+from vitalstream.functions.summary import attach, join_on, q
 from vitalstream.sources.tables import materialise
 
 # Up to this many rows of a group the built-in aggregate may hold every distinct value.
@@ -27,19 +27,21 @@ def exact_quantiles(
     or a single value.
     """
     value = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*by, value.cast("double").alias("v")).where(F.col("v").isNotNull())
-    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    # Keys get names of their own, so that none meets an inner column. A null key is a group.
+    keys = [f"g{i}" for i in range(len(by))]
+    named = [F.col(q(c)).alias(n) for c, n in zip(by, keys)]
+    rows = df.select(*named, value.cast("double").alias("v")).where(F.col("v").isNotNull())
+    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= exact_rows:
-        grid = rows.groupBy(*by).agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("vs"))
+        grid = rows.groupBy(*keys).agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("vs"))
         pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("vs").alias("value"))
-        out = grid.select(*by, F.explode(pairs).alias("z"))
-        return out.select(*by, F.col("z.prob").alias("prob"), F.col("z.value").alias("value"))
-    return _by_brackets(rows, probs, by, exact_rows)
+        out = grid.select(*keys, F.explode(pairs).alias("z")).select(*keys, "z.prob", "z.value")
+    else:
+        out = _by_brackets(rows, probs, keys, exact_rows)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(by, keys)], "prob", "value")
 
 
-def _by_brackets(rows: DataFrame, probs: Sequence[float], by: Sequence[str], exact_rows: int) -> DataFrame:
-    keys = [f"g{i}" for i in range(len(by))]
-    rows = rows.select(*[F.col(c).alias(n) for c, n in zip(by, keys)], "v")
+def _by_brackets(rows: DataFrame, probs: Sequence[float], keys: Sequence[str], exact_rows: int) -> DataFrame:
     rank = F.col("prob") * (F.col("n") - 1)
     targets = materialise(
         rows.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -69,9 +71,9 @@ def _by_brackets(rows: DataFrame, probs: Sequence[float], by: Sequence[str], exa
     )
     low = found.withColumnsRenamed({"k": "k0", "v": "v0"})
     high = found.withColumnsRenamed({"k": "k1", "v": "v1"})
-    out = targets.join(low, [*keys, "k0"]).join(high, [*keys, "k1"])
+    out = join_on(join_on(targets, low, [*keys, "k0"]), high, [*keys, "k1"])
     value = F.col("v0") + F.col("part") * (F.col("v1") - F.col("v0"))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(by, keys)], "prob", value.alias("value"))
+    return out.select(*keys, "prob", value.alias("value"))
 
 
 def _inside(rows: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -95,7 +97,7 @@ def _narrow(rows: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFr
         ),
         "cuts",
     )
-    near = materialise(brackets.join(cuts, span), "cuts")
+    near = materialise(join_on(brackets, cuts, span), "cuts")
     share = (F.col("k") - F.col("below")) / F.col("inside")
     first = F.greatest(F.floor((share - 2 * grid) * 100), F.lit(0)).cast("int")
     last = F.least(F.ceil((share + 2 * grid) * 100), F.lit(100)).cast("int")

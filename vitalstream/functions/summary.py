@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,6 +16,17 @@ def q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on equally named columns, which come once; null keys match each other."""
+    if not keys:
+        raise ValueError("a join needs keys")
+    inner = {k: f"__right_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(inner)
+    same = reduce(and_, [left[q(k)].eqNullSafe(right[n]) for k, n in inner.items()])
+    joined = left.join(right, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*inner.values())
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Add the columns of a per-key summary to every row.
 
@@ -25,7 +38,7 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFra
     """
     names = [c for c in stats.columns if c not in keys]
     if keys:
-        return df.join(materialise(stats, "summary"), list(keys), "left")
+        return join_on(df, materialise(stats, "summary"), keys, "left")
     # One subquery column, taken apart in a second step: a subquery per column
     # would multiply the plan when summaries build on each other.
     cell = stats.select(F.struct(*names).alias("cell")).scalar()

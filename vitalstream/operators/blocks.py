@@ -13,12 +13,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vitalstream.functions.summary import attach, q
+from vitalstream.functions.summary import attach, join_on, q
 from vitalstream.functions.timeline import floor_div
 
 POS = "pos"
-BLOCK = "block"
-HALO = "is_halo"
+# Names of inner columns start with two underscores, so that no column of a user meets them.
+BLOCK = "__block"
+HALO = "__is_halo"
+GROUP = "__group"
 # Below this many bytes per core a table is small.
 SMALL_SPLIT = 32 << 20
 # Blocks per group when summaries are carried over the blocks of a series.
@@ -79,23 +81,23 @@ def carry_nearest(
     groups. ``edges`` is read twice and should be a stored table.
     """
     part = ", ".join(q(c) for c in keys)
-    grouped = edges.withColumn("group", floor_div(F.col(BLOCK), fanout))
-    near, far = grouped, grouped.groupBy(*keys, "group").agg(*[
-        F.expr(f"{closest}({q(c)}, if({q(c)} IS NOT NULL, {BLOCK}, NULL)) AS {q('far_' + n)}")
+    grouped = edges.withColumn(GROUP, floor_div(F.col(BLOCK), fanout))
+    near, far = grouped, grouped.groupBy(*keys, GROUP).agg(*[
+        F.expr(f"{closest}({q(c)}, if({q(c)} IS NOT NULL, {BLOCK}, NULL)) AS {q('__far_' + n)}")
         for side, closest in ((earlier, "max_by"), (later, "min_by")) for n, c in side.items()
     ])
     for side, order in ((earlier, "ASC"), (later, "DESC")):
         frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-        inner = f"OVER (PARTITION BY {part + ', ' if part else ''}`group` ORDER BY {BLOCK} {order} {frame})"
-        outer = f"OVER ({'PARTITION BY ' + part if part else ''} ORDER BY `group` {order} {frame})"
+        inner = f"OVER (PARTITION BY {part + ', ' if part else ''}{GROUP} ORDER BY {BLOCK} {order} {frame})"
+        outer = f"OVER ({'PARTITION BY ' + part if part else ''} ORDER BY {GROUP} {order} {frame})"
         near = near.selectExpr("*", *[f"last({q(c)}, true) {inner} AS {q(n)}" for n, c in side.items()])
         far = far.selectExpr(
-            *[q(c) for c in far.columns if c[4:] not in side],
-            *[f"last({q('far_' + n)}, true) {outer} AS {q('far_' + n)}" for n in side],
+            *[q(c) for c in far.columns if c.removeprefix('__far_') not in side],
+            *[f"last({q('__far_' + n)}, true) {outer} AS {q('__far_' + n)}" for n in side],
         )
-    return near.join(far, [*keys, "group"], "left").selectExpr(
+    return join_on(near, far, [*keys, GROUP], "left").selectExpr(
         *[q(c) for c in keys], BLOCK,
-        *[f"coalesce({q(n)}, {q('far_' + n)}) AS {q(n)}" for n in (*earlier, *later)],
+        *[f"coalesce({q(n)}, {q('__far_' + n)}) AS {q(n)}" for n in (*earlier, *later)],
     )
 
 
@@ -104,36 +106,42 @@ def carry_sum(
 ) -> DataFrame:
     """Per block, the sum of ``c`` over all earlier blocks of the series."""
     before = (Window.unboundedPreceding, -1)
-    inner = Window.partitionBy(*keys, "group").orderBy(BLOCK)
-    outer = Window.partitionBy(*keys).orderBy("group")
-    grouped = edges.withColumn("group", floor_div(F.col(BLOCK), fanout))
+    inner = Window.partitionBy(*keys, GROUP).orderBy(BLOCK)
+    outer = Window.partitionBy(*keys).orderBy(GROUP)
+    grouped = edges.withColumn(GROUP, floor_div(F.col(BLOCK), fanout))
     near = grouped.withColumn(name, F.coalesce(F.sum(c).over(inner.rowsBetween(*before)), F.lit(0)))
-    far = grouped.groupBy(*keys, "group").agg(F.sum(c).alias("far_sum")).withColumn(
-        "far_sum", F.coalesce(F.sum("far_sum").over(outer.rowsBetween(*before)), F.lit(0))
+    far = grouped.groupBy(*keys, GROUP).agg(F.sum(c).alias("__far_sum")).withColumn(
+        "__far_sum", F.coalesce(F.sum("__far_sum").over(outer.rowsBetween(*before)), F.lit(0))
     )
-    return near.join(far, [*keys, "group"], "left").withColumn(
-        name, F.col(name) + F.col("far_sum")
-    ).drop("group", "far_sum")
+    return join_on(near, far, [*keys, GROUP], "left").withColumn(
+        name, F.col(name) + F.col("__far_sum")
+    ).drop(GROUP, "__far_sum")
 
 
 def number_rows(
     df: DataFrame, keys: Sequence[str] = (), order: str = POS, size: int = 4096,
-    name: str = POS, fanout: int = FANOUT, cut: str | None = None,
+    name: str = POS, fanout: int = FANOUT, cut: str | None = None, unique: bool = False,
 ) -> DataFrame:
     """Dense positions 0, 1, 2, ... in the order of an integer column.
 
     Rows are counted per block, the counts are summed over the blocks, and a
     row number inside the block is added. Blocks are cut from ``cut``, an
     integer that grows with ``order`` and starts near 0 (default: ``order``).
+    With ``unique`` a value of ``order`` that repeats in a series is an error.
     """
     blocked = by_block(with_block(df, size, cut or order), keys)
-    counts = blocked.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("rows_in_block"))
-    starts = carry_sum(counts, keys, "rows_in_block", "rows_before", fanout).drop("rows_in_block")
-    local = F.row_number().over(block_window(keys, order)) - 1
-    numbered = blocked.withColumn("row_in_block", local).join(starts, [*keys, BLOCK], "left")
-    out = numbered.withColumn("dense", (F.col("rows_before") + F.col("row_in_block")).cast("bigint"))
-    out = out.drop(BLOCK, "row_in_block", "rows_before", *([name] if name in df.columns else []))
-    return out.withColumnRenamed("dense", name)
+    counts = blocked.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("__rows_in_block"))
+    starts = carry_sum(counts, keys, "__rows_in_block", "__rows_before", fanout).drop("__rows_in_block")
+    window = block_window(keys, order)
+    local = F.row_number().over(window) - 1
+    if unique:
+        local = F.when(
+            F.lag(order).over(window) == F.col(order), F.raise_error(F.lit("a time repeats within a series")).cast("int")
+        ).otherwise(local)
+    numbered = join_on(blocked.withColumn("__row_in_block", local), starts, [*keys, BLOCK], "left")
+    out = numbered.withColumn("__dense", (F.col("__rows_before") + F.col("__row_in_block")).cast("bigint"))
+    out = out.drop(BLOCK, "__row_in_block", "__rows_before", *([name] if name in df.columns else []))
+    return out.withColumnRenamed("__dense", name)
 
 
 def series_length(df: DataFrame, keys: Sequence[str] = (), pos: str = POS, name: str = "n") -> DataFrame:

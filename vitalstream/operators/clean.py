@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from vitalstream.functions.flags import any_missing, outside, within
-from vitalstream.functions.summary import attach, long_rows, q
+from vitalstream.functions.summary import attach, join_on, long_rows, q
 from vitalstream.functions.timeline import DAY_US, floor_div, freq_micros, from_micros, seconds
 from vitalstream.operators.blocks import (
     BLOCK, FANOUT, POS, block_window, by_block, carry_nearest, carry_sum, task_count, with_block,
@@ -80,49 +80,49 @@ def resample(
     """
     step = freq_micros(freq) // 1_000_000
     # Frequencies are whole seconds, so the fraction of a second never matters.
-    readings = df.where(F.col(ts).isNotNull()).withColumn("at", seconds(F.col(ts)))
+    readings = df.where(F.col(ts).isNotNull()).withColumn("__at", seconds(F.col(ts)))
     day = DAY_US // 1_000_000
     if day % step:
         # Buckets that do not divide a day count from midnight of the first day.
-        start = readings.agg((F.min("at") - F.pmod(F.min("at"), F.lit(day))).alias("origin"))
+        start = readings.agg((F.min("__at") - F.pmod(F.min("__at"), F.lit(day))).alias("__origin"))
         readings = attach(readings, start)
     else:
         start = None
-        readings = readings.withColumn("origin", F.lit(0).cast("bigint"))
-    readings = readings.withColumn("bucket", floor_div(F.col("at") - F.col("origin"), step))
+        readings = readings.withColumn("__origin", F.lit(0).cast("bigint"))
+    readings = readings.withColumn("__bucket", floor_div(F.col("__at") - F.col("__origin"), step))
 
-    bounds = readings.groupBy(*keys).agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
-    last_block = floor_div(F.col("last") - F.col("first"), block_rows)
+    bounds = readings.groupBy(*keys).agg(F.min("__bucket").alias("__first"), F.max("__bucket").alias("__last"))
+    last_block = floor_div(F.col("__last") - F.col("__first"), block_rows)
     # An explicit number of tasks: adaptive execution would merge these few
     # block ids into one task, which would then unfold the whole axis.
     blocks = (
-        bounds.where(F.col("first").isNotNull())
+        bounds.where(F.col("__first").isNotNull())
         .withColumn(BLOCK, F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
         .repartition(task_count(df), *[F.col(c) for c in (*keys, BLOCK)])
     )
-    from_bucket = F.col("first") + F.col(BLOCK) * block_rows
-    to_bucket = F.least(F.col("last"), from_bucket + (block_rows - 1))
+    from_bucket = F.col("__first") + F.col(BLOCK) * block_rows
+    to_bucket = F.least(F.col("__last"), from_bucket + (block_rows - 1))
     axis = blocks.select(
         *keys,
-        F.explode(F.sequence(from_bucket, to_bucket)).alias("bucket"),
+        F.explode(F.sequence(from_bucket, to_bucket)).alias("__bucket"),
         *[F.lit(None).cast("double").alias(v) for v in vitals],
-        F.col("first"),
+        F.col("__first"),
     )
     values = readings.select(
-        *keys, "bucket", *[F.col(v).cast("double").alias(v) for v in vitals],
-        F.lit(None).cast("bigint").alias("first"),
+        *keys, "__bucket", *[F.col(v).cast("double").alias(v) for v in vitals],
+        F.lit(None).cast("bigint").alias("__first"),
     )
-    means = values.unionByName(axis).groupBy(*keys, "bucket").agg(
-        *[F.avg(v).alias(v) for v in vitals], F.max("first").alias("first")
+    means = values.unionByName(axis).groupBy(*keys, "__bucket").agg(
+        *[F.avg(v).alias(v) for v in vitals], F.max("__first").alias("__first")
     )
     if start is not None:
         means = attach(means, start)
-        at = F.col("bucket") * step + F.col("origin")
+        at = F.col("__bucket") * step + F.col("__origin")
     else:
-        at = F.col("bucket") * step
+        at = F.col("__bucket") * step
     return means.select(
         *keys,
-        (F.col("bucket") - F.col("first")).alias(POS),
+        (F.col("__bucket") - F.col("__first")).alias(POS),
         from_micros(at * 1_000_000).alias(ts),
         *vitals,
         any_missing(list(vitals)).alias("was_missing"),
@@ -139,19 +139,19 @@ def _fill(
     group = ", ".join(q(c) for c in (*keys, BLOCK))
     seen = {v: f"if({q(v)} IS NOT NULL, {POS}, NULL)" for v in vitals}
     edges = blocked.groupBy(*keys, BLOCK).agg(*[F.expr(e) for v in vitals for e in (
-        f"max({seen[v]}) AS {q('last_pos_' + v)}", f"max_by({q(v)}, {seen[v]}) AS {q('last_' + v)}",
-        f"min({seen[v]}) AS {q('first_pos_' + v)}", f"min_by({q(v)}, {seen[v]}) AS {q('first_' + v)}",
+        f"max({seen[v]}) AS {q('__last_pos_' + v)}", f"max_by({q(v)}, {seen[v]}) AS {q('__last_' + v)}",
+        f"min({seen[v]}) AS {q('__first_pos_' + v)}", f"min_by({q(v)}, {seen[v]}) AS {q('__first_' + v)}",
     )])
     kinds = [n for v in vitals for n in (f"pos_{v}", v)]
     edges = carry_nearest(
         materialise(edges, "edges"), keys,
-        {f"earlier_{k}": f"last_{k}" for k in kinds}, {f"later_{k}": f"first_{k}" for k in kinds}, fanout,
+        {f"__earlier_{k}": f"__last_{k}" for k in kinds}, {f"__later_{k}": f"__first_{k}" for k in kinds}, fanout,
     )
 
     # The following value is found by a running frame in descending order:
     # a frame that ends at the last row would be rebuilt for every row.
-    rows = by_block(blocked, keys).join(edges, [*keys, BLOCK], "left")
-    for prefix, order in (("q", "DESC"), ("p", "ASC")):
+    rows = join_on(by_block(blocked, keys), edges, [*keys, BLOCK], "left")
+    for prefix, order in (("__q", "DESC"), ("__p", "ASC")):
         frame = (f"OVER (PARTITION BY {group} ORDER BY {POS} {order} "
                  "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
         rows = rows.selectExpr("*", *[e for v in vitals for e in (
@@ -163,12 +163,12 @@ def _fill(
         return f"coalesce({q(near + v)}, {q(far + v)})"
 
     rows = rows.selectExpr(BLOCK, *[q(c) for c in df.columns], *[e for v in vitals for e in (
-        f"{either('p_pos_', 'earlier_pos_', v)} AS {q('p_pos_' + v)}", f"{either('p_', 'earlier_', v)} AS {q('p_' + v)}",
-        f"{either('q_pos_', 'later_pos_', v)} AS {q('q_pos_' + v)}", f"{either('q_', 'later_', v)} AS {q('q_' + v)}",
+        f"{either('__p_pos_', '__earlier_pos_', v)} AS {q('__p_pos_' + v)}", f"{either('__p_', '__earlier_', v)} AS {q('__p_' + v)}",
+        f"{either('__q_pos_', '__later_pos_', v)} AS {q('__q_pos_' + v)}", f"{either('__q_', '__later_', v)} AS {q('__q_' + v)}",
     )])
 
     def filled(v: str) -> str:
-        p_pos, p, q_pos, nxt = (q(n + v) for n in ("p_pos_", "p_", "q_pos_", "q_"))
+        p_pos, p, q_pos, nxt = (q(n + v) for n in ("__p_pos_", "__p_", "__q_pos_", "__q_"))
         return f"""
             CASE WHEN {q(v)} IS NOT NULL THEN {q(v)}
                  WHEN {POS} - {p_pos} <= {max_gap} OR {q_pos} - {POS} <= {max_gap} THEN coalesce(
@@ -226,13 +226,13 @@ def clean(
     # The blocks are sorted already, so kept rows are counted in the same pass.
     kept_so_far = F.count_if(keep).over(block_window(keys).rowsBetween(Window.unboundedPreceding, 0))
     kept = materialise(
-        drop_empty(filled.withColumn("kept", kept_so_far), present), "filled"
+        drop_empty(filled.withColumn("__kept", kept_so_far), present), "filled"
     )
-    counts = kept.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("kept_in_block"))
-    starts = carry_sum(counts, keys, "kept_in_block", "kept_before").drop("kept_in_block")
-    return kept.join(starts, [*keys, BLOCK], "left").select(
+    counts = kept.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("__kept_in_block"))
+    starts = carry_sum(counts, keys, "__kept_in_block", "__kept_before").drop("__kept_in_block")
+    return join_on(kept, starts, [*keys, BLOCK], "left").select(
         *keys,
-        (F.col("kept_before") + F.col("kept") - 1).alias(POS),
+        (F.col("__kept_before") + F.col("__kept") - 1).alias(POS),
         ts, *present, "was_missing",
         any_missing(present).alias("still_missing"),
     )

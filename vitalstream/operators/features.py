@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from vitalstream.functions.summary import long_columns, q
@@ -13,10 +12,8 @@ from vitalstream.operators.blocks import BLOCK, HALO, POS, by_block, number_rows
 from vitalstream.operators.clean import require_columns
 from vitalstream.sources.tables import materialise
 
-# Window frames are rebuilt for every row, so their cost grows with the frame
-# width. Above this many aggregate updates per row the block is rolled in
-# Arrow instead (measured: 6 columns x windows 5, 15, 60 run 5 times faster).
-FRAME_UPDATES_PER_ROW = 400
+# Share of a block's sum of squares below which a window's is rounding.
+ROUNDING = 1e-14
 
 
 def rolling_name(c: str, kind: str, w: int) -> str:
@@ -34,60 +31,56 @@ def add_window_features(
     lags: Sequence[int] = (),
     keys: Sequence[str] = (),
     block_rows: int = 4096,
-    engine: str = "auto",
 ) -> DataFrame:
     """Rolling mean and standard deviation over the last ``w`` rows, and lags.
 
     Frames count rows of a densely numbered series and include the current
-    one; nulls are skipped. The deviation has ddof 1 and is 0 below two values.
-    All frames share one shuffle and one sort. ``engine`` is "sql" (window
-    frames), "arrow" (pandas on one block per call) or "auto".
+    one; nulls, NaN and infinite values are skipped. The deviation has ddof 1
+    and is 0 below two values. All columns share one shuffle and one sort.
+
+    The mean adds up its own frame. The deviation comes from the difference of
+    two running sums over the block, so its cost does not depend on ``w``;
+    values are centred per block, and a sum of squares within the rounding of
+    the block's is 0.
     """
     require_columns(df, [*cols, *keys, POS])
     halo = max([w - 1 for w in windows] + list(lags) + [0])
-    blocked = by_block(with_halo(df, halo, block_rows), keys)
-    if engine == "auto":
-        engine = "arrow" if 2 * len(cols) * sum(windows) > FRAME_UPDATES_PER_ROW else "sql"
-    if engine == "arrow":
-        return _roll_in_arrow(blocked, df, cols, windows, lags, keys)
+    rows = by_block(with_halo(df, halo, block_rows), keys)
     group = ", ".join(q(c) for c in (*keys, BLOCK))
     spec = f"PARTITION BY {group} ORDER BY {POS}"
+    whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    rolled = list(enumerate(cols)) if windows else []
+    rows = rows.selectExpr("*", *[
+        f"CASE WHEN abs({q(c)}) < double('infinity') THEN CAST({q(c)} AS DOUBLE) END AS __v{i}" for i, c in rolled
+    ])
+    rows = rows.selectExpr("*", *[f"avg(__v{i}) OVER ({spec} {whole}) AS __c{i}" for i, _ in rolled])
+    # Running sums up to a row, and up to the row before a window: both frames start at the block, so a row adds its
+    # value once.
     made = []
-    for c in cols:
+    for i, c in rolled:
+        off = f"(__v{i} - __c{i})"
+        for w in (0, *windows):
+            upto = f"OVER ({spec} ROWS BETWEEN UNBOUNDED PRECEDING AND {f'{w} PRECEDING' if w else 'CURRENT ROW'})"
+            made += [
+                f"count(__v{i}) {upto} AS __n{i}_{w}", f"coalesce(sum{off} {upto}, 0D) AS __s{i}_{w}",
+                f"coalesce(sum({off} * {off}) {upto}, 0D) AS __t{i}_{w}",
+            ]
+        made += [
+            f"avg(__v{i}) OVER ({spec} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS {q(rolling_name(c, 'mean', w))}"
+            for w in windows
+        ]
+    made += [f"lag({q(c)}, {k}) OVER ({spec}) AS {q(lag_name(c, k))}" for c in cols for k in lags]
+    rows = rows.selectExpr("*", *made).where(~F.col(HALO))
+    out = []
+    for i, c in enumerate(cols):
         for w in windows:
-            frame = f"OVER ({spec} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
-            made.append(f"avg({q(c)}) {frame} AS {q(rolling_name(c, 'mean', w))}")
-            made.append(f"coalesce(stddev_samp({q(c)}) {frame}, 0D) AS {q(rolling_name(c, 'std', w))}")
-        made += [f"lag({q(c)}, {k}) OVER ({spec}) AS {q(lag_name(c, k))}" for k in lags]
-    return blocked.selectExpr("*", *made).where(~F.col(HALO)).drop(BLOCK, HALO)
-
-
-def _roll_in_arrow(
-    blocked: DataFrame, df: DataFrame, cols: Sequence[str], windows: Sequence[int],
-    lags: Sequence[int], keys: Sequence[str],
-) -> DataFrame:
-    made = [n for c in cols for n in (
-        *[x for w in windows for x in (rolling_name(c, "mean", w), rolling_name(c, "std", w))],
-        *[lag_name(c, k) for k in lags],
-    )]
-    schema = T.StructType(list(df.schema) + [T.StructField(n, T.DoubleType()) for n in made])
-    names = df.columns
-
-    def roll(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(POS)
-        out = {n: block[n] for n in names}
-        for c in cols:
-            values = block[c].astype("float64")
-            for w in windows:
-                rolling = values.rolling(w, min_periods=1)
-                out[rolling_name(c, "mean", w)] = rolling.mean()
-                out[rolling_name(c, "std", w)] = rolling.std().fillna(0.0)
-            for k in lags:
-                out[lag_name(c, k)] = values.shift(k)
-        return pd.DataFrame(out)[~block[HALO]]
-
-    # Missing values come back from Arrow as nulls.
-    return blocked.groupBy(*keys, BLOCK).applyInPandas(roll, schema)
+            n, total, squares = (f"(__{k}{i}_0 - __{k}{i}_{w})" for k in "nst")
+            left = f"({squares} - {total} * {total} / {n})"
+            flat = f"{n} < 2 OR {left} <= {ROUNDING} * __t{i}_0"
+            out.append(q(rolling_name(c, "mean", w)))
+            out.append(f"IF({flat}, 0D, sqrt({left} / ({n} - 1))) AS {q(rolling_name(c, 'std', w))}")
+        out += [q(lag_name(c, k)) for k in lags]
+    return rows.selectExpr(*[q(c) for c in df.columns], *out)
 
 
 def add_time_features(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -163,11 +156,10 @@ def build_features(
     ts: str = "timestamp",
     null_policy: str = "zero",
     block_rows: int = 4096,
-    engine: str = "auto",
 ) -> tuple[DataFrame, list[str]]:
     """Unscaled, null-free feature table and the names of its feature columns."""
     present = [v for v in vitals if v in df.columns]
-    wide = add_window_features(df, present, windows, lags, keys, block_rows, engine)
+    wide = add_window_features(df, present, windows, lags, keys, block_rows)
     wide = add_time_features(wide, ts)
     cols = feature_columns(wide, ("patient_id", "was_missing", "still_missing", POS, *keys))
     filled = fill_features(wide, cols, present, null_policy)

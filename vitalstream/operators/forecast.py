@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from vitalstream.config import ForecastConfig
 from vitalstream.functions.flags import chronological, flag, ratio
-from vitalstream.functions.summary import attach, q, totals
+from vitalstream.functions.summary import attach, join_on, q, totals
 from vitalstream.functions.timeline import DAY_US, micros
-from vitalstream.operators.blocks import POS, number_rows, spread
+from vitalstream.operators.blocks import BLOCK, POS, carry_sum, number_rows, spread, with_block
 from vitalstream.operators.clean import require_columns
 from vitalstream.sources.tables import materialise, require_table, write_table
 
@@ -29,13 +29,16 @@ TREND_PRIOR_SD = 5.0
 SEASON_PRIOR_SD = 10.0
 # Gram sums a task may hold before it hands them on.
 MAX_OPEN_SERIES = 500
+# Rounds in which blocks of time are cut anew.
+MAX_CUTS = 12
 
 
-def to_long(df: DataFrame, targets: Sequence[str], ts: str = "timestamp") -> DataFrame:
-    """``series, ds, y``: one row per target and time, rows without a value dropped."""
-    require_columns(df, [ts, *targets])
-    long = df.select(F.col(ts).alias("ds"), *[F.col(c).cast("double").alias(c) for c in targets])
-    return long.unpivot(["ds"], list(targets), SERIES, "y").where(F.col("y").isNotNull())
+def to_long(df: DataFrame, targets: Sequence[str], ts: str = "timestamp", keys: Sequence[str] = ()) -> DataFrame:
+    """``keys..., series, ds, y``: one row per target and time, rows without a value dropped; ``pos`` is kept if there."""
+    require_columns(df, [ts, *targets, *keys])
+    ids = [*keys, *([POS] if POS in df.columns else [])]
+    long = df.select(*ids, F.col(ts).alias("ds"), *[F.col(c).cast("double").alias(c) for c in targets])
+    return long.unpivot([*ids, "ds"], list(targets), SERIES, "y").where(F.col("y").isNotNull())
 
 
 def prepare_target(df: DataFrame, target: str, ts: str = "timestamp") -> DataFrame:
@@ -45,18 +48,46 @@ def prepare_target(df: DataFrame, target: str, ts: str = "timestamp") -> DataFra
 
 
 def number_series(long: DataFrame, frac: float, by: Sequence[str] = (SERIES,), block_rows: int = 4096) -> DataFrame:
-    """Add ``pos`` and ``split`` to ``by..., ds, y``. Times must be unique within a series."""
-    day = long.withColumn("us", micros(F.col("ds")))
-    span = totals(day, by, first=F.min("us"), last=F.max("us"), n=F.count(F.lit(1)))
-    # Blocks follow time; their width keeps about block_rows rows in each on average.
-    slot = attach(day, span, by).withColumn(
-        "tick", F.floor((F.col("us") - F.col("first")) * F.lit(1.0)
-                        / F.greatest(F.col("last") - F.col("first"), F.lit(1)) * F.col("n")).cast("bigint")
-    )
+    """Add ``pos`` and ``split`` to ``by..., ds, y``. A time that repeats within a series is an error.
+
+    Rows that have a ``pos`` already are numbered along it, as it grows with
+    time; else blocks are cut from the time.
+    """
+    timed = long.withColumn("__us", micros(F.col("ds")))
+    if POS in long.columns:
+        slot = timed.withColumn("__tick", F.col(POS)).drop(POS)
+    else:
+        slot = _slots_of_time(timed, by, block_rows)
     # Microseconds give the order; ticks only cut the blocks.
-    return number_rows(slot, by, "us", block_rows, POS, cut="tick").withColumn(
-        "split", chronological(F.col(POS), F.col("n"), frac)
-    ).drop("us", "first", "last", "n", "tick")
+    numbered = number_rows(slot, by, "__us", block_rows, POS, cut="__tick", unique=True).drop("__us", "__tick")
+    counts = totals(numbered, by, __n=F.count(F.lit(1)))
+    return attach(numbered, counts, by).withColumn("split", chronological(F.col(POS), F.col("__n"), frac)).drop("__n")
+
+
+def _slots_of_time(timed: DataFrame, by: Sequence[str], block_rows: int) -> DataFrame:
+    """Add ``__tick``, an estimate of a row's position that grows with time.
+
+    It starts as the share of the time span. As long as a block of ticks holds
+    more than twice its rows, the estimate is redone inside the blocks from
+    their own time spans and counts, so that a stray early time or a burst does
+    not put a series into one block.
+    """
+    span = totals(timed, by, __lo=F.min("__us"), __hi=F.max("__us"), __m=F.count(F.lit(1)))
+    share = (F.col("__us") - F.col("__lo")) * F.lit(1.0) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1))
+    tick = F.floor(share * (F.col("__m") - 1)).cast("bigint")
+    slot = attach(timed, span, by).withColumn("__tick", tick).drop("__lo", "__hi", "__m")
+    for _ in range(MAX_CUTS):
+        blocked = with_block(slot, block_rows, "__tick")
+        counts = materialise(totals(
+            blocked, [*by, BLOCK], __lo=F.min("__us"), __hi=F.max("__us"), __m=F.count(F.lit(1))
+        ), "slots")
+        if (counts.where("__lo < __hi").agg(F.max("__m")).first()[0] or 0) <= 2 * block_rows:
+            break
+        counts = join_on(counts, carry_sum(counts, by, "__m", "__before").select(*by, BLOCK, "__before"), [*by, BLOCK])
+        slot = join_on(blocked, counts, [*by, BLOCK]).withColumn("__tick", F.col("__before") + tick).drop(
+            BLOCK, "__lo", "__hi", "__m", "__before"
+        )
+    return slot
 
 
 def fit_forecast(numbered: DataFrame, cfg: ForecastConfig = ForecastConfig(), by: Sequence[str] = (SERIES,)) -> DataFrame:
@@ -81,10 +112,10 @@ def fit_forecast(numbered: DataFrame, cfg: ForecastConfig = ForecastConfig(), by
     at = ratio(F.col("us") - F.col("t0"), F.col("span"))
     # Stored, so that their known size lets the planner leave the rows in place.
     marks = materialise(marks, "marks")
-    points = marks.join(train.select(*by, POS, "us"), [*by, POS]).groupBy(*by).agg(
+    points = join_on(marks, train.select(*by, POS, "us"), [*by, POS]).groupBy(*by).agg(
         F.sort_array(F.collect_list(at)).alias("changepoints")
     )
-    points = stats.join(points, list(by), "left") if by else attach(stats, points)
+    points = join_on(stats, points, by, "left") if by else attach(stats, points)
     points = points.withColumns({
         "changepoints": F.coalesce("changepoints", F.array().cast("array<double>")),
         "span": F.greatest("span", F.lit(1.0)),
@@ -149,7 +180,7 @@ def fit_forecast(numbered: DataFrame, cfg: ForecastConfig = ForecastConfig(), by
         return pd.DataFrame([row])
 
     solved = summed.groupBy(*by).applyInPandas(solve, solve_schema)
-    model = points.join(solved, list(by)) if by else attach(points, solved)
+    model = join_on(points, solved, by) if by else attach(points, solved)
     return model.withColumn("status", F.when(F.col("n") < 2, "failed: fewer than 2 rows").otherwise(F.col("status")))
 
 
@@ -228,7 +259,7 @@ def predict(numbered: DataFrame, model: DataFrame, cfg: ForecastConfig = Forecas
 
 def merge_forecast(actuals: DataFrame, forecast: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Left join of a forecast made elsewhere on ``ds``."""
-    return actuals.join(forecast.select(*by, "ds", "yhat", "yhat_lower", "yhat_upper"), [*by, "ds"], "left")
+    return join_on(actuals, forecast.select(*by, "ds", "yhat", "yhat_lower", "yhat_upper"), [*by, "ds"], "left")
 
 
 def flag_interval(df: DataFrame) -> DataFrame:
@@ -265,19 +296,21 @@ def forecast_and_flag(
 
 def forecast_all(
     df: DataFrame, targets: Sequence[str], cfg: ForecastConfig = ForecastConfig(), ts: str = "timestamp",
-    block_rows: int = 4096,
+    block_rows: int = 4096, keys: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Fit and score every target in one job: result table and status per target."""
-    present = [c for c in targets if c in df.columns]
-    numbered = materialise(number_series(to_long(df, present, ts), cfg.train_split, block_rows=block_rows), "series")
-    model = materialise(fit_forecast(numbered, cfg), "forecast-model")
-    wanted = df.sparkSession.createDataFrame([(c,) for c in targets], f"{SERIES} string")
-    known = wanted.join(model.select(SERIES, "n", "status"), SERIES, "left")
+    """Fit and score every target of every key in one job: result table and status per key and target."""
+    present, by = [c for c in targets if c in df.columns], [*keys, SERIES]
+    numbered = number_series(to_long(df, present, ts, keys), cfg.train_split, by, block_rows)
+    numbered = materialise(numbered, "series")
+    model = materialise(fit_forecast(numbered, cfg, by), "forecast-model")
+    wanted = F.explode(F.array(*[F.lit(c) for c in targets])).alias(SERIES)
+    wanted = df.select(*keys).distinct().select(*keys, wanted) if keys else df.sparkSession.range(1).select(wanted)
+    known = join_on(wanted, model.select(*by, "n", "status"), by, "left")
     status = known.withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))).withColumn(
         "status", F.coalesce("status", F.when(F.col(SERIES).isin(present), "failed: no training rows").otherwise("failed: no such column"))
     )
-    good = numbered.join(model.where("status = 'ok'").select(SERIES), SERIES, "left_semi")
-    return forecast_and_flag(good, model, cfg), status
+    good = join_on(numbered, model.where("status = 'ok'").select(*by), by, "left_semi")
+    return forecast_and_flag(good, model, cfg, by), status
 
 
 def save_forecast(model: DataFrame, path: str) -> None:

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from vitalstream.config import ForestConfig
-from vitalstream.functions.flags import chronological, flag, min_max
+from vitalstream.functions.flags import chronological, min_max
 from vitalstream.functions.quantiles import exact_quantiles
-from vitalstream.functions.summary import attach, long_rows, q
+from vitalstream.functions.summary import attach, join_on, long_rows, q
 from vitalstream.operators.blocks import POS, spread, task_count, with_length
 from vitalstream.sources.tables import require_table, write_table
 
@@ -25,6 +26,8 @@ SCORE = "raw_score"
 RESOLUTION = 1 << 53
 # Rows walked down the trees at a time: keeps the working arrays in cache.
 CHUNK = 4096
+# Slots of all trees together, as they are sent to every task: about 1.5 GB.
+MAX_SLOTS = 1 << 26
 
 
 def path_correction(n: float) -> float:
@@ -174,7 +177,14 @@ def _mean_depth(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, path: np.nd
 
 
 def score_rows(model: ForestModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """``keep`` columns plus ``raw_score`` = 2^(-mean depth / c(sample size)); works on streams too."""
+    """``keep`` columns plus ``raw_score`` = 2^(-mean depth / c(sample size)); works on streams too.
+
+    Kept columns pass through as they are. A row that lacks a feature has no
+    score (null).
+    """
+    slots = model.nodes.select("tree").distinct().count() * 2 ** (model.depth + 1)
+    if slots > MAX_SLOTS:
+        raise ValueError(f"trees of {slots} slots exceed the {MAX_SLOTS} that are sent to every task")
     arrays = _forest_arrays(model.nodes.toPandas(), model.depth)
     shared = df.sparkSession.sparkContext.broadcast(arrays)
     keep, depth = list(keep), model.depth
@@ -183,14 +193,16 @@ def score_rows(model: ForestModel, df: DataFrame, keep: Sequence[str]) -> DataFr
     rows = spread(df.select(*keep, *[F.col(c).cast("double").alias(n) for c, n in zip(model.features, names)]))
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(SCORE, T.DoubleType())])
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feature, cut, path = shared.value
-        for frame in frames:
-            out = frame[keep].copy()
-            out[SCORE] = 2.0 ** (-_mean_depth(frame[names].to_numpy(), feature, cut, path, depth) / norm)
-            yield out
+        for batch in batches:
+            x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+            missing = np.isnan(x).any(axis=1)
+            raw = 2.0 ** (-_mean_depth(x, feature, cut, path, depth) / norm)
+            kept = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(raw, mask=missing)], [*keep, SCORE])
 
-    return rows.mapInPandas(score, schema)
+    return rows.mapInArrow(score, schema)
 
 
 def calibrate(model: ForestModel, train_scores: DataFrame) -> ForestModel:
@@ -222,7 +234,7 @@ def flag_scores(model: ForestModel, scored: DataFrame, normalise: str = "batch")
         share = min_max(F.col(SCORE), F.lit(model.score_min), F.lit(model.score_max))
         share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
     return scored.withColumns({
-        "anomaly_if": F.when(hit, -1).otherwise(1), "anomaly": flag(hit), "anomaly_score": share,
+        "anomaly_if": F.when(hit, -1).when(~hit, 1), "anomaly": F.when(hit, 1).when(~hit, 0), "anomaly_score": share,
     }).drop("score_lo", "score_hi")
 
 
@@ -231,8 +243,8 @@ def forest_result(
     keys: Sequence[str] = (), ts: str = "timestamp", meta: Sequence[str] = ("patient_id", "was_missing"),
 ) -> DataFrame:
     """Result table with the measurements in their own units and the chronological split."""
-    picked = [c for c in (*meta, *vitals) if c in clean.columns]
-    joined = flagged.join(clean.select(*keys, ts, *picked), [*keys, ts], "inner")
+    picked = [c for c in dict.fromkeys((*meta, *vitals)) if c in clean.columns and c not in (*keys, ts)]
+    joined = join_on(flagged, clean.select(*keys, ts, *picked), [*keys, ts])
     n = with_length(joined, keys, POS, "series_n")
     return n.withColumn("split", chronological(F.col(POS), F.col("series_n"), frac)).select(
         *keys, POS, ts, *picked, "anomaly_if", "anomaly", "anomaly_score", "split"

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from vitalstream.config import WindowModelConfig
@@ -21,6 +22,8 @@ from vitalstream.operators.split import label_window_split
 from vitalstream.sources.tables import require_table, write_table
 
 MODEL_SCHEMA = "kind string, idx int, vec array<double>"
+# Windows rebuilt at a time, and rows whose windows one task sums up.
+CHUNK, TASK_ROWS = 4096, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -68,7 +71,7 @@ def _views(values: np.ndarray, length: int) -> np.ndarray:
 
 def _blocks(df: DataFrame, cols: Sequence[str], length: int, keys: Sequence[str], extra: Sequence[Column],
             block_rows: int) -> DataFrame:
-    values = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
+    values = [F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(cols)]
     return with_halo(df.select(*keys, POS, *extra, *values), length - 1, block_rows)
 
 
@@ -89,10 +92,10 @@ def fit_windows(
     rows = attach(df.select(*keys, POS, *cols), n, keys)
     blocks = _blocks(rows, cols, length, keys, [in_train.alias("in_train")], block_rows)
     order = [F.col(c) for c in (*keys, BLOCK)]
-    # Every task hands on a whole matrix, so there are no more tasks than blocks.
-    tasks = max(1, min(task_count(df), -(-total_rows // block_rows)))
+    # Every task hands on a whole matrix, so there are no more tasks than blocks; a task's rows are bounded.
+    tasks = max(1, min(max(task_count(df), total_rows // TASK_ROWS), -(-total_rows // block_rows)))
     placed = blocks.repartition(tasks, *order).sortWithinPartitions(*order, F.col(POS))
-    names = [f"x{i}" for i in range(len(cols))]
+    names = [f"__x{i}" for i in range(len(cols))]
     size = length * len(cols) + 1
     upper = np.triu_indices(size)
     block_id = [*keys, BLOCK]
@@ -151,24 +154,43 @@ def score_windows(
     trained network can be passed in place of ``WindowModel.reconstruct``.
     """
     _require_length(df, length, keys)
-    blocks = by_block(_blocks(df, cols, length, keys, [F.col(c) for c in carry], block_rows), keys)
-    names = [f"x{i}" for i in range(len(cols))]
-    keys, kept = list(keys), [*keys, POS, *carry]
+    series = F.xxhash64(*[F.col(c) for c in keys], F.lit(0)).alias("__series")
+    blocks = by_block(_blocks(df, cols, length, keys, [*[F.col(c) for c in carry], series], block_rows), keys)
+    names = [f"__x{i}" for i in range(len(cols))]
+    kept = [*keys, POS, *carry]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("mse", T.DoubleType())])
 
-    def score(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(POS)
-        ends = block.iloc[length - 1:]
-        own = ~ends[HALO].to_numpy()
-        out = ends.loc[own, kept].copy()
-        if len(out):
-            views = _views(block[names].to_numpy(), length)[own]
-            out["mse"] = ((reconstruct(views) - views) ** 2).mean(axis=(1, 2))
-        else:
-            out["mse"] = np.empty(0)
-        return out
-
-    return blocks.groupBy(*keys, BLOCK).applyInPandas(score, schema)
+    def ends_of(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        first = np.repeat(starts, np.diff(np.append(starts, len(rows))))
+        own = ~rows.column(HALO).to_numpy()
+        ends = np.flatnonzero(own & (np.arange(len(rows)) - first >= length - 1))
+        x = np.column_stack([rows.column(n).to_numpy() for n in names])
+        views = _views(x, length) if len(ends) else None
+        mse = [np.empty(0)]
+        for part in np.array_split(ends, len(ends) // CHUNK + 1) if len(ends) else []:
+            window = views[part - (length - 1)]
+            mse.append(((reconstruct(window) - window) ** 2).mean(axis=(1, 2)))
+        out = rows.select(kept).take(pa.array(ends)).append_column("mse", pa.array(np.concatenate(mse)))
+        return out.combine_chunks()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sorted rows, many blocks at a time; the last block of a batch may go on in the next.
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            if not len(rows):
+                continue
+            pos, of = rows.column(POS).to_numpy(), rows.column("__series").to_numpy()
+            starts = np.flatnonzero(np.append(True, (np.diff(pos) != 1) | (np.diff(of) != 0)))
+            rest = rows.slice(starts[-1])
+            if starts[-1]:
+                yield from ends_of(rows.slice(0, starts[-1]), starts[:-1]).to_batches()
+        if rest is not None:
+            yield from ends_of(rest, np.array([0])).to_batches()
+
+    order = [F.col(c) for c in (*keys, BLOCK, POS)]
+    return blocks.sortWithinPartitions(*order).mapInArrow(score, schema)
 
 
 def score_threshold(scores: DataFrame, multiplier: float, ddof: int = 0, score: str = "mse") -> DataFrame:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from itertools import combinations
 from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitalstream.functions.flags import flag, outside
 from vitalstream.functions.quantiles import EXACT_ROWS, exact_quantiles
-from vitalstream.functions.summary import attach, long_rows, q
+from vitalstream.functions.summary import attach, join_on, long_rows, q
 
 
 def overview(df: DataFrame, ts: str = "timestamp", key: str | None = None) -> DataFrame:
@@ -64,17 +63,19 @@ def distinct_total(df: DataFrame, key: str) -> DataFrame:
 
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of all column pairs (pairwise complete), in one pass."""
-    pairs = list(combinations(range(len(cols)), 2))
-    wide = df.agg(
-        *[F.expr(f"corr(CAST({q(cols[a])} AS DOUBLE), CAST({q(cols[b])} AS DOUBLE))").alias(f"r{a}_{b}")
-          for a, b in pairs],
-        *[F.expr(f"IF(var_pop({q(c)}) > 0, 1D, NULL)").alias(f"r{i}_{i}") for i, c in enumerate(cols)],
+    size = len(cols)
+    values = ", ".join(f"CAST({q(c)} AS DOUBLE)" for c in cols)
+    # One row per pair and input row would be wide; a row is instead folded into its own pairs by a lambda, so that
+    # hundreds of pairs stay one small expression, and the pairs are summed up as rows of (a, b).
+    pairs = df.selectExpr(f"array({values}) AS v").selectExpr(
+        f"inline(flatten(transform(sequence(0, {size - 1}), i -> transform(sequence(i, {size - 1}), "
+        "j -> named_struct('a', i, 'b', j, 'x', v[i], 'y', v[j])))))"
     )
-    size = range(len(cols))
-    return long_rows(wide, [], [
-        {"col_a": F.lit(cols[a]), "col_b": F.lit(cols[b]), "r": F.col(f"r{min(a, b)}_{max(a, b)}")}
-        for a in size for b in size
-    ])
+    r = F.when(F.col("a") == F.col("b"), F.when(F.var_pop("x") > 0, 1.0)).otherwise(F.corr("x", "y"))
+    half = pairs.groupBy("a", "b").agg(r.alias("r"))
+    whole = half.unionByName(half.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return whole.select(F.get(names, F.col("a")).alias("col_a"), F.get(names, F.col("b")).alias("col_b"), "r")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50, by: Sequence[str] = ()) -> DataFrame:
@@ -83,10 +84,12 @@ def histogram(df: DataFrame, value: str, bins: int = 50, by: Sequence[str] = ())
     The last bin is closed; empty bins are listed. With ``by`` every group has
     its own range. If all values are equal the range is widened by 0.5.
     """
-    rows = df.select(*by, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    keys = [f"__key_{i}" for i in range(len(by))]
+    named = [F.col(q(c)).alias(k) for c, k in zip(by, keys)]
+    rows = df.select(*named, F.col(q(value)).cast("double").alias("v")).where(F.col("v").isNotNull())
     lo, hi = F.min("v"), F.max("v")
     same = lo == hi
-    bounds = rows.groupBy(*by).agg(
+    bounds = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         F.when(same, lo - 0.5).otherwise(lo).alias("lo"), F.when(same, hi + 0.5).otherwise(hi).alias("hi"),
     )
@@ -94,18 +97,18 @@ def histogram(df: DataFrame, value: str, bins: int = 50, by: Sequence[str] = ())
     guess = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     # A value within rounding of an edge is put on the side its edge says.
     fixed = (
-        F.when(F.col("v") < F.col("lo") + F.col("g") * step, F.col("g") - 1)
-        .when((F.col("v") >= F.col("lo") + (F.col("g") + 1) * step) & (F.col("g") < bins - 1), F.col("g") + 1)
-        .otherwise(F.col("g"))
+        F.when(F.col("v") < F.col("lo") + F.col("guess") * step, F.col("guess") - 1)
+        .when((F.col("v") >= F.col("lo") + (F.col("guess") + 1) * step) & (F.col("guess") < bins - 1), F.col("guess") + 1)
+        .otherwise(F.col("guess"))
     )
     counted = (
-        attach(rows, bounds, by).withColumn("g", guess).withColumn("bin", fixed.cast("int"))
-        .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+        attach(rows, bounds, keys).withColumn("guess", guess).withColumn("bin", fixed.cast("int"))
+        .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     )
     # A group without values (the whole table, then) has no bins.
     grid = bounds.where(F.col("total") > 0).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return grid.join(counted, [*by, "bin"], "left").select(
-        *by, "bin", (F.col("lo") + F.col("bin") * step).alias("left"),
+    return join_on(grid, counted, [*keys, "bin"], "left").select(
+        *[F.col(k).alias(c) for c, k in zip(by, keys)], "bin", (F.col("lo") + F.col("bin") * step).alias("left"),
         (F.col("lo") + (F.col("bin") + 1) * step).alias("right"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
         (F.coalesce("n", F.lit(0)) / (F.col("total") * step)).alias("density"),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vitalstream.operators.split import filter_split
+from vitalstream.sources.tables import materialise
 
 
 def forecast_metrics(result: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -71,5 +72,21 @@ def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def sorted_by_time(df: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
-    return df.orderBy(*keys, ts)
+def sorted_by_time(
+    df: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp", ties: Sequence[str] = ()
+) -> DataFrame:
+    return df.orderBy(*keys, ts, *ties)
+
+
+def numbered_in_order(ordered: DataFrame, name: str) -> DataFrame:
+    """The place, from 0, of each row of a sorted table in its order.
+
+    Rows are counted per partition of the sorted table, so no task sees more than its own.
+    """
+    at = F.monotonically_increasing_id()
+    placed = materialise(ordered.withColumn("__at", at), "ordered").withColumn("__part", F.shiftright("__at", 33))
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(counts, "__part").withColumn(name, place).drop("__at", "__part", "__before")

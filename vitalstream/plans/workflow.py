@@ -29,7 +29,8 @@ class ForecastDetector:
         keys = list(self.series.keys)
         cleaning.require_columns(clean, [self.series.timestamp, self.cfg.target])
         rows = clean.select(
-            *keys, F.col(self.series.timestamp).alias("ds"), F.col(self.cfg.target).cast("double").alias("y")
+            *keys, *([POS] if POS in clean.columns else []), F.col(self.series.timestamp).alias("ds"),
+            F.col(self.cfg.target).cast("double").alias("y"),
         ).dropna("any", subset=["y"])
         numbered = forecast.number_series(rows, self.cfg.train_split, keys, self.series.block_rows)
         return materialise(numbered, "series")
@@ -189,7 +190,7 @@ def run_features(clean: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     """Clean table to the scaled feature table, its feature columns and the scaler."""
     wide, columns = features.build_features(
         clean, s.series.vitals, s.features.windows, s.features.lags, s.series.keys,
-        s.series.timestamp, s.features.null_policy, s.series.block_rows, s.features.engine,
+        s.series.timestamp, s.features.null_policy, s.series.block_rows,
     )
     kept = materialise(wide.drop("still_missing"), "features")
     if kept.isEmpty():
