@@ -20,7 +20,7 @@ def library():
 
 def test_encoder_equals_the_library(monkeypatch):
     lib, mine, rng = library(), Encoder(tokenizer_path()), seeded(1)
-    parts = [" ", " ", "  ", "\n", "\t", "a", "b'", "'s", "é", "1", "!", "　", "\x1c", "\u0085", "<|endoftext|>", "word", "日"]
+    parts = [" ", " ", "  ", "\n", "\t", "a", "b'", "'s", "é", "1", "!", "　", "\x1c", "\u0085", "<|endoftext|>", "word", "日", ",", ".", "...", ", ", ".\n", "\x00", "_", "²", "½"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + odd_texts(rng)
     for stride in (1 << 20, 3):
         monkeypatch.setattr("vitalstream.llm.tokens.STRIDE", stride)
@@ -28,13 +28,12 @@ def test_encoder_equals_the_library(monkeypatch):
             assert np.frombuffer(mine.encode(t), "<u4").tolist() == lib.encode(t or "", add_special_tokens=False).ids
 
 
-def test_encoder_forgets(monkeypatch):
-    monkeypatch.setattr("vitalstream.llm.tokens.WORDS", 5)
-    lib, mine, rng = library(), Encoder(tokenizer_path()), seeded(2)
+def test_encoder_forgets():
+    lib, mine, rng = library(), Encoder(tokenizer_path(), 5), seeded(2)
     for _ in range(20):
         t = prose(rng, 30)
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
-    assert len(mine.words) <= 30
+    assert len(mine.words) <= 40
 
 
 @pytest.mark.parametrize("file_bytes", [1 << 25, 300])
@@ -57,8 +56,8 @@ def test_round_trip(spark, file_bytes):
     assert order == sorted(order)
     back = records.read_records(spark, path, index.orderBy(F.xxhash64("doc_id")))
     assert sorted(map(str, ((r.doc_id, list(r.ids)) for r in back.collect()))) == sorted(map(str, zip(ids, want)))
-    some = records.read_records(spark, path, index.where("doc_id = 7"))
-    assert {r.doc_id for r in some.collect()} == {7}
+    some = records.read_records(spark, path, index.where("doc_id = 15"))
+    assert {r.doc_id for r in some.collect()} == {15}
 
 
 def test_empty(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -14,7 +15,13 @@ from tokenizers import Tokenizer
 BYTE_BPE = "byte_bpe_50k.json"
 #: A space between two visible characters: the byte-level pattern always splits there, whatever stands around.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Characters looked at together, and words and pieces remembered by a worker.
+#: Written before each space, comma and full stop; texts that hold it are left to the pattern.
+SEAM = "\x00"
+#: Seams where the pattern would not split: at a mark after anything but a letter or digit, and at a space
+#: before white space or the end.
+WRONG_MARK = re.compile(r"\x00[.,](?<=[\W_]\x00.)")
+WRONG_SPACE = re.compile(r"\x00 (?![^\s\x00])")
+#: Characters looked at together, and words a worker remembers before it forgets older ones.
 STRIDE, WORDS = 1 << 20, 400_000
 
 
@@ -33,20 +40,22 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit numbers.
 
-    A text is cut at single spaces before visible characters, where the
+    A text is cut before single spaces, commas and full stops, where the
     tokenizer splits in any case, and the words by the tokenizer's own pattern.
-    The library's model encodes each new piece once, and the worker remembers
-    up to ``WORDS`` words and pieces. Strings of special tokens are ordinary
-    text. Memory follows the longest stretch without such a space.
+    The library's model encodes each new word once, and the worker remembers up to
+    twice ``words`` of them: when the newer half is full, the older is forgotten. Strings of special
+    tokens are ordinary text. Memory follows the longest stretch without a single space.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.model = Tokenizer.from_file(path).model
+        gc.set_threshold(100_000)  # many short-lived tokens, no cycles: fewer rounds of looking for some
+        self.tokenize = Tokenizer.from_file(path).model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}  # a word, to the ids of a space and the word
-        self.pieces: dict[str, bytes] = {}
+        self.limit = words
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(self.parts(text or ""))
@@ -61,40 +70,43 @@ class Encoder:
             at = end
 
     def _ids(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        head = self._pieces(first) if first else b""
-        try:
-            return head + b"".join(map(self.words.__getitem__, rest))
-        except KeyError:
-            new = set(rest).difference(self.words)
-        if any(not w or w[0].isspace() for w in new):  # white space of several characters is cut with care
-            first, *rest = CUT.split(text)
-            head = self._pieces(first)
-            new = set(rest).difference(self.words)
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-            new = set(rest)
-        for word in new:
-            self.words[word] = self._pieces(" " + word)
-        return head + b"".join(map(self.words.__getitem__, rest))
+        if SEAM in text:
+            return self._pieces(text)
+        seams = text.replace(" ", SEAM + " ").replace(",", SEAM + ",").replace(".", SEAM + ".")
+        if WRONG_SPACE.search(seams) or WRONG_MARK.search(seams):
+            seams = CUT.sub(SEAM + " ", text)
+        words = seams.split(SEAM)
+        found = list(map(self.words.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if len(self.words) > self.limit:
+            self.older, self.words = self.words, {}
+        for i in new:
+            found[i] = self._word(words[i])
+        return b"".join(found)
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word with the space or mark before it, which are remembered."""
+        ids = self.words.get(word) or self.older.get(word)
+        if ids is None:
+            # The pattern takes letters, and a space before them, as one piece.
+            ids = self._piece(word) if word[1:].isalpha() and word[0] == " " else self._pieces(word)
+        self.words[word] = ids
+        return ids
 
     def _pieces(self, text: str) -> bytes:
-        return b"".join([self.pieces.get(p) or self._piece(p) for p in self.split(text)])
+        return b"".join(map(self._piece, self.split(text)))
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.letters)
-        found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        if len(self.pieces) >= WORDS:
-            self.pieces.clear()
-        self.pieces[piece] = found
-        return found
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1")
+        return array("I", [t.id for t in self.tokenize(piece.translate(self.letters))]).tobytes()
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words: int = WORDS) -> Encoder:
     """The worker's encoder; it outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, words) not in _encoders:
+        _encoders[path, words] = Encoder(path, words)
+    return _encoders[path, words]
