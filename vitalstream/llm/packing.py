@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 from vitalstream.llm.common import col, materialise, pieces_of
 from vitalstream.llm.tokens import encoder, tokenizer_path
 
-WINDOW, PIECE, GROUP, END_ID = 1024, 256, 512, 0
+WINDOW, PIECE, GROUP, END_ID = 1024, 512, 256, 0
+#: Words a worker remembers here, as no sort shares its memory.
+WORDS = 700_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, whole boolean"
 
 
@@ -81,7 +83,7 @@ def _cut(window: int, piece: int, tokenizer: str, end_id: int):
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, WORDS).encode
         for batch in batches:
             for part in pieces_of(batch, "text", 1 << 22):
                 out = []
