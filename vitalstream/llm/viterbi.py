@@ -6,7 +6,8 @@ of the tokenizers library's Unigram model behind a Metaspace pre-tokenizer:
 a text is cut before every space, the space is written as U+2581, and one is put before
 a text that does not begin with it. Of equal scores the piece that starts first
 wins. A character that no one-character piece covers may be unknown, at the least score minus
-ten; it counts as its UTF-8 bytes if the vocabulary has byte pieces, and a run of unknown characters as one piece if not.
+ten; a run of them counts as its UTF-8 bytes if the vocabulary has byte pieces, and as one piece if not. The
+name of the unknown piece, written in a text, joins such a run; alone it is one piece.
 """
 
 from __future__ import annotations
@@ -37,11 +38,12 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
 class Counter:
     """Piece counts of texts under a vocabulary."""
 
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], unk_id: int = 0):
+        self.name = pieces[unk_id][0]
         self.automaton = ahocorasick.Automaton()
         for piece, score in dict(pieces).items():
             if piece:
-                self.automaton.add_word(piece, (len(piece), score))
+                self.automaton.add_word(piece, (len(piece), score, piece == self.name))
         self.automaton.make_automaton()
         self.reach = max(len(p) for p, _ in pieces)
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
@@ -74,7 +76,7 @@ class Counter:
 
     def _word(self, word: str) -> int:
         text = SPACE + word
-        if self.parted:
+        if self.parted and self.name not in text:
             inside, start, n = self.inside, 0, 0
             for i in range(1, len(text)):
                 if text[i - 1 : i + 1] not in inside:
@@ -102,22 +104,29 @@ class Counter:
     def best(self, text: str) -> int:
         """Pieces of the best segmentation; only the last ``reach`` characters are kept in mind."""
         size = min(self.reach, len(text)) + 1
-        score, pieces, unknown = [0.0] * size, [0] * size, [False] * size
+        # At an end: best score, pieces, and whether it ends in unknowns (1) or the unknown piece's name alone (2).
+        score, pieces, run = [0.0] * size, [0] * size, [0] * size
         done, single, found = 0, False, None  # the character being ended
 
+        def with_unknown(before: int, value: float, part: str) -> tuple[float, int, int]:
+            if not self.bytes:
+                return value, pieces[before] + int(not run[before]), 1
+            if not run[before] and part == self.name:
+                return value, pieces[before] + 1, 2
+            late = len(self.name.encode()) - 1 if run[before] == 2 else 0
+            return value, pieces[before] + len(part.encode()) + late, 1
+
         def close() -> None:
             nonlocal found
             if not single:
                 before = (done - 1) % size
                 value = score[before] + self.unknown
                 if found is None or value > found[0]:
-                    char = text[done - 1]
-                    n = len(char.encode()) if self.bytes else int(not unknown[before])
-                    found = (value, pieces[before] + n, True)
+                    found = with_unknown(before, value, text[done - 1])
             at = done % size
-            score[at], pieces[at], unknown[at] = found
+            score[at], pieces[at], run[at] = found
 
-        for last, (length, value) in self.automaton.iter(text):
+        for last, (length, value, named) in self.automaton.iter(text):
             while done <= last:
                 if done:
                     close()
@@ -125,7 +134,7 @@ class Counter:
             before = (done - length) % size
             value += score[before]
             if found is None or value > found[0]:
-                found = (value, pieces[before] + 1, False)
+                found = with_unknown(before, value, self.name) if named else (value, pieces[before] + 1, 0)
             single = single or length == 1
         while done <= len(text):
             if done:
