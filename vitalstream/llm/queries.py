@@ -111,14 +111,14 @@ WITH l AS (
   SELECT *, CASE WHEN i = n OR (h + 31 * coalesce(lag(h) OVER w, 0)) % 4 = 0 THEN 1 ELSE 0 END AS e FROM h
   WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), c AS (
-  SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM b
+  SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM b
 ), k AS (
-  SELECT doc_id, at, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, at
+  SELECT doc_id, part, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, part
 ), r AS (
-  SELECT *, CASE WHEN lines >= 2 THEN row_number() OVER (PARTITION BY chunk ORDER BY doc_id, at) ELSE 1 END AS seen FROM k
+  SELECT *, CASE WHEN lines >= 2 THEN row_number() OVER (PARTITION BY chunk ORDER BY doc_id, part) ELSE 1 END AS seen FROM k
 ), g AS (
   SELECT doc_id, count(*) FILTER (seen > 1) AS removed, coalesce(sum(lines) FILTER (seen > 1), 0) AS lines_removed,
-    coalesce(string_agg(chunk, chr(10) ORDER BY at) FILTER (seen = 1), '') AS remaining FROM r GROUP BY doc_id
+    coalesce(string_agg(chunk, chr(10) ORDER BY part) FILTER (seen = 1), '') AS remaining FROM r GROUP BY doc_id
 )
 SELECT doc_id, CASE WHEN removed > 0 THEN remaining ELSE text END AS text,
   removed::INTEGER AS chunks_removed, lines_removed::INTEGER AS lines_removed
