@@ -40,6 +40,23 @@ def test_recall_and_scores(spark, scaled):
     assert hits >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("dim", [64, 256])
+def test_recall_without_clusters(dim):
+    x = np.random.default_rng(2).standard_normal((2000, dim))
+    asked = np.arange(0, 2000, 20)
+    found = ann.Block(np.arange(2000), x, np.linalg.norm(x, axis=1).max()).search(asked, x[asked], 20)
+    want = brute(list(range(2000)), x, asked.tolist(), 20)
+    hits = sum(len(set(ids.tolist()) & {i for _, i in want[q]}) for q, (ids, _) in zip(asked.tolist(), found))
+    assert hits >= 0.95 * 20 * len(asked)
+
+
+@pytest.mark.parametrize("distance", [0.5, 1.0])
+def test_vectors_within_the_radius_are_verified(distance):
+    """A vector at the radius itself collides often enough in 0.95 of all cases."""
+    axes = np.random.default_rng(3).standard_normal((20000, ann.HASHES)) * distance
+    assert ((np.abs(axes) <= ann.WIDTH * distance).sum(1) >= ann.THRESHOLD * ann.HASHES).mean() >= 0.95
+
+
 def test_what_takes_part(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [[1, 0], [0, 0], None, [1, None], [nan, 1], [inf, 0], [], [1, 2, 3], [2, 1], [1, 1], [1, 1], [-1, 0]]

@@ -8,8 +8,9 @@ sorted array. Around a query's own projection a window is opened; a vector in
 it collides. A round widens all windows by ``GROWTH`` (virtual rehashing: nothing is
 hashed again), and a vector that collides in ``THRESHOLD`` of the projections is verified
 by its exact product. A round ends the search in a block if the ``k`` best so far lie within its
-radius, if ``k`` and a share of ``ENOUGH`` of the block are verified, or if nothing is left. At each
-radius a vector within it is verified with a probability of 0.95 or more.
+radius, or if nothing is left. At each radius a vector within it is verified with a probability of
+0.95 or more. A query that has verified a share of ``ALL_FROM`` of a block without an end verifies the rest
+of it too, which costs less than further rounds and makes its answer there exact.
 
 Vectors are dealt to blocks of a fixed mean size by a hash of id and content, the stated queries to
 blocks of theirs, and each pair of blocks is one task's group; per
@@ -27,9 +28,9 @@ from vitalstream.llm.common import col, materialise
 #: Projections, and the share of them a vector must collide in.
 K, HASHES, THRESHOLD = 20, 48, 0.53
 #: The first radius as a share of M, its growth by round, and half a window's width by radius.
-RADIUS, GROWTH, WIDTH = 0.5, 1.5, 0.9
-#: A query ends once it has verified so large a share of a block, and k more.
-ENOUGH = 0.25
+RADIUS, GROWTH, WIDTH = 0.5, 1.5, 0.95
+#: A query that has verified so large a share of a block verifies all of it.
+ALL_FROM = 0.25
 BLOCK_ROWS, QUERY_ROWS, SEED = 8192, 4096, 42
 
 
@@ -138,13 +139,14 @@ class Block:
                 ring = [o[a:b] for o, a, b in zip(self.order, lows, low)] + [o[a:b] for o, a, b in zip(self.order, high, highs)]
                 counts += np.bincount(np.concatenate(ring), minlength=len(counts))
                 low, high = lows, highs
-                fresh = np.flatnonzero((counts >= THRESHOLD * HASHES) & ~verified)
+                fresh = (counts >= THRESHOLD * HASHES) & ~verified
+                if np.count_nonzero(verified | fresh) >= ALL_FROM * len(self.ids):
+                    fresh = ~verified
+                fresh = np.flatnonzero(fresh)
                 verified[fresh] = True
                 found.append(fresh)
                 scores.append(np.einsum("ij,j->i", self.vectors[fresh], query))
                 total = np.concatenate(scores)
-                if len(total) >= k + ENOUGH * len(self.ids):
-                    break
                 if len(total) >= k:
                     # |x - q|^2 = 2 M^2 - 2 M x.q / |q| for the lifted points.
                     worst = np.partition(total, len(total) - k)[len(total) - k]
