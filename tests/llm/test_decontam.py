@@ -79,3 +79,51 @@ def test_word_hashes(monkeypatch):
     assert len(set(known.values())) == len(known)
     monkeypatch.setattr(decontam, "STRIDE", 9)
     np.testing.assert_array_equal(decontam.word_hashes(text), whole)
+
+
+def most_equal(masks, upto):
+    """By length from 1, the most equal words of a stretch that no mask fits into."""
+    span = max(map(len, masks)) - 1
+    needs = [int(m, 2) for m in masks]
+    best, out = {0: 0}, []
+    for _ in range(upto):
+        after = {}
+        for state, n in best.items():
+            for bit in (0, 1):
+                full = state << 1 | bit
+                if all(full & need != need for need in needs):
+                    key = full & ((1 << span) - 1)
+                    after[key] = max(after.get(key, 0), n + bit)
+        best = after
+        out.append(max(best.values()))
+    return out
+
+
+def test_a_mask_fits_into_any_qualifying_stretch():
+    for n, most in enumerate(most_equal(decontam.MASKS, 100), 1):
+        assert most < max(decontam.MIN_MATCHES, decontam.MIN_SHARE * n)
+    for n, most in enumerate(most_equal(decontam.SHORT_MASKS, 11), 1):
+        assert n < decontam.LEAST_MATCHES or most < max(decontam.LEAST_MATCHES, decontam.MIN_SHARE * n)
+
+
+def qualifies(same, least):
+    return any(
+        (got := sum(same[i:j])) >= least and got >= decontam.MIN_SHARE * (j - i)
+        for i in range(len(same)) for j in range(i + 1, len(same) + 1)
+    )
+
+
+def test_substituted_and_short_items(spark):
+    rng = seeded(6)
+    docs, items, want = [], [], set()
+    for n in [5, 6, 7, 8, 9, 10, 11] * 3 + [16] * 25 + [24] * 15:
+        words = [f"w{len(items)}x{k}" for k in range(n)]
+        same = [rng.random() >= 0.2 for _ in words] if len(items) >= 7 else [True] * n
+        docs.append(" ".join(["a b c", *(w if s else "other" for w, s in zip(words, same)), "d e f"]))
+        if qualifies(same, 12 if n >= 12 else max(5, 0.75 * n)):
+            want.add(len(items))
+        items.append(" ".join(words))
+    items += ["a b c", "d e f d"]  # too short
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs_frame(spark, docs), bench).collect()}
+    assert found == {(i, i) for i in want} and 35 < len(want) < len(docs)

@@ -5,6 +5,9 @@ some of the next words and ignores the others, so a masked hash survives the
 substitution of an ignored word. Masked hashes of items and documents are
 joined; around each hit the aligned words are compared, and an overlap is a
 stretch with ``MIN_MATCHES`` equal words at least, ``MIN_SHARE`` of its length.
+For an item with fewer words than that, the threshold is ``MIN_SHARE`` of the item's own words,
+``LEAST_MATCHES`` at least. No stretch that meets its threshold, of whatever length and wherever
+its unequal words lie, is without a seed.
 
 A document position goes into the join only if its hash passes a Bloom filter
 of the items' hashes, whose size is fixed (``BLOOM_BITS``): a large benchmark
@@ -13,6 +16,7 @@ lets more positions through, and loses none.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -21,9 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitalstream.llm.common import col, kept_rows, materialise, pieces_of, rows_of
 
-#: Four masks of eight words: every third free, every second free, the middle free, irregular.
-MASKS = ("11011011011", "101010101010101", "111101111", "1110010110011")
-MIN_MATCHES, MIN_SHARE = 12, 0.75
+#: Three masks of five words, found by a greedy search: one at least fits into any stretch that meets the threshold.
+MASKS = ("110111", "1101000011", "100010000111")
+#: The same for items of fewer than ``MIN_MATCHES`` words; documents are looked through with these only if there are any.
+SHORT_MASKS = ("11101", "100111", "1101001")
+MIN_MATCHES, MIN_SHARE, LEAST_MATCHES = 12, 0.75, 5
 #: Words compared on each side of a hit; bits and probes of the filter.
 REACH, BLOOM_BITS, PROBES = 48, 22, 3
 GAP = re.compile(r"[\W_]+")
@@ -67,9 +73,10 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 def masked_hashes(words: np.ndarray, mask: int) -> np.ndarray:
-    """The masked hash at every position that has room for the mask."""
-    picked = [i for i, c in enumerate(MASKS[mask]) if c == "1"]
-    n = len(words) - len(MASKS[mask]) + 1
+    """The masked hash at every position that has room for the mask; short masks are numbered after the others."""
+    chosen = (MASKS + SHORT_MASKS)[mask]
+    picked = [i for i, c in enumerate(chosen) if c == "1"]
+    n = len(words) - len(chosen) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     factors = np.random.default_rng(mask).integers(1 << 62, 1 << 63, len(picked), dtype=np.uint64) | np.uint64(1)
@@ -84,8 +91,17 @@ def _slots(hashes: np.ndarray, probe: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - BLOOM_BITS - 20 * probe)) & np.uint64((1 << BLOOM_BITS) - 1)
 
 
-def _seeds(df: DataFrame, key: list[str], bloom: np.ndarray | None) -> DataFrame:
-    """Rows (key, mask, hash, at, before, around): a masked hash, its place, and the words around it."""
+def needed(words: int) -> int:
+    """The equal words that an overlap with an item of so many words has at least."""
+    return MIN_MATCHES if words >= MIN_MATCHES else max(LEAST_MATCHES, math.ceil(MIN_SHARE * words))
+
+
+def _seeds(df: DataFrame, key: list[str], bloom: np.ndarray | None, short: bool = False) -> DataFrame:
+    """Rows (key, mask, hash, at, before, around): a masked hash, its place, and the words around it.
+
+    Without ``bloom`` the rows are items, which have the masks of their length; documents have the short masks if ``short``.
+    """
+    every, few = range(len(MASKS)), range(len(MASKS), len(MASKS) + len(SHORT_MASKS))
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(batches):
@@ -94,7 +110,11 @@ def _seeds(df: DataFrame, key: list[str], bloom: np.ndarray | None) -> DataFrame
                 out = []
                 for row, text in enumerate(part.column("text").to_pylist()):
                     words = word_hashes(text)
-                    for mask in range(len(MASKS)):
+                    if bloom is None:
+                        masks = every if len(words) >= MIN_MATCHES else few if len(words) >= LEAST_MATCHES else ()
+                    else:
+                        masks = [*every, *few] if short else every
+                    for mask in masks:
                         hashes = masked_hashes(words, mask)
                         at = np.arange(len(hashes))
                         for probe in range(PROBES if bloom is not None else 0):
@@ -136,13 +156,17 @@ def _bloom(hashes: DataFrame) -> np.ndarray:
 
 
 def overlap(mine: np.ndarray, other: np.ndarray, hit: int) -> tuple[int, int, int]:
-    """(start, end, equal words) of the best stretch around ``hit`` of two aligned arrays: +1 for equal words, -2 for others."""
-    score = np.where(mine == other, 1, -2)
-    right = np.cumsum(score[hit:])
-    left = np.cumsum(score[:hit][::-1])
-    end = hit + int(np.argmax(right)) + 1
-    start = hit - (int(np.argmax(left)) + 1 if len(left) and left.max() > 0 else 0)
-    return start, end, int((score[start:end] == 1).sum())
+    """(start, end, equal words) of the stretch around ``hit`` of two aligned arrays with the most equal words, ``MIN_SHARE`` of
+    its length at least; of several the shortest, then the first. The word at ``hit`` is equal."""
+    same = mine == other
+    equal = np.concatenate([[0], np.cumsum(same)])
+    # A share is met where this has not fallen from start to end.
+    rest = equal - MIN_SHARE * np.arange(len(equal))
+    count = np.where(rest[hit + 1 :] >= rest[: hit + 1, None], equal[hit + 1 :] - equal[: hit + 1, None], 0)
+    starts, ends = np.nonzero(count == count.max())
+    best = np.argmin(ends - starts)
+    start, end = int(starts[best]), hit + 1 + int(ends[best])
+    return start, end, int(equal[end] - equal[start])
 
 
 def _verify(batches):
@@ -158,7 +182,8 @@ def _verify(batches):
             back = min(before, item_before)
             n = min(len(doc) - before, len(other) - item_before)
             start, end, same = overlap(doc[before - back : before + n], other[item_before - back : item_before + n], back)
-            if same >= MIN_MATCHES and same >= MIN_SHARE * (end - start):
+            # The words around a hit are all of a short item, and MIN_MATCHES at least of any other.
+            if same >= needed(len(other)) and same >= MIN_SHARE * (end - start):
                 out.append((doc_id, key, doc_hash, item, at - back + start, item_at - back + start, end - start, same))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 8, kinds)], names)
 
@@ -170,8 +195,8 @@ def find_leaks(
     """One row per document and item that overlap: ``doc_id``, ``item_id``, where the longest overlap starts in both, its words and equal words.
 
     Places are word numbers from 0. Words are compared up to ``REACH`` words before and
-    after a hit, which bounds what a hit carries; the threshold lies below that, so it hides no overlap. Items below nine
-    words have no masked hash and are never reported. Null and empty texts
+    after a hit, which bounds what a hit carries; the threshold lies below that, so it hides no overlap. Items below
+    ``LEAST_MATCHES`` words are too common to tell a leak and are never reported. Null and empty texts
     overlap with nothing. Rows equal in id and text are one document; items with
     equal ids are one item. ``id`` and ``hash`` name the document where ids are null or repeat.
     An empty table on either side gives an empty result; other columns are not read.
@@ -183,7 +208,8 @@ def find_leaks(
     )
     items = benchmark.select(col(item_id).cast("long").alias("item_id"), col(item_text).cast("string").alias("text"))
     seeds = materialise(_seeds(items, ["item_id"], None), "seeds")
-    found = _seeds(docs, ["doc_id", "id", "doc_hash"], _bloom(seeds.select("hash")))
+    short = not seeds.where(F.col("mask") >= len(MASKS)).isEmpty()
+    found = _seeds(docs, ["doc_id", "id", "doc_hash"], _bloom(seeds.select("hash")), short)
     seeds = seeds.select(
         "item_id", "mask", "hash", F.col("at").alias("item_at"), F.col("before").alias("item_before"),
         F.col("around").alias("item_around"),
