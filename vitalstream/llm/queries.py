@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitalstream.llm import ann, chat, decontam, langid, linededup, packing, records, sharding, simhash, viterbi
+from vitalstream.llm import (
+    ann, chat, decontam, langid, linededup, minhash, negatives, packing, records, repair, sharding, simhash, viterbi,
+)
 from vitalstream.llm.common import documents, fresh_path
 
 
@@ -78,9 +80,32 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", label)
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = repair.summarise(repair.repair_conversations(repair.damaged(turns)))
+    # A conversation that lost all its rows counts as one without faults.
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    every = turns.select(F.col("conv_id").alias("id")).distinct()
+    return every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *[c.alias(n) for n, c in zero.items()], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_token_records, op3_interleaved_shards, op4_spaced_seeds, op5_prefix_targets, op6_token_counts,
-    op7_line_chunks, op8_language_id, op9_packing, op10_collision_counting,
+    op7_line_chunks, op8_language_id, op9_packing, op10_collision_counting, op11_hard_negatives, op12_conversation_repair,
+    op13_minhash,
 )}
 
 ORACLES = {
