@@ -74,7 +74,7 @@ class Signer:
 
 
 def _signed(docs: DataFrame, size: int, rows: int, parts: int, seed: int) -> DataFrame:
-    """``at``, ``doc_id``, ``digest`` of the set, its size ``n``, its bytes and its ``keys``."""
+    """``at``, ``doc_id``, ``md5`` of the text, ``digest`` of the set, its size ``n`` and its ``keys``."""
 
     def run(batches):
         signer = Signer(rows, parts, seed)
@@ -83,17 +83,38 @@ def _signed(docs: DataFrame, size: int, rows: int, parts: int, seed: int) -> Dat
                 sets = [shingles(t, size, seed) for t in part.column("text").to_pylist()]
                 keys = np.concatenate([signer.keys(s) for s in sets])
                 offsets = np.arange(len(sets) + 1, dtype=np.int32) * (2 * parts)
-                packed = [s.tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    part.column("at"), part.column("doc_id"),
-                    pa.array([xxhash.xxh3_128_digest(b) for b in packed], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int64()), pa.array(packed, pa.binary()),
+                    part.column("at"), part.column("doc_id"), part.column("md5"),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)),
-                ], ["at", "doc_id", "digest", "n", "shingles", "keys"])
+                ], ["at", "doc_id", "md5", "digest", "n", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"at long, doc_id {kind}, digest binary, n long, shingles binary, keys array<long>"
-    return docs.withColumn("at", F.monotonically_increasing_id()).mapInArrow(run, schema)
+    schema = f"at long, doc_id {kind}, md5 binary, digest binary, n long, keys array<long>"
+    return docs.withColumns({"at": F.monotonically_increasing_id(), "md5": _md5()}).mapInArrow(run, schema)
+
+
+def _md5():
+    return F.unhex(F.md5("text"))
+
+
+def _held(wanted: DataFrame, docs: DataFrame, size: int, seed: int) -> DataFrame:
+    """The full sets ``shingles`` of the sets ``wanted`` (``at``, ``md5`` of a text with it, others kept), made anew from their texts.
+
+    Only these texts are shuffled where ``wanted`` is small enough to be broadcast; copies are combined before.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces_of(batch, "text", 1 << 22):
+                packed = [shingles(t, size, seed).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("at"), part.column("n"), pa.array(packed, pa.binary())], ["at", "n", "shingles"])
+
+    texts = docs.select("text", _md5().alias("md5")).join(wanted, "md5").groupBy("at").agg(
+        F.first("n").alias("n"), F.first("text").alias("text")
+    )
+    return texts.mapInArrow(run, "at long, n long, shingles binary")
 
 
 def near_duplicates(
@@ -111,13 +132,17 @@ def near_duplicates(
     repeat it, and false for null ids. An empty table gives an empty result; other columns of ``df`` are not read.
     """
     docs = df.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
-    docs = materialise(_signed(docs, shingle, rows, parts, seed), "shingle-sets")
+    texts, docs = docs, materialise(_signed(docs, shingle, rows, parts, seed), "signatures")
     sets = materialise(
         docs.where("n > 0").groupBy("digest").agg(
-            F.min("at").alias("at"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")
+            F.min("at").alias("at"), F.min("md5").alias("md5"), F.min("doc_id").alias("least"), F.first("n").alias("n"),
+            F.first("keys").alias("keys"),
         ), "distinct-sets",
     )
-    found = components(_links(sets.select("at", "n", "keys"), docs.select("at", "shingles"), percent, parts))
+    members = materialise(_table_keys(sets, parts), "table-keys")
+    wanted = materialise(sets.select("at", "md5", "n").join(members.select("at"), "at", "left_semi"), "candidates")
+    held = materialise(_held(wanted, texts, shingle, seed), "candidate-sets")
+    found = components(_links(members, held, percent))
     named = sets.select("digest", "least", "at").join(found.withColumnRenamed("vertex", "at"), "at", "left").select(
         "digest", "least", F.coalesce("root", "at").alias("root")
     )
@@ -131,20 +156,14 @@ def near_duplicates(
     )
 
 
-def _links(sets: DataFrame, shingled: DataFrame, percent: int, parts: int) -> DataFrame:
+def _links(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between distinct sets with the components of all links among candidates."""
-    members = materialise(_table_keys(sets, parts), "table-keys")
     pivots = members.groupBy("key").agg(F.min("at").alias("a"))
     met = members.select("key", "at").join(pivots, "key").where("at <> a").select("a", F.col("at").alias("b")).distinct()
-    sizes = sets.select("at", "n")
+    sizes = held.select("at", "n")
     met = met.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(
         F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     ).select("a", "b")
-    met = materialise(met, "met")
-    held = sets.select("at", "n").join(
-        members.select("at").distinct(), "at", "left_semi"
-    ).join(shingled, "at")
-    held = materialise(held, "candidate-sets")
     first = materialise(_confirmed(met, held, percent), "first-links")
     return first.unionByName(_open_links(members, held, components(first), percent))
 
