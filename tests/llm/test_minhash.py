@@ -54,7 +54,7 @@ def check(spark, ids, texts, **how):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(ids, texts)))
 
 
-@pytest.mark.parametrize("block", [1 << 18, 400])
+@pytest.mark.parametrize("block", [1 << 18, 3000])
 def test_components_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
     rng = seeded(11)

@@ -32,8 +32,8 @@ from vitalstream.llm.components import components
 from vitalstream.llm.simhash import _word_runs
 
 SHINGLE, PERCENT, ROWS, PARTS, SEED = 3, 85, 4, 16, 42
-#: Shingles of one block of members, and of one matrix product's columns.
-BLOCK_SHINGLES, COLUMNS = 1 << 18, 1 << 13
+#: Shingles of one block of members, for how many more each member counts, and columns of one matrix product.
+BLOCK_SHINGLES, MEMBER, COLUMNS = 1 << 18, 128, 1 << 13
 #: Shingles that are hashed by all minhashes at once.
 STRIDE = 1 << 13
 
@@ -139,10 +139,12 @@ def near_duplicates(
             F.first("keys").alias("keys"),
         ), "distinct-sets",
     )
-    members = materialise(_table_keys(sets, parts), "table-keys")
-    wanted = materialise(sets.select("at", "md5", "n").join(members.select("at"), "at", "left_semi"), "candidates")
+    sides = materialise(_live_sides(sets, parts), "live-hashes")
+    members = materialise(_members(sides), "table-members")
+    ends = members.select("at").unionByName(members.select(F.col("pivot").alias("at"))).distinct()
+    wanted = materialise(sets.select("at", "md5", "n").join(ends, "at", "left_semi"), "candidates")
     held = materialise(_held(wanted, texts, shingle, seed), "candidate-sets")
-    found = components(_links(members, held, percent))
+    found = components(_links(sides, members, held, percent))
     named = sets.select("digest", "least", "at").join(found.withColumnRenamed("vertex", "at"), "at", "left").select(
         "digest", "least", F.coalesce("root", "at").alias("root")
     )
@@ -156,31 +158,36 @@ def near_duplicates(
     )
 
 
-def _links(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+def _live_sides(sets: DataFrame, parts: int) -> DataFrame:
+    """``at`` and those of its hashes ``a`` and ``b`` that another set has too, place and hash mixed into one number."""
+    hashes = sets.select("at", F.posexplode("keys").alias("i", "k")).select(
+        "at", (F.col("i") < parts).alias("is_a"), F.xxhash64("i", "k").alias("h")
+    )
+    live = hashes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    side = lambda flag: F.collect_list(F.when(flag, F.col("h")))
+    return hashes.join(live, "h").groupBy("at").agg(
+        side(F.col("is_a")).alias("a"), side(~F.col("is_a")).alias("b")
+    ).where("size(a) > 0 and size(b) > 0")
+
+
+def _members(sides: DataFrame) -> DataFrame:
+    """``at``, its hash ``a`` and the table's least member ``pivot``, for each table in which it meets another set."""
+    keyed = sides.select("at", F.explode("a").alias("a"), "b").select("at", "a", F.explode("b").alias("b")).select(
+        "at", "a", F.xxhash64("a", "b").alias("key")
+    )
+    tables = keyed.groupBy("key").agg(F.min("at").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return keyed.join(tables, "key").where("at <> pivot").select("at", "a", "pivot")
+
+
+def _links(sides: DataFrame, members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between distinct sets with the components of all links among candidates."""
-    pivots = members.groupBy("key").agg(F.min("at").alias("a"))
-    met = members.select("key", "at").join(pivots, "key").where("at <> a").select("a", F.col("at").alias("b")).distinct()
     sizes = held.select("at", "n")
+    met = members.select(F.col("pivot").alias("a"), F.col("at").alias("b")).distinct()
     met = met.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(
         F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     ).select("a", "b")
     first = materialise(_confirmed(met, held, percent), "first-links")
-    return first.unionByName(_open_links(members, held, components(first), percent))
-
-
-def _table_keys(sets: DataFrame, parts: int) -> DataFrame:
-    """``at``, its hash ``a`` (with its place ``i``) and the ``key`` of each table in which another set has the same hashes."""
-    hashes = sets.select("at", F.posexplode("keys").alias("i", "h"))
-    live = hashes.groupBy("i", "h").agg(F.count("*").alias("c")).where("c > 1").select("i", "h")
-    pairs = hashes.join(live, ["i", "h"]).groupBy("at").agg(F.collect_list(F.struct("i", "h")).alias("live"))
-    sides = pairs.select(
-        "at", F.filter("live", lambda x: x["i"] < parts).alias("a"), F.filter("live", lambda x: x["i"] >= parts).alias("b")
-    )
-    keyed = sides.select("at", F.explode("a").alias("a"), "b").select("at", "a", F.explode("b").alias("b")).select(
-        "at", "a.i", F.col("a.h").alias("a"), F.xxhash64("a.i", "a.h", "b.i", "b.h").alias("key")
-    )
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    return keyed.join(shared, "key")
+    return first.unionByName(_open_links(sides, members, held, components(first), percent))
 
 
 def _confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -201,39 +208,36 @@ def _confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _open_links(members: DataFrame, held: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """Links between members of different components that share a bucket, enough to join what is linked."""
-    labels = held.select("at", "n").join(named.withColumnRenamed("vertex", "at"), "at", "left").select(
+def _open_links(sides: DataFrame, members: DataFrame, held: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components that share a table, enough to join what is linked."""
+    labels = materialise(held.select("at", "n").join(named.withColumnRenamed("vertex", "at"), "at", "left").select(
         "at", "n", F.coalesce("root", "at").alias("label")
+    ), "labels")
+    # A table is open if a member is not in its pivot's component; all who share the table's hash of A may be in it.
+    known = labels.select("at", "label")
+    opened = members.join(known, "at").join(known.toDF("pivot", "other"), "pivot").where("label <> other").select("a").distinct()
+    rows = sides.select("at", F.explode("a").alias("a")).join(opened, "a").join(labels, "at")
+    rows = materialise(rows.select("a", "at", "label", (F.col("n") + MEMBER).alias("n")), "open-members")
+    # Groups with the same members are one. Two members have met already.
+    mixed = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    groups = rows.groupBy("a").agg(
+        F.count("*").alias("c"), mixed("at").alias("sum"), mixed("at", "n").alias("sum2"), F.sum("n").alias("n"),
+        F.min_by("label", "at").alias("first"), F.min("at").alias("low"), F.max("at").alias("high"),
+    ).where("c > 2")
+    groups = groups.groupBy("c", "sum", "sum2", "low", "high").agg(F.min(F.struct("a", "n", "first")).alias("g")).select(
+        "g.a", "g.first", F.expr(f"g.n div {BLOCK_SHINGLES}").alias("asked")
     )
-    labelled = members.join(labels, "at")
-    several = labelled.groupBy("key").agg(
-        F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")
-    ).where("c > 2 and low <> high").select("key")
-    rows = materialise(
-        labelled.join(several, "key").groupBy("i", "a", "at").agg(F.first("n").alias("n"), F.first("label").alias("label")),
-        "open-members",
-    )
-    # Groups with the same members are one; a member's label tells whether it must ask.
-    mixed = F.xxhash64("at").cast("decimal(38,0)")
-    groups = rows.groupBy("i", "a").agg(
-        F.count("*").alias("c"), F.sum(mixed).alias("sum"), F.sum("n").alias("n"), F.min_by("label", "at").alias("first"),
-        F.min("at").alias("low"), F.max("at").alias("high"), F.sum(F.xxhash64("at", "n").cast("decimal(38,0)")).alias("sum2"),
-    )
-    groups = groups.groupBy("c", "sum", "sum2", "low", "high").agg(
-        F.min(F.struct("i", "a", "n", "first")).alias("g")
-    ).select("g.i", "g.a", "g.first", F.expr(f"g.n div {BLOCK_SHINGLES}").alias("asked"))
-    rows = rows.join(groups, ["i", "a"])
-    asking = rows.where("label <> first").groupBy("i", "a").agg(F.expr(f"sum(n) div {BLOCK_SHINGLES}").alias("asking"))
-    rows = rows.join(asking, ["i", "a"])
+    rows = rows.join(groups, "a")
+    asking = rows.where("label <> first").groupBy("a").agg(F.expr(f"sum(n) div {BLOCK_SHINGLES}").alias("asking"))
+    rows = rows.join(asking, "a")
     block = lambda n: F.pmod(F.xxhash64("at"), F.col(n) + 1)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n)))
     # A member stays in its block of the asked and meets every block of those that ask.
     asked = rows.select(
-        "i", "a", "at", "label", F.lit(False).alias("asks"), block("asked").alias("there"), every("asking").alias("here")
+        "a", "at", "label", F.lit(False).alias("asks"), block("asked").alias("there"), every("asking").alias("here")
     )
     asking = rows.where("label <> first").select(
-        "i", "a", "at", "label", F.lit(True).alias("asks"), every("asked").alias("there"), block("asking").alias("here")
+        "a", "at", "label", F.lit(True).alias("asks"), every("asked").alias("there"), block("asking").alias("here")
     )
     dealt = asked.unionByName(asking).join(held.select("at", "shingles"), "at")
 
@@ -241,7 +245,7 @@ def _open_links(members: DataFrame, held: DataFrame, named: DataFrame, percent:
         a, b = _forest(group, percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("i", "a", "there", "here").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("a", "there", "here").applyInArrow(run, "a long, b long")
 
 
 def _forest(group: pa.Table, percent: int) -> tuple[list[int], list[int]]:
