@@ -36,6 +36,8 @@ SHINGLE, PERCENT, ROWS, PARTS, SEED = 3, 85, 4, 16, 42
 BLOCK_SHINGLES, MEMBER, COLUMNS = 1 << 18, 128, 1 << 13
 #: Shingles that are hashed by all minhashes at once.
 STRIDE = 1 << 13
+#: Slots of the filter through which texts are read again: 2 MB, whatever the number of texts.
+FILTER_BITS = 24
 
 
 def shingles(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -102,8 +104,15 @@ def _md5():
 def _held(wanted: DataFrame, docs: DataFrame, size: int, seed: int) -> DataFrame:
     """The full sets ``shingles`` of the sets ``wanted`` (``at``, ``md5`` of a text with it, others kept), made anew from their texts.
 
-    Only these texts are shuffled where ``wanted`` is small enough to be broadcast; copies are combined before.
+    A filter of fixed size lets these texts pass and few others, so that not all texts are shuffled; the join
+    is exact. Copies are combined before.
     """
+    bits = _slots_of(wanted)
+
+    def passing(batches):
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            yield batch.drop_columns(["h"]).filter(pa.array(np.logical_and(*(_bit(bits, s) for s in _slots(h)))))
 
     def run(batches):
         for batch in batches:
@@ -111,12 +120,35 @@ def _held(wanted: DataFrame, docs: DataFrame, size: int, seed: int) -> DataFrame
                 packed = [shingles(t, size, seed).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("at"), part.column("n"), pa.array(packed, pa.binary())], ["at", "n", "shingles"])
 
-    texts = docs.select("text", _md5().alias("md5")).join(wanted, "md5").groupBy("at").agg(
-        F.first("n").alias("n"), F.first("text").alias("text")
+    read = docs.select("text", _md5().alias("md5")).withColumn("h", F.xxhash64("md5")).mapInArrow(
+        passing, "text string, md5 binary"
     )
+    texts = read.join(wanted, "md5").groupBy("at").agg(F.first("n").alias("n"), F.first("text").alias("text"))
     return texts.mapInArrow(run, "at long, n long, shingles binary")
 
 
+def _slots(h):
+    """Two slots of a 64-bit hash; of a column or of numbers."""
+    mask = (1 << FILTER_BITS) - 1
+    if isinstance(h, np.ndarray):
+        return h & np.uint64(mask), h >> np.uint64(64 - FILTER_BITS)
+    return h.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(h, 64 - FILTER_BITS)
+
+
+def _bit(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def _slots_of(wanted: DataFrame) -> np.ndarray:
+    """The filter as packed bits. Its bytes come to the driver, not the texts' hashes."""
+    slots = wanted.select(F.explode(F.array(*_slots(F.xxhash64("md5")))).alias("slot"))
+    one = F.call_function("shiftleft", F.lit(1), F.col("slot").bitwiseAND(F.lit(7)).cast("int"))
+    found = slots.groupBy(F.shiftright("slot", 3).alias("byte")).agg(F.bit_or(one).alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    bits[found.column("byte").to_numpy()] = found.column("bits").to_numpy()
+    return bits
+
+
 def near_duplicates(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT,
     rows: int = ROWS, parts: int = PARTS, seed: int = SEED,
