@@ -307,6 +307,9 @@ ORACLES = {
         + ", ".join(rolling(c, w) for c in ("click", "view") for w in (5, 15, 60)) + " FROM grid",
     "rolling_features_wide": f"WITH {GRID} SELECT pos, {CH6}, "
         + ", ".join(rolling(c, w) for c in CHANNELS for w in (5, 15, 60)) + " FROM grid",
+    "rolling_with_outlier": f"WITH {GRID}, o AS (SELECT pos, CASE WHEN pos % 500 = 3 THEN 1e12 ELSE click END AS click FROM grid) SELECT pos, "
+        + ", ".join(r(f"CASE WHEN max(click) {over} >= 1e12 THEN CASE WHEN count(click) {over} > 1 THEN -1.0 ELSE 0.0 END ELSE coalesce(stddev_samp(click) {over}, 0) END", f"click_roll_std_{w}")
+                    for w in (5, 15, 60) for over in [f"OVER (ORDER BY pos ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"]) + " FROM o",
     "lag_features": f"WITH {GRID} SELECT pos, {r('click', 'click')}, {r('view', 'view')}, {lags('click', [1, 5, 15])}, {lags('view', [1, 5, 15])} FROM grid",
     "rolling_per_user": f"WITH {user_grid(['click', 'view'])} SELECT user_id, pos, {r('click', 'click')}, {r('view', 'view')}, "
         + ", ".join(f"{rolling(c, 5, 'PARTITION BY user_id ')}, {lags(c, [1], 'PARTITION BY user_id ')}" for c in ("click", "view")) + " FROM grid",

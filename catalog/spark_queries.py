@@ -522,11 +522,20 @@ def rolling_features(spark, sf_dir):
 
 @query
 def rolling_features_wide(spark, sf_dir):
-    """All channels: the frames are wide enough for the Arrow path."""
+    """All channels, in small blocks."""
     grid = grid15(spark, sf_dir).select(POS, *CHANNELS)
     return rounded(features.add_window_features(grid, CHANNELS, [5, 15, 60], block_rows=512))
 
 
+@query
+def rolling_with_outlier(spark, sf_dir):
+    """Deviations beside readings of 1e12; windows that hold one give -1, as its square has no decimals left."""
+    grid = grid15(spark, sf_dir).select(POS, F.when(F.col(POS) % 500 == 3, 1e12).otherwise(F.col("click")).alias("click"))
+    found = features.add_window_features(grid, ["click"], [5, 15, 60], block_rows=1024)
+    names = [f"click_roll_std_{w}" for w in (5, 15, 60)]
+    return rounded(found.select(POS, *[F.when(F.col(n) > 1e6, -1.0).otherwise(F.col(n)).alias(n) for n in names]))
+
+
 @query
 def lag_features(spark, sf_dir):
     grid = grid15(spark, sf_dir).select(POS, "click", "view")

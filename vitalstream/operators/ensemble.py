@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from vitalstream.functions.flags import flag, vote_count
-from vitalstream.functions.summary import long_rows, q
+from vitalstream.functions.summary import join_on, long_rows, q
 
 
 def flag_name(model: str) -> str:
@@ -17,13 +17,13 @@ def flag_name(model: str) -> str:
 
 
 def align_results(results: Mapping[str, DataFrame], keys: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
-    """Inner join on keys and time: one flag per model, ``split`` of the first model."""
+    """Inner join on keys and time: one flag per model, ``split`` of the first model. Null keys match each other."""
     on = [*keys, ts]
     first, *others = [
         df.select(*on, *(["split"] if i == 0 else []), F.col("anomaly").alias(flag_name(name)))
         for i, (name, df) in enumerate(results.items())
     ]
-    return reduce(lambda a, b: a.join(b, on, "inner"), others, first)
+    return reduce(lambda a, b: join_on(a, b, on), others, first)
 
 
 def add_votes(merged: DataFrame, models: Sequence[str], min_votes: int = 2) -> DataFrame:

@@ -12,10 +12,9 @@ from vitalstream.operators.blocks import BLOCK, HALO, POS, by_block, number_rows
 from vitalstream.operators.clean import require_columns
 from vitalstream.sources.tables import materialise
 
-# Share of a block's sum of squares below which a window's is rounding.
+# Share of a window's mean below which its deviation is rounding.
 ROUNDING = 1e-14
 
-
 def rolling_name(c: str, kind: str, w: int) -> str:
     return f"{c}_roll_{kind}_{w}"
 
@@ -38,51 +37,56 @@ def add_window_features(
     one; nulls, NaN and infinite values are skipped. The deviation has ddof 1
     and is 0 below two values. All columns share one shuffle and one sort.
 
-    The mean adds up its own frame. The deviation comes from the difference of
-    two running sums over the block, so its cost does not depend on ``w``;
-    values are centred per block, and a sum of squares within the rounding of
-    the block's is 0.
+    A window of ``w`` rows is the end of one chunk of ``w`` rows and the start of
+    the next. Count, mean and squared deviations run forwards and backwards
+    through every chunk and the two parts are merged, so the cost does not depend on ``w``
+    and no sums are subtracted: a huge value leaves the windows without it
+    untouched. A deviation within the rounding of the window's mean is 0.
     """
     require_columns(df, [*cols, *keys, POS])
     halo = max([w - 1 for w in windows] + list(lags) + [0])
     rows = by_block(with_halo(df, halo, block_rows), keys)
     group = ", ".join(q(c) for c in (*keys, BLOCK))
     spec = f"PARTITION BY {group} ORDER BY {POS}"
-    whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
-    rolled = list(enumerate(cols)) if windows else []
+    rolled = [(i, w) for i in range(len(cols)) for w in dict.fromkeys(windows)]
     rows = rows.selectExpr("*", *[
-        f"CASE WHEN abs({q(c)}) < double('infinity') THEN CAST({q(c)} AS DOUBLE) END AS __v{i}" for i, c in rolled
+        f"CASE WHEN abs({q(c)}) < double('infinity') THEN CAST({q(c)} AS DOUBLE) END AS __v{i}"
+        for i, c in enumerate(cols) if windows
     ])
-    rows = rows.selectExpr("*", *[f"avg(__v{i}) OVER ({spec} {whole}) AS __c{i}" for i, _ in rolled])
-    # Running sums up to a row, and up to the row before a window: both frames start at the block, so a row adds its
-    # value once.
-    made = []
-    for i, c in rolled:
-        off = f"(__v{i} - __c{i})"
-        for w in (0, *windows):
-            upto = f"OVER ({spec} ROWS BETWEEN UNBOUNDED PRECEDING AND {f'{w} PRECEDING' if w else 'CURRENT ROW'})"
-            made += [
-                f"count(__v{i}) {upto} AS __n{i}_{w}", f"coalesce(sum{off} {upto}, 0D) AS __s{i}_{w}",
-                f"coalesce(sum({off} * {off}) {upto}, 0D) AS __t{i}_{w}",
-            ]
-        made += [
-            f"avg(__v{i}) OVER ({spec} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS {q(rolling_name(c, 'mean', w))}"
-            for w in windows
-        ]
+    for w in dict.fromkeys(windows):
+        for name, way in (("__head", ""), ("__tail", "DESC")):
+            upto = f"OVER (PARTITION BY {group}, {POS} DIV {w} ORDER BY {POS} {way} ROWS UNBOUNDED PRECEDING)"
+            rows = rows.selectExpr("*", *[
+                f"named_struct('n', count(__v{i}) {upto}, 'mean', coalesce(avg(__v{i}) {upto}, 0D), "
+                f"'squares', coalesce(var_pop(__v{i}) {upto}, 0D) * count(__v{i}) {upto}) AS {name}{i}_{w}"
+                for i in range(len(cols))
+            ])
+    # A window that ends with a chunk is that chunk.
+    made = [
+        f"IF(({POS} + 1) % {w} = 0, NULL, lag(__tail{i}_{w}, {w - 1}) OVER ({spec})) AS __before{i}_{w}" for i, w in rolled
+    ]
     made += [f"lag({q(c)}, {k}) OVER ({spec}) AS {q(lag_name(c, k))}" for c in cols for k in lags]
     rows = rows.selectExpr("*", *made).where(~F.col(HALO))
     out = []
     for i, c in enumerate(cols):
         for w in windows:
-            n, total, squares = (f"(__{k}{i}_0 - __{k}{i}_{w})" for k in "nst")
-            left = f"({squares} - {total} * {total} / {n})"
-            flat = f"{n} < 2 OR {left} <= {ROUNDING} * __t{i}_0"
-            out.append(q(rolling_name(c, "mean", w)))
-            out.append(f"IF({flat}, 0D, sqrt({left} / ({n} - 1))) AS {q(rolling_name(c, 'std', w))}")
+            mean, deviation = _merged(f"__before{i}_{w}", f"__head{i}_{w}")
+            out += [f"{mean} AS {q(rolling_name(c, 'mean', w))}", f"{deviation} AS {q(rolling_name(c, 'std', w))}"]
         out += [q(lag_name(c, k)) for k in lags]
     return rows.selectExpr(*[q(c) for c in df.columns], *out)
 
 
+def _merged(before: str, now: str) -> tuple[str, str]:
+    """Mean and deviation of two runs of values, each (n, mean, squares); ``before`` may be null."""
+    m, n = f"coalesce({before}.n, 0L)", f"{now}.n"
+    apart = f"IF({m} = 0 OR {n} = 0, 0D, {before}.mean - {now}.mean)"
+    mean = f"CASE WHEN {m} + {n} = 0 THEN NULL WHEN {n} = 0 THEN {before}.mean ELSE {now}.mean + {apart} * {m} / ({m} + {n}) END"
+    squares = f"({now}.squares + coalesce({before}.squares, 0D) + {apart} * {apart} * {m} * {n} / ({m} + {n}))"
+    deviation = f"sqrt({squares} / ({m} + {n} - 1))"
+    least = f"{ROUNDING} * greatest(abs({now}.mean), abs(coalesce({before}.mean, 0D)))"
+    return mean, f"CASE WHEN {m} + {n} < 2 OR {deviation} <= {least} THEN 0D ELSE {deviation} END"
+
+
 def add_time_features(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Minute of the day on a circle: ``sin_time`` and ``cos_time``."""
     return df.withColumns({"sin_time": sin_time(F.col(ts)), "cos_time": cos_time(F.col(ts))})

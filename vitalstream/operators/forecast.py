@@ -12,8 +12,9 @@ from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitalstream.config import ForecastConfig
 from vitalstream.functions.flags import chronological, flag, ratio
@@ -123,78 +124,115 @@ def fit_forecast(numbered: DataFrame, cfg: ForecastConfig = ForecastConfig(), by
     })
     # One small row per series; it is joined to the rows and to the solution.
     points = materialise(points, "changepoints")
-    rows = attach(train.select(*by, "us", "y"), points.select(*by, "t0", "span", "y_scale", "changepoints"), by)
+    inner = {c: f"__{c}" for c in ("us", "y", "t0", "span", "y_scale", "changepoints")}
+    rows = attach(
+        train.select(*by, *[F.col(c).alias(inner[c]) for c in ("us", "y")]),
+        points.select(*by, *[F.col(c).alias(inner[c]) for c in ("t0", "span", "y_scale", "changepoints")]), by,
+    )
     order, size = cfg.fourier_order, 2 + cfg.n_changepoints + 2 * cfg.fourier_order + 1
     width = cfg.n_changepoints
     key_fields = [numbered.schema[c] for c in by]
-    gram_schema = T.StructType(key_fields + [
-        T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("g", T.DoubleType()),
-    ])
+    key_ddl = ", ".join(f"{q(f.name)} {f.dataType.simpleString()}" for f in key_fields) + ", "
     upper = np.triu_indices(size)
 
-    def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One packed triangle per series and task, of all the batches of the task."""
         open_sums: dict[tuple, np.ndarray] = {}
 
-        def emit() -> pd.DataFrame:
-            parts = []
-            for key, total in open_sums.items():
-                part = pd.DataFrame({"i": upper[0], "j": upper[1], "g": total[upper]})
-                for c, v in zip(by, key):
-                    part[c] = v
-                parts.append(part)
+        def emit() -> pa.RecordBatch:
+            keys = [pa.array(list(v), schema.field(c).type) for c, v in zip(by, zip(*open_sums))]
+            packed = pa.array([g[upper] for g in open_sums.values()], pa.list_(pa.float64()))
             open_sums.clear()
-            return pd.concat(parts)[[*by, "i", "j", "g"]].astype({"i": "int32", "j": "int32"})
-
-        for frame in frames:
-            groups = frame.groupby(list(by), sort=False) if by else [((), frame)]
-            for key, part in groups:
-                x = np.column_stack([_design(part, width, order), part["y"].to_numpy() / part["y_scale"].iloc[0]])
-                key = key if isinstance(key, tuple) else (key,)
-                open_sums[key] = open_sums.get(key, 0.0) + x.T @ x
+            return pa.RecordBatch.from_arrays([*keys, packed], [*by, "__gram"])
+
+        for batch in batches:
+            schema = batch.schema
+            x = _design(batch, width, order)
+            for key, rows in _series_rows(batch, by):
+                part = x[rows]
+                open_sums[key] = open_sums.get(key, 0.0) + part.T @ part
             if len(open_sums) > MAX_OPEN_SERIES:
                 yield emit()
         if open_sums:
             yield emit()
 
-    summed = spread(rows).mapInPandas(grams, gram_schema).groupBy(*by, "i", "j").agg(F.sum("g").alias("g"))
-    solve_schema = T.StructType(key_fields + [
-        T.StructField("slope", T.DoubleType()), T.StructField("intercept", T.DoubleType()),
-        T.StructField("deltas", T.ArrayType(T.DoubleType())), T.StructField("season", T.ArrayType(T.DoubleType())),
-        T.StructField("sigma", T.DoubleType()), T.StructField("status", T.StringType()),
-    ])
+    packed = spread(rows).mapInArrow(grams, key_ddl + "__gram array<double>")
     scale = cfg.changepoint_prior_scale
 
-    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        full = np.zeros((size, size))
-        full[part["i"], part["j"]] = part["g"]
-        full = full + np.triu(full, 1).T
-        try:
-            beta, sigma = _map_estimate(full, width, order, scale)
-            status = "ok"
-        except (np.linalg.LinAlgError, ValueError) as problem:
-            beta, sigma, status = np.full(size - 1, np.nan), np.nan, f"failed: {problem}"
-        row = dict(zip(by, key)) | {
-            "slope": beta[0], "intercept": beta[1], "deltas": beta[2:2 + width].tolist(),
-            "season": beta[2 + width:].tolist(), "sigma": sigma, "status": status,
-        }
-        return pd.DataFrame([row])
-
-    solved = summed.groupBy(*by).applyInPandas(solve, solve_schema)
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds up the triangles of a series, which follow each other, and solves each series once."""
+        names = ["slope", "intercept", "deltas", "season", "sigma", "status"]
+        kinds = [pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.string()]
+        key, total = None, None
+
+        def table(done: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*[(*k, *_solution(g, upper, size, width, order, scale)) for k, g in done])
+            kept = [*[schema.field(c).type for c in by], *kinds]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kept)], [*by, *names])
+
+        for batch in batches:
+            schema, done = batch.schema, []
+            found = zip(*[batch.column(c).to_pylist() for c in by]) if by else iter([()] * batch.num_rows)
+            for k, gram in zip(found, batch.column("__gram")):
+                gram = gram.values.to_numpy()
+                if total is not None and k == key:
+                    total = total + gram
+                    continue
+                if total is not None:
+                    done.append((key, total))
+                key, total = k, gram
+            if done:
+                yield table(done)
+        if total is not None:
+            yield table([(key, total)])
+
+    # The sums of a series come to one task as a stream: two are held at a time.
+    together = packed.repartition(*by).sortWithinPartitions(*by) if by else packed.repartition(1)
+    solved = together.mapInArrow(
+        solve, key_ddl + "slope double, intercept double, deltas array<double>, season array<double>, sigma double, status string"
+    )
     model = join_on(points, solved, by) if by else attach(points, solved)
     return model.withColumn("status", F.when(F.col("n") < 2, "failed: fewer than 2 rows").otherwise(F.col("status")))
 
 
-def _design(part: pd.DataFrame, width: int, order: int) -> np.ndarray:
-    """Slope, offset, hinges and daily harmonics of one series."""
-    us = part["us"].to_numpy()
-    t = (us - part["t0"].iloc[0]) / part["span"].iloc[0]
-    hinges = np.zeros((len(t), width))
-    points = np.asarray(part["changepoints"].iloc[0], dtype=float)
-    if len(points):
-        hinges[:, : len(points)] = np.maximum(t[:, None] - points[None, :], 0.0)
+def _series_rows(batch: pa.RecordBatch, by: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Key and row numbers of each series of a batch; null keys are a series too."""
+    if not batch.num_rows:
+        return
+    code = np.zeros(batch.num_rows, np.int64)
+    for c in by:
+        one = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        code = np.unique(code * (one.max() + 1) + one, return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+        yield tuple(batch.column(c)[int(rows[0])].as_py() for c in by), rows
+
+
+def _design(batch: pa.RecordBatch, width: int, order: int) -> np.ndarray:
+    """Slope, offset, hinges, daily harmonics and scaled value of every row of a batch."""
+    us, t0, span, y, y_scale = (
+        batch.column(c).to_numpy(zero_copy_only=False) for c in ("__us", "__t0", "__span", "__y", "__y_scale")
+    )
+    t = (us - t0) / span
+    points = np.full((len(t), width), np.inf)
+    lists = batch.column("__changepoints")
+    points[np.arange(width) < np.asarray(pc.list_value_length(lists))[:, None]] = lists.flatten().to_numpy()
+    hinges = np.maximum(t[:, None] - points, 0.0)
     angle = 2 * math.pi * (us % DAY_US) / DAY_US
     waves = [f(k * angle) for k in range(1, order + 1) for f in (np.sin, np.cos)]
-    return np.column_stack([t, np.ones_like(t), hinges, *waves])
+    return np.column_stack([t, np.ones_like(t), hinges, *waves, y / y_scale])
+
+
+def _solution(gram: np.ndarray, upper: tuple, size: int, width: int, order: int, scale: float) -> tuple:
+    full = np.zeros((size, size))
+    full[upper] = gram
+    full = full + np.triu(full, 1).T
+    try:
+        beta, sigma = _map_estimate(full, width, order, scale)
+        status = "ok"
+    except (np.linalg.LinAlgError, ValueError) as problem:
+        beta, sigma, status = np.full(size - 1, np.nan), np.nan, f"failed: {problem}"
+    return beta[0], beta[1], beta[2:2 + width], beta[2 + width:], sigma, status
 
 
 def _map_estimate(gram: np.ndarray, width: int, order: int, scale: float) -> tuple[np.ndarray, float]:
@@ -298,19 +336,31 @@ def forecast_all(
     df: DataFrame, targets: Sequence[str], cfg: ForecastConfig = ForecastConfig(), ts: str = "timestamp",
     block_rows: int = 4096, keys: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Fit and score every target of every key in one job: result table and status per key and target."""
-    present, by = [c for c in targets if c in df.columns], [*keys, SERIES]
-    numbered = number_series(to_long(df, present, ts, keys), cfg.train_split, by, block_rows)
+    """Fit and score every target of every key in one job: result table and status per key and target.
+
+    Keys may have any name; one that is a name of the result comes back as ``key_<name>``.
+    """
+    inner = {c: f"__key_{i}" for i, c in enumerate(keys)}
+    present, by = [c for c in targets if c in df.columns], [*inner.values(), SERIES]
+    # Keys are copied, so that a column may be key and target.
+    copied = df.withColumns({n: F.col(q(c)) for c, n in inner.items()})
+    numbered = number_series(to_long(copied, present, ts, list(inner.values())), cfg.train_split, by, block_rows)
     numbered = materialise(numbered, "series")
     model = materialise(fit_forecast(numbered, cfg, by), "forecast-model")
     wanted = F.explode(F.array(*[F.lit(c) for c in targets])).alias(SERIES)
-    wanted = df.select(*keys).distinct().select(*keys, wanted) if keys else df.sparkSession.range(1).select(wanted)
+    ids = list(inner.values())
+    wanted = copied.select(*ids).distinct().select(*ids, wanted) if keys else df.sparkSession.range(1).select(wanted)
     known = join_on(wanted, model.select(*by, "n", "status"), by, "left")
     status = known.withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))).withColumn(
         "status", F.coalesce("status", F.when(F.col(SERIES).isin(present), "failed: no training rows").otherwise("failed: no such column"))
     )
     good = join_on(numbered, model.where("status = 'ok'").select(*by), by, "left_semi")
-    return forecast_and_flag(good, model, cfg, by), status
+    return _named_keys(forecast_and_flag(good, model, cfg, by), inner), _named_keys(status, inner)
+
+
+def _named_keys(df: DataFrame, inner: dict[str, str]) -> DataFrame:
+    taken = {c.lower() for c in df.columns}
+    return df.withColumnsRenamed({n: f"key_{c}" if c.lower() in taken else c for c, n in inner.items()})
 
 
 def save_forecast(model: DataFrame, path: str) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from vitalstream.config import WindowModelConfig
 from vitalstream.functions.flags import flag
-from vitalstream.functions.summary import attach, long_rows, totals
+from vitalstream.functions.summary import attach, join_on, long_rows, totals
 from vitalstream.operators.blocks import BLOCK, HALO, POS, by_block, series_length, task_count, with_halo
 from vitalstream.operators.split import label_window_split
 from vitalstream.sources.tables import require_table, write_table
@@ -213,7 +213,7 @@ def flag_windows(
 
 def window_result(flagged: DataFrame, clean: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
     """Clean rows on which a window ends, with its score; earlier rows have none."""
-    return clean.drop(POS).join(flagged, [*keys, ts], "inner")
+    return join_on(clean.drop(POS), flagged, [*keys, ts])
 
 
 def rethreshold(result: DataFrame, multiplier: float, ddof: int = 1, score: str = "mse") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitalstream.functions.summary import q
+from vitalstream.functions.summary import join_on, q
 from vitalstream.operators.blocks import BLOCK, HALO, POS, by_block, series_length, with_halo
 from vitalstream.sources.tables import require_table, write_table
 
@@ -46,4 +46,4 @@ def load_windows(spark: SparkSession, path: str) -> DataFrame:
 def align_windows(scores: DataFrame, rows: DataFrame, length: int, keys: Sequence[str] = ()) -> DataFrame:
     """Join scores by ``window_index`` to the rows on which the windows end."""
     ends = scores.withColumn(POS, F.col("window_index") + (length - 1)).drop("window_index")
-    return rows.join(ends, [*keys, POS], "inner")
+    return join_on(rows, ends, [*keys, POS])

@@ -6,11 +6,14 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitalstream.functions.flags import flag, outside
 from vitalstream.functions.quantiles import EXACT_ROWS, exact_quantiles
 from vitalstream.functions.summary import attach, join_on, long_rows, q
+from vitalstream.operators.blocks import spread
 
 
 def overview(df: DataFrame, ts: str = "timestamp", key: str | None = None) -> DataFrame:
@@ -62,22 +65,85 @@ def distinct_total(df: DataFrame, key: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of all column pairs (pairwise complete), in one pass."""
+    """Pearson correlation of all column pairs (pairwise complete), in one pass.
+
+    A task keeps four matrices over the pairs (rows that have both values, mean and squared
+    deviations of the first, co-deviation), taken from a batch by matrix products with the null mask. Batches and tasks
+    are merged without subtracting sums. A pair without rows or with a constant is null, one with a NaN is NaN.
+    """
     size = len(cols)
-    values = ", ".join(f"CAST({q(c)} AS DOUBLE)" for c in cols)
-    # One row per pair and input row would be wide; a row is instead folded into its own pairs by a lambda, so that
-    # hundreds of pairs stay one small expression, and the pairs are summed up as rows of (a, b).
-    pairs = df.selectExpr(f"array({values}) AS v").selectExpr(
-        f"inline(flatten(transform(sequence(0, {size - 1}), i -> transform(sequence(i, {size - 1}), "
-        "j -> named_struct('a', i, 'b', j, 'x', v[i], 'y', v[j])))))"
-    )
-    r = F.when(F.col("a") == F.col("b"), F.when(F.var_pop("x") > 0, 1.0)).otherwise(F.corr("x", "y"))
-    half = pairs.groupBy("a", "b").agg(r.alias("r"))
-    whole = half.unionByName(half.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    values = df.select(F.array(*[F.col(q(c)).cast("double") for c in cols]).alias("v"))
+
+    def summed(batches):
+        total = None
+        for batch in batches:
+            flat = batch.column("v").flatten()
+            held = np.asarray(flat.is_valid()).reshape(-1, size)
+            x = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, size)
+            total = _merged_moments(total, _pair_moments(x, held))
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"moments": pa.array([total.ravel()], pa.list_(pa.float64()))})
+
+    def merged(table: pa.Table) -> pa.Table:
+        total = None
+        for row in table.column("moments").chunks:
+            for one in row:
+                total = _merged_moments(total, one.values.to_numpy().reshape(5, size, size))
+        return pa.table({"moments": pa.array([total.ravel()], pa.list_(pa.float64()))})
+
+    parts = spread(values).mapInArrow(summed, "moments array<double>")
+    # Two levels, so that the last task merges 64 sums and not one per task.
+    for group in (F.pmod(F.spark_partition_id(), F.lit(64)), F.lit(0)):
+        parts = parts.groupBy(group.alias("g")).applyInArrow(merged, "moments array<double>")
+
+    def pairs(batches):
+        for batch in batches:
+            for row in batch.column("moments"):
+                n, _, squares, together, nan = row.values.to_numpy().reshape(5, size, size)
+                root = np.sqrt(squares * squares.T)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    r = np.where(np.eye(size, dtype=bool), 1.0, together / root)
+                some = (n > 0) & (root > 0) | (nan > 0)
+                r[nan > 0] = np.nan
+                a, b = np.divmod(np.arange(size * size), size)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(r.ravel(), pa.float64(), mask=~some.ravel())
+                ], ["a", "b", "r"])
+
     names = F.array(*[F.lit(c) for c in cols])
+    # All pairs are listed, also those of a table without rows.
+    grid = df.sparkSession.range(size * size).select(
+        (F.col("id") / size).cast("int").alias("a"), F.pmod("id", F.lit(size)).cast("int").alias("b")
+    )
+    whole = grid.join(parts.mapInArrow(pairs, "a int, b int, r double"), ["a", "b"], "left")
     return whole.select(F.get(names, F.col("a")).alias("col_a"), F.get(names, F.col("b")).alias("col_b"), "r")
 
 
+def _pair_moments(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """For columns i, j: rows with both, mean and squared deviations of i over them, co-deviation, rows with a NaN."""
+    bad = held & np.isnan(x)
+    fine = held & ~bad
+    shift = np.where(fine, x, 0.0).sum(axis=0) / np.maximum(fine.sum(axis=0), 1)
+    x, m = np.where(fine, x - shift, 0.0), fine.astype(float)
+    n, total, squares, together = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+    rows = np.maximum(n, 1)
+    nan = bad.T.astype(float) @ held
+    return np.stack([
+        n, total / rows + shift[:, None], np.maximum(squares - total * total / rows, 0.0),
+        together - total * total.T / rows, nan + nan.T,
+    ])
+
+
+def _merged_moments(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    rows = np.maximum(n, 1)
+    apart, share = b[1] - a[1], a[0] * b[0] / rows
+    mean = np.where(a[0] == 0, b[1], a[1] + apart * b[0] / rows)
+    return np.stack([n, mean, a[2] + b[2] + apart * apart * share, a[3] + b[3] + apart * apart.T * share, a[4] + b[4]])
+
+
 def histogram(df: DataFrame, value: str, bins: int = 50, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins as in numpy: ``by..., bin, left, right, n, density``.
 
@@ -116,25 +182,35 @@ def histogram(df: DataFrame, value: str, bins: int = 50, by: Sequence[str] = ())
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], by: str = "anomaly", exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """Quartiles, whiskers (furthest value within 1.5 IQR) and outliers per group and column."""
-    long = melt(df, cols, [by]).where(F.col("value").isNotNull())
-    keys = [by, "column"]
+    """Quartiles, whiskers (furthest value within 1.5 IQR) and outliers per group and column.
+
+    The group keeps its column's name, or is called ``group`` where that is a name of the result.
+    """
+    long = melt(df.withColumn("__group", F.col(q(by))), cols, ["__group"]).where(F.col("value").isNotNull())
+    keys = ["__group", "column"]
     box = quantile_columns(long, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}, exact_rows)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    return attach(long, box, keys).groupBy(*keys, "q1", "median", "q3").agg(
+    out = attach(long, box, keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"),
     )
+    return out.withColumnRenamed("__group", "group" if by.lower() in out.columns else by)
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:
-    """Count and share per value."""
-    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-    return attach(counts, counts.agg(F.sum("n").alias("total"))).select(
-        c, "n", (F.col("n") / F.col("total")).alias("share")
+    """Count and share per value; the value keeps its column's name, ``n`` and ``share`` follow.
+
+    A column that is itself called ``n`` or ``share`` comes back as ``value``.
+    """
+    counts = df.select(F.col(q(c)).alias("__value")).where("__value IS NOT NULL").groupBy("__value").agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    name = "value" if c.lower() in ("n", "share") else c
+    return attach(counts, counts.agg(F.sum("__n").alias("__total"))).select(
+        F.col("__value").alias(name), F.col("__n").alias("n"), (F.col("__n") / F.col("__total")).alias("share")
     )
 
 
