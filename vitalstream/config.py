@@ -94,6 +94,8 @@ class WindowModelConfig:
 class EnsembleConfig:
     models: tuple[str, ...] = ("prophet", "if", "lstm")
     min_votes: int = 2
+    # Which flag of the forecast votes: "interval" or "residual".
+    forecast_flag: str = "interval"
 
 
 @dataclass(frozen=True)

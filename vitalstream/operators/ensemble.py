@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
+from operator import add
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -66,9 +67,13 @@ def unanimous(merged: DataFrame, n_models: int) -> DataFrame:
 
 
 def top_unanimous(merged: DataFrame, n: int = 20, n_models: int = 3, ts: str = "timestamp",
-                  keys: Sequence[str] = ()) -> DataFrame:
-    """The earliest ``n`` rows that all models flag."""
-    return unanimous(merged, n_models).orderBy(ts, *keys).limit(n)
+                  keys: Sequence[str] = (), severity: Sequence[str] = ()) -> DataFrame:
+    """The earliest ``n`` rows that all models flag; with ``severity`` those with the greatest sum of these score columns.
+
+    A null score counts as 0; equal sums come in time order.
+    """
+    worst = [reduce(add, [F.coalesce(F.col(q(c)).cast("double"), F.lit(0.0)) for c in severity]).desc()] if severity else []
+    return unanimous(merged, n_models).orderBy(*worst, ts, *keys).limit(n)
 
 
 def unanimous_share(merged: DataFrame, n_models: int = 3) -> DataFrame:

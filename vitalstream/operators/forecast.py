@@ -132,7 +132,7 @@ def fit_forecast(numbered: DataFrame, cfg: ForecastConfig = ForecastConfig(), by
     order, size = cfg.fourier_order, 2 + cfg.n_changepoints + 2 * cfg.fourier_order + 1
     width = cfg.n_changepoints
     key_fields = [numbered.schema[c] for c in by]
-    key_ddl = ", ".join(f"{q(f.name)} {f.dataType.simpleString()}" for f in key_fields) + ", "
+    key_ddl = "".join(f"{q(f.name)} {f.dataType.simpleString()}, " for f in key_fields)
     upper = np.triu_indices(size)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

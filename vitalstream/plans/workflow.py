@@ -13,8 +13,11 @@ from vitalstream.operators import clean as cleaning
 from vitalstream.operators import ensemble, features, forecast, forest, reconstruct, scaling
 from vitalstream.operators.blocks import POS
 from vitalstream.operators.split import label_split
+from vitalstream.operators.windows import build_windows
+from vitalstream.plans import report
 from vitalstream.plans.report import sorted_by_time
-from vitalstream.sources.tables import materialise, write_table
+from vitalstream.plans.store import RunStore, fingerprint
+from vitalstream.sources.tables import materialise
 
 
 @dataclass
@@ -172,10 +175,11 @@ class Outcome:
     scaler: list[Row]
     results: dict[str, DataFrame] = field(default_factory=dict)
     comparison: DataFrame | None = None
+    reports: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def run_preprocess(raw: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Raw readings to the clean table, kept in the shared folder."""
+    """Raw readings to the clean table."""
     named, _ = cleaning.rename_columns(raw, s.clean.column_mapping)
     parsed = cleaning.nan_to_null(cleaning.parse_timestamps(named, s.series.timestamp))
     clean = cleaning.clean(
@@ -183,7 +187,7 @@ def run_preprocess(raw: DataFrame, s: Settings = Settings()) -> DataFrame:
         s.series.keys, s.series.timestamp, s.series.block_rows,
     )
     # Without keys all readings are one stream, whatever ids they came with.
-    return materialise(clean if s.series.keys else cleaning.single_stream(clean), "clean")
+    return clean if s.series.keys else cleaning.single_stream(clean)
 
 
 def run_features(clean: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, list[str], list[Row]]:
@@ -201,35 +205,92 @@ def run_features(clean: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
 
 
 def run_ensemble(results: dict[str, DataFrame], s: Settings = Settings()) -> DataFrame:
-    merged = ensemble.align_results(results, s.series.keys, s.series.timestamp)
+    """Votes of the wanted models; of the forecast the flag that the settings name."""
+    known = {"interval": "anomaly", "residual": "anomaly_residual"}
+    if s.ensemble.forecast_flag not in known:
+        raise ValueError(f"unknown flag of the forecast: {s.ensemble.forecast_flag!r}")
+    chosen = known[s.ensemble.forecast_flag]
+    voting = {
+        m: df.withColumn("anomaly", F.col(chosen)) if m == "prophet" and chosen != "anomaly" else df
+        for m, df in results.items()
+    }
+    merged = ensemble.align_results(voting, s.series.keys, s.series.timestamp)
     return ensemble.add_votes(merged, list(results), s.ensemble.min_votes)
 
 
-def run_all(raw: DataFrame, s: Settings = Settings(), out_dir: str | None = None) -> Outcome:
-    """Every stage; with ``out_dir`` all tables and models are also stored there."""
+def run_all(
+    raw: DataFrame, s: Settings = Settings(), out_dir: str | None = None, resume: bool = False, store_windows: bool = False,
+) -> Outcome:
+    """Every stage, with the models that the settings name.
+
+    Tables, models and reports are stored below ``out_dir`` (or a folder of the run in
+    the shared folder), each once, and the outcome reads them. At full width these are the clean table, the features
+    before and after scaling, a result per model and the comparison; intermediate tables are deleted at the end. A run that was
+    cut off goes on with ``resume=True``: complete tables and models are read, the rest is made.
+    """
     spark = raw.sparkSession
-    clean = run_preprocess(raw, s)
-    table, columns, scaler = run_features(clean, s)
-    out = Outcome(clean, table, columns, scaler)
-
-    forecaster = ForecastDetector(s.forecast, s.series)
-    trees = ForestDetector(s.forest, s.series)
-    windows = WindowDetector(s.windows, s.series)
-    by_model = {
-        "prophet": forecaster.run(clean).withColumnRenamed("ds", s.series.timestamp),
-        "if": trees.run(table, columns, clean),
-        "lstm": windows.run(table, clean),
-    }
-    out.results = {name: materialise(by_model[name], f"result-{name}") for name in s.ensemble.models}
-    out.comparison = run_ensemble(out.results, s)
-    if out_dir:
-        write_table(clean, f"{out_dir}/clean")
-        write_table(table, f"{out_dir}/features")
-        scaling.save_scaler(spark, scaler, f"{out_dir}/scaler")
-        forecaster.save(f"{out_dir}/models/forecast")
-        trees.save(f"{out_dir}/models/forest")
-        windows.save(spark, f"{out_dir}/models/windows")
-        for name, df in out.results.items():
-            write_table(df, f"{out_dir}/results/{name}")
-        write_table(sorted_by_time(out.comparison, s.series.keys, s.series.timestamp), f"{out_dir}/results/comparison")
+    unknown = set(s.ensemble.models) - {"prophet", "if", "lstm"}
+    if unknown or not s.ensemble.models:
+        raise ValueError(f"unknown models: {sorted(unknown)}" if unknown else "no models")
+    keys, ts = s.series.keys, s.series.timestamp
+    store = RunStore(spark, out_dir, fingerprint(raw, s), resume)
+    with store.steps():
+        clean = store.table("clean", lambda: run_preprocess(raw, s))
+        if not (store.complete("features") and store.complete("scaler")):
+            table, columns, scaler = run_features(clean, s)
+            scaling.save_scaler(spark, scaler, store.path("scaler"))
+            store.put("features", table)
+        table, scaler = store.table("features", lambda: table), scaling.load_scaler(spark, store.path("scaler"))
+        scaler = sorted(scaler, key=lambda r: table.columns.index(r["feature"]))
+        out = Outcome(clean, table, [r["feature"] for r in scaler], scaler)
+        if store_windows:
+            vitals = [v for v in s.series.vitals if v in table.columns]
+            store.table("windows", lambda: build_windows(table, vitals, s.windows.sequence_length, keys, ts, s.series.block_rows))
+        make = {"prophet": _forecast_result, "if": _forest_result, "lstm": _window_result}
+        for name in s.ensemble.models:
+            out.results[name] = store.table(f"results/{name}", lambda name=name: make[name](store, out, s))
+        out.comparison = store.table(
+            "results/comparison", lambda: sorted_by_time(run_ensemble(out.results, s), keys, ts)
+        )
+        reports = _reports(raw, out, s)
+        out.reports = {name: store.table(f"reports/{name}", made) for name, made in reports.items()}
     return out
+
+
+def _forecast_result(store: RunStore, out: Outcome, s: Settings) -> DataFrame:
+    detector, path = ForecastDetector(s.forecast, s.series), "models/forecast"
+    if store.complete(path):
+        found = detector.load(store.spark, store.path(path)).score(out.clean)
+    else:
+        found = detector.run(out.clean)
+        detector.save(store.path(path))
+    return found.withColumnRenamed("ds", s.series.timestamp)
+
+
+def _forest_result(store: RunStore, out: Outcome, s: Settings) -> DataFrame:
+    detector = ForestDetector(s.forest, s.series)
+    found = detector.run(out.features, out.feature_columns, out.clean)
+    detector.save(store.path("models/forest"))
+    return found
+
+
+def _window_result(store: RunStore, out: Outcome, s: Settings) -> DataFrame:
+    detector = WindowDetector(s.windows, s.series).fit(out.features)
+    detector.save(store.spark, store.path("models/windows"))
+    return detector.score(out.features, out.clean)
+
+
+def _reports(raw: DataFrame, out: Outcome, s: Settings) -> dict[str, Callable[[], DataFrame]]:
+    """The reports of a run: limits, features, metrics of each model by split, rates, agreement."""
+    named, _ = cleaning.rename_columns(raw, s.clean.column_mapping)
+    models = list(out.results)
+    made = {
+        "limits": lambda: cleaning.limit_counts(cleaning.nan_to_null(named), s.clean.limits),
+        "features": lambda: features.sanity_report(out.features, out.feature_columns),
+        "rates": lambda: ensemble.rates_by_split(out.comparison, models),
+        "kpis": lambda: report.kpis(out.results),
+    }
+    if len(models) > 1:
+        made["agreement"] = lambda: ensemble.pairwise_agreement(out.comparison, models)
+    metrics = {"prophet": report.forecast_metrics, "if": report.forest_metrics, "lstm": report.window_metrics}
+    return made | {f"metrics-{m}": lambda m=m: metrics[m](out.results[m]) for m in models}

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
+# Folder of intermediate tables inside stage_scope.
+_SCOPE: ContextVar[str | None] = ContextVar("stage_scope", default=None)
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -108,11 +114,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stage_scope(spark: SparkSession, folder: str) -> Iterator[str]:
+    """Intermediate tables made inside go to ``folder``, which is deleted at the end, whether or not all went well."""
+    token = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        delete_path(spark, folder)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def _stage_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/vitalstream/{spark.sparkContext.applicationId}"
+    return _SCOPE.get() or f"{shared_dir(spark)}/vitalstream/{spark.sparkContext.applicationId}"
 
 
 def drop_stage_tables(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, once its results are stored."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(_stage_dir(spark))
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    delete_path(spark, f"{shared_dir(spark)}/vitalstream/{spark.sparkContext.applicationId}")
