@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,34 @@ def test_detector_reload_and_custom_network(spark, table, tmp_path):
         WindowDetector(cfg, series_cfg).score(df, df)
     with pytest.raises(FileNotFoundError):
         WindowDetector(cfg, series_cfg).load(spark, str(tmp_path / "absent"))
+
+
+def test_sketch_finds_the_exact_subspace(spark):
+    rng = np.random.default_rng(8)
+    t = np.arange(3000)
+    x = np.column_stack([np.sin(t / 9) * 3 + 5, np.cos(t / 4) * 2, np.sin(t / 9 + 1) + np.sin(t / 21)]) + rng.normal(0, 0.05, (3000, 3))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(pos=t, k=np.where(t < 1700, "x", "y")))
+    df = df.withColumn("pos", F.when(F.col("k") == "y", F.col("pos") - 1700).otherwise(F.col("pos")))
+    how = dict(sequence_length=8, latent_dim=6)
+    exact = RC.fit_windows(df, ["a", "b", "c"], WindowModelConfig(**how), ["k"], 256)
+    sketch = RC.fit_windows(df, ["a", "b", "c"], WindowModelConfig(**how, solver="sketch", oversample=4), ["k"], 256)
+    assert np.allclose(exact.mean, sketch.mean, rtol=0, atol=1e-9)
+    apart = exact.components.T @ exact.components - sketch.components.T @ sketch.components
+    assert np.linalg.norm(apart, 2) < 1e-6
+    assert sketch.components.shape == (6, 24)
+    with pytest.raises(ValueError):
+        RC.fit_windows(df, ["a"], WindowModelConfig(**how, solver="other"), ["k"])
+
+
+def test_a_sketch_hands_on_few_numbers(spark, monkeypatch):
+    counts = []
+    summed = RC._summed
+    monkeypatch.setattr(RC, "_summed", lambda *a: counts.append(a[-1]) or summed(*a))
+    rng = np.random.default_rng(9)
+    names = [f"c{i}" for i in range(62)]
+    df = spark.createDataFrame(pd.DataFrame(rng.normal(0, 1, (200, 62)), columns=names).assign(pos=np.arange(200)))
+    cfg = WindowModelConfig(sequence_length=60, latent_dim=32, solver="sketch", max_passes=2)
+    model = RC.fit_windows(df, names, cfg)
+    assert model.components.shape == (32, 3720)
+    # 3,720 x 43 and a count, where the exact way hands on 3,721 squared.
+    assert counts == [3720 * 42 + 3720 + 1] * 2

@@ -88,6 +88,10 @@ class WindowModelConfig:
     train_split: float = 0.8
     latent_dim: int = 32
     threshold_multiplier: float = 3.0
+    # "exact" hands on (length x columns)^2 numbers per task, "sketch" (length x columns) x (latent_dim + oversample).
+    solver: str = "exact"
+    oversample: int = 10
+    max_passes: int = 40
 
 
 @dataclass(frozen=True)

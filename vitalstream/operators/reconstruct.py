@@ -24,6 +24,8 @@ from vitalstream.sources.tables import require_table, write_table
 MODEL_SCHEMA = "kind string, idx int, vec array<double>"
 # Windows rebuilt at a time, and rows whose windows one task sums up.
 CHUNK, TASK_ROWS = 4096, 4_000_000
+# Numbers of windows written out at a time, and when the passes of a sketch end.
+FLAT_NUMBERS, SUBSPACE_MOVES, SKETCH_SEED = 4_000_000, 1e-8, 42
 
 
 @dataclass(frozen=True)
@@ -81,9 +83,15 @@ def fit_windows(
 ) -> WindowModel:
     """Principal components of the training windows.
 
-    Each task adds up the moment matrix of its windows; the tasks' matrices
-    (their number and size do not grow with the data) are summed by Spark.
+    ``exact``: each task adds up the moment matrix of its windows, (length * columns)
+    squared, and one eigenproblem of that size is solved. ``sketch``: subspace iteration from a
+    random start; a pass multiplies the moment matrix with ``latent_dim + oversample`` vectors without forming it, so
+    a task holds and hands on (length * columns) times as many numbers. Passes end when the
+    components' subspace moves by less than 1e-8, or after ``max_passes``. Neither the number nor the size of what tasks hand on grows with the data;
+    it is summed by Spark.
     """
+    if cfg.solver not in ("exact", "sketch"):
+        raise ValueError(f"unknown solver {cfg.solver!r}")
     cols, length = list(cols), cfg.sequence_length
     total_rows = _require_length(df, length, keys)
     n = series_length(df, keys, name="series_n")
@@ -96,35 +104,95 @@ def fit_windows(
     tasks = max(1, min(max(task_count(df), total_rows // TASK_ROWS), -(-total_rows // block_rows)))
     placed = blocks.repartition(tasks, *order).sortWithinPartitions(*order, F.col(POS))
     names = [f"__x{i}" for i in range(len(cols))]
-    size = length * len(cols) + 1
-    upper = np.triu_indices(size)
+    size = length * len(cols)
     block_id = [*keys, BLOCK]
 
-    def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size))
+    def flat_windows(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        """The training windows of a task, some at a time."""
         for block in _whole_blocks(frames, block_id):
             if len(block) < length:
                 continue
             ends = block.iloc[length - 1:]
-            wanted = (ends["in_train"] & ~ends[HALO]).to_numpy()
-            flat = _views(block[names].to_numpy(), length)[wanted].reshape(-1, size - 1)
-            flat = np.column_stack([flat, np.ones(len(flat))])
-            total += flat.T @ flat
-        if total[-1, -1]:
-            yield pd.DataFrame({"i": upper[0].astype("int32"), "j": upper[1].astype("int32"), "g": total[upper]})
-
-    summed = placed.mapInPandas(moments, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
-    part = summed.toPandas()  # size * (size + 1) / 2 numbers
-    gram = np.zeros((size, size))
-    gram[part["i"], part["j"]] = part["g"]
-    gram = gram + np.triu(gram, 1).T
+            wanted = np.flatnonzero((ends["in_train"] & ~ends[HALO]).to_numpy())
+            views = _views(block[names].to_numpy(), length)
+            for part in np.array_split(wanted, len(wanted) * size // FLAT_NUMBERS + 1):
+                if len(part):
+                    yield views[part].reshape(len(part), size)
+
+    latent = min(cfg.latent_dim, size)
+    if cfg.solver == "exact":
+        mean, components = _exact_components(placed, flat_windows, size, latent)
+    else:
+        width = min(latent + cfg.oversample, size)
+        mean, components = _sketched_components(placed, flat_windows, size, latent, width, cfg.max_passes)
+    return WindowModel(cols, length, mean, components)
+
+
+def _summed(placed: DataFrame, flat_windows: Callable, add: Callable, count: int) -> np.ndarray:
+    """The sum over all tasks of ``count`` numbers, to which ``add`` adds a part's windows; in two levels."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(count)
+        for flat in flat_windows(frames):
+            add(total, flat)
+        yield pd.DataFrame({"sums": [total]})
+
+    def merged(table: pa.Table) -> pa.Table:
+        total = np.zeros(count)
+        for one in table.column("sums"):
+            total += one.values.to_numpy()
+        return pa.table({"sums": pa.array([total], pa.list_(pa.float64()))})
+
+    parts = placed.mapInPandas(sums, "sums array<double>")
+    for group in (F.pmod(F.spark_partition_id(), F.lit(64)), F.lit(0)):
+        parts = parts.groupBy(group.alias("g")).applyInArrow(merged, "sums array<double>")
+    found = parts.toArrow().column("sums")
+    return found[0].values.to_numpy().copy() if len(found) else np.zeros(count)
+
+
+def _exact_components(placed: DataFrame, flat_windows: Callable, size: int, latent: int) -> tuple[np.ndarray, np.ndarray]:
+    side = size + 1
+
+    def add(total: np.ndarray, flat: np.ndarray) -> None:
+        flat = np.column_stack([flat, np.ones(len(flat))])
+        total.reshape(side, side)[:] += flat.T @ flat
+
+    gram = _summed(placed, flat_windows, add, side * side).reshape(side, side)
     count = gram[-1, -1]
     if count == 0:
         raise ValueError("no training windows")
     mean = gram[:-1, -1] / count
     vectors = np.linalg.eigh(gram[:-1, :-1] / count - np.outer(mean, mean))[1]
-    latent = min(cfg.latent_dim, size - 1)
-    return WindowModel(cols, length, mean, np.ascontiguousarray(vectors[:, ::-1][:, :latent].T))
+    return mean, np.ascontiguousarray(vectors[:, ::-1][:, :latent].T)
+
+
+def _sketched_components(
+    placed: DataFrame, flat_windows: Callable, size: int, latent: int, width: int, max_passes: int
+) -> tuple[np.ndarray, np.ndarray]:
+    def multiplied(basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Covariance times ``basis``, and the mean window."""
+
+        def add(total: np.ndarray, flat: np.ndarray) -> None:
+            total[:size * width].reshape(size, width)[:] += flat.T @ (flat @ basis)
+            total[size * width:-1] += flat.sum(axis=0)
+            total[-1] += len(flat)
+
+        total = _summed(placed, flat_windows, add, size * width + size + 1)
+        count, mean = total[-1], total[size * width:-1] / max(total[-1], 1)
+        if count == 0:
+            raise ValueError("no training windows")
+        return total[:size * width].reshape(size, width) / count - np.outer(mean, mean @ basis), mean
+
+    basis = np.linalg.qr(np.random.default_rng(SKETCH_SEED).standard_normal((size, width)))[0]
+    before = None
+    for _ in range(max_passes):
+        product, mean = multiplied(basis)
+        small = basis.T @ product
+        found = basis @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :latent]
+        if before is not None and np.linalg.norm(found - before @ (before.T @ found), 2) < SUBSPACE_MOVES:
+            break
+        before, basis = found, np.linalg.qr(product)[0]
+    return mean, np.ascontiguousarray(found.T)
 
 
 def _whole_blocks(frames: Iterator[pd.DataFrame], block_id: Sequence[str]) -> Iterator[pd.DataFrame]:
