@@ -29,7 +29,7 @@ def test_encoder_equals_the_library(monkeypatch):
 
 
 def test_encoder_forgets():
-    lib, mine, rng = library(), Encoder(tokenizer_path(), 5), seeded(2)
+    lib, mine, rng = library(), Encoder(tokenizer_path(), 900), seeded(2)
     for _ in range(20):
         t = prose(rng, 30)
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
@@ -77,3 +77,16 @@ def test_damage_is_found():
     with pytest.raises(ValueError):
         records.frame_at(good[:-6], 0)
     assert struct.unpack("<Q", good[:8])[0] == len(good) - 17
+
+
+def test_memory_of_words_is_bounded_in_bytes():
+    mine, rng = Encoder(tokenizer_path(), 1 << 16), seeded(9)
+    for _ in range(20):
+        # Words without spaces are never kept; many short ones push out older ones.
+        mine.encode("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(50_000)))
+        assert not mine.words
+    for k in range(40):
+        mine.encode(" ".join(f"w{k}x{i}" for i in range(200)))
+        kept = sum(len(w) + len(i) + 180 for d in (mine.words, mine.older) for w, i in d.items())
+        assert kept <= 2 * (1 << 16) + 200 * 220
+    assert mine.older

@@ -23,8 +23,8 @@ from vitalstream.llm.common import col, materialise, pieces_of
 from vitalstream.llm.tokens import encoder, tokenizer_path
 
 WINDOW, PIECE, GROUP, END_ID = 1024, 512, 256, 0
-#: Words a worker remembers here, as no sort shares its memory.
-WORDS = 700_000
+#: Bytes of words a worker remembers here, more than elsewhere, as no sort shares its memory.
+MEMORY = 128 << 20
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, whole boolean"
 
 
@@ -78,26 +78,37 @@ def pack(lengths: Sequence[int], capacity: int = WINDOW) -> np.ndarray:
     return np.arange(len(lengths))
 
 
+def _edges(n: int, window: int, piece: int) -> np.ndarray:
+    """Where a document of ``n`` ids is cut: whole windows, then its rest evenly, into pieces of nearly the same length."""
+    full = n - n % window
+    parts = -(-(n - full) // piece)
+    rest = full + (n - full) * np.arange(1, parts + 1, dtype=np.int64) // max(parts, 1)
+    return np.concatenate([np.arange(0, full + 1, window, dtype=np.int64), rest])
+
+
 def _cut(window: int, piece: int, tokenizer: str, end_id: int):
     names = [f.split()[0] for f in PIECES.split(", ")]
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encode = encoder(tokenizer, WORDS).encode
+        encode = encoder(tokenizer, MEMORY).encode
         for batch in batches:
             for part in pieces_of(batch, "text", 1 << 22):
-                out = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = encode(text) + end
-                    n = len(ids) // 4
-                    full = n - n % window
-                    rest = -(-(n - full) // piece)
-                    # The rest is cut evenly: pieces of nearly the same length.
-                    edges = [*range(0, full, window), *(full + (n - full) * i // rest for i in range(rest)), n]
-                    for a, b in zip(edges, edges[1:]):
-                        out.append((doc_id, a, b - a, n, ids[4 * a : 4 * b], b - a == window))
-                kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                found = [encode(text) + end for text in part.column("text").to_pylist()]
+                sizes = [len(ids) // 4 for ids in found]
+                edges = [_edges(n, window, piece) for n in sizes]
+                row = np.repeat(np.arange(len(sizes)), [len(e) - 1 for e in edges])
+                start = np.concatenate([e[:-1] for e in edges])
+                length = np.concatenate([np.diff(e) for e in edges])
+                # Pieces follow each other in the joined ids.
+                ends = np.concatenate([[0], 4 * np.cumsum(length)]).astype(np.int32)
+                ids = pa.Array.from_buffers(
+                    pa.binary(), len(row), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(found))]
+                )
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length),
+                    pa.array(np.array(sizes, np.int64)[row]), ids, pa.array(length == window),
+                ], names)
 
     return run
 

@@ -21,8 +21,10 @@ SEAM = "\x00"
 #: before white space or the end.
 WRONG_MARK = re.compile(r"\x00[.,](?<=[\W_]\x00.)")
 WRONG_SPACE = re.compile(r"\x00 (?![^\s\x00])")
-#: Characters looked at together, and words a worker remembers before it forgets older ones.
-STRIDE, WORDS = 1 << 20, 400_000
+#: Characters looked at together, and the bytes of words a worker remembers before it forgets older ones.
+STRIDE, MEMORY = 1 << 20, 48 << 20
+#: Longer words are not remembered; what an entry takes besides its characters and ids.
+LONGEST, ENTRY = 64, 180
 
 
 def tokenizer_path(name: str = BYTE_BPE) -> str:
@@ -42,18 +44,19 @@ class Encoder:
 
     A text is cut before single spaces, commas and full stops, where the
     tokenizer splits in any case, and the words by the tokenizer's own pattern.
-    The library's model encodes each new word once, and the worker remembers up to
-    twice ``words`` of them: when the newer half is full, the older is forgotten. Strings of special
+    The library's model encodes a word once as long as it is remembered. The memory is bounded
+    in bytes, twice ``memory``: when the newer half is full, the older is forgotten, and words above
+    ``LONGEST`` characters (text without spaces, encoded data) are never kept. Strings of special
     tokens are ordinary text. Memory follows the longest stretch without a single space.
     """
 
-    def __init__(self, path: str, words: int = WORDS):
+    def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         gc.set_threshold(100_000)  # many short-lived tokens, no cycles: fewer rounds of looking for some
         self.tokenize = Tokenizer.from_file(path).model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
-        self.limit = words
+        self.limit, self.held = memory, 0
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -78,8 +81,8 @@ class Encoder:
         words = seams.split(SEAM)
         found = list(map(self.words.get, words))
         new = [i for i, ids in enumerate(found) if ids is None]
-        if len(self.words) > self.limit:
-            self.older, self.words = self.words, {}
+        if self.held > self.limit:
+            self.older, self.words, self.held = self.words, {}, 0
         for i in new:
             found[i] = self._word(words[i])
         return b"".join(found)
@@ -90,7 +93,10 @@ class Encoder:
         if ids is None:
             # The pattern takes letters, and a space before them, as one piece.
             ids = self._piece(word) if word[1:].isalpha() and word[0] == " " else self._pieces(word)
-        self.words[word] = ids
+        if len(word) <= LONGEST:
+            if word not in self.words:
+                self.held += ENTRY + len(word.encode()) + len(ids)
+            self.words[word] = ids
         return ids
 
     def _pieces(self, text: str) -> bytes:
@@ -105,8 +111,8 @@ class Encoder:
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, words: int = WORDS) -> Encoder:
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
     """The worker's encoder; it outlives a task."""
-    if (path, words) not in _encoders:
-        _encoders[path, words] = Encoder(path, words)
-    return _encoders[path, words]
+    if (path, memory) not in _encoders:
+        _encoders[path, memory] = Encoder(path, memory)
+    return _encoders[path, memory]
