@@ -220,11 +220,12 @@ def run_ensemble(results: dict[str, DataFrame], s: Settings = Settings()) -> Dat
 
 def run_all(
     raw: DataFrame, s: Settings = Settings(), out_dir: str | None = None, resume: bool = False, store_windows: bool = False,
+    reports: bool | None = None,
 ) -> Outcome:
     """Every stage, with the models that the settings name.
 
-    Tables, models and reports are stored below ``out_dir`` (or a folder of the run in
-    the shared folder), each once, and the outcome reads them. At full width these are the clean table, the features
+    Tables, models and, if wanted (by default where there is an ``out_dir``), reports are stored below ``out_dir`` (or a
+    folder of the run in the shared folder), each once, and the outcome reads them. At full width these are the clean table, the features
     before and after scaling, a result per model and the comparison; intermediate tables are deleted at the end. A run that was
     cut off goes on with ``resume=True``: complete tables and models are read, the rest is made.
     """
@@ -252,8 +253,8 @@ def run_all(
         out.comparison = store.table(
             "results/comparison", lambda: sorted_by_time(run_ensemble(out.results, s), keys, ts)
         )
-        reports = _reports(raw, out, s)
-        out.reports = {name: store.table(f"reports/{name}", made) for name, made in reports.items()}
+        if bool(out_dir) if reports is None else reports:
+            out.reports = {name: store.table(f"reports/{name}", made) for name, made in _reports(raw, out, s).items()}
     return out
 
 
