@@ -69,3 +69,34 @@ def test_what_takes_part(spark):
 def test_empty(spark):
     assert ann.nearest(frame(spark, []), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest(frame(spark, [[1, 2]]), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def selected(x, break_it=False):
+    """Recall at 20 and share of rows verified in one block."""
+    n = len(x)
+    block = ann.Block(np.arange(n), x, np.linalg.norm(x, axis=1).max())
+    if break_it:
+        block.order = np.tile(np.arange(n), (len(block.order), 1))
+    asked = np.arange(0, n, n // 40)
+    found = block.search(asked, x[asked], 20)
+    want = brute(list(range(n)), x, asked.tolist(), 20)
+    hits = sum(len(set(ids.tolist()) & {i for _, i in want[q]}) for q, (ids, _) in zip(asked.tolist(), found))
+    return hits / 20 / len(asked), block.verified / len(asked) / n
+
+
+@pytest.mark.parametrize("rows, dim, clusters", [(8192, 64, 0), (2000, 64, 10), (2000, 256, 0)])
+def test_collisions_select(rows, dim, clusters):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((rows, dim))
+    if clusters:
+        x = x + 2 * rng.standard_normal((clusters, dim))[np.arange(rows) % clusters]
+    recall, share = selected(x)
+    assert recall >= 0.9 and share < 0.25
+    recall, share = selected(x, break_it=True)
+    assert recall < 0.9 or share > 0.5
+
+
+def test_lengths_are_searched_apart(spark):
+    vectors = [[1, 0], [1, 2, 3], [2, 1], [1, 0, 1], [3, 0, 0], [5]]
+    found = ann.nearest(frame(spark, vectors, [0, 20, 1, 2, 3, 40]), F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == [(0, 1, 1, 2.0), (20, 1, 2, 4.0), (20, 2, 3, 3.0)]

@@ -3,14 +3,18 @@
 Largest inner products become nearest neighbours: with M the greatest norm,
 a vector x gets the further coordinate sqrt(M^2 - |x|^2), a query q is scaled to
 norm M and gets 0, and the nearest of these points have the largest products.
-Each of ``HASHES`` random projections orders the vectors of a block in one
+Each of some random projections (``hashes_for``) orders the vectors of a block in one
 sorted array. Around a query's own projection a window is opened; a vector in
-it collides. A round widens all windows by ``GROWTH`` (virtual rehashing: nothing is
-hashed again), and a vector that collides in ``THRESHOLD`` of the projections is verified
-by its exact product. A round ends the search in a block if the ``k`` best so far lie within its
-radius, or if nothing is left. At each radius a vector within it is verified with a probability of
-0.95 or more. A query that has verified a share of ``ALL_FROM`` of a block without an end verifies the rest
-of it too, which costs less than further rounds and makes its answer there exact.
+it collides. A round widens all windows (virtual rehashing: nothing is
+hashed again), and a vector that collides in enough of the projections (``least_share``) is verified
+by its exact product. At each radius a vector within it is verified with a probability of
+0.95 or more. The search in a block ends if the ``k`` best so far lie within the radius, or if nothing is left; there is no
+cap on what is verified. The next radius is the distance of the ``k``-th best so far, or, with fewer than ``k``, what the
+``k``-th greatest count makes likely; it grows by ``GROWTH`` at least, and by no more once there are ``k``.
+
+Distances of vectors without clusters differ by about one part in the root of their dimension, so
+the projections needed to tell them apart grow with the dimension. The rows of a block shrink alike, and a block's arrays
+keep their size.
 
 Vectors are dealt to blocks of a fixed mean size by a hash of id and content, the stated queries to
 blocks of theirs, and each pair of blocks is one task's group; per
@@ -19,19 +23,33 @@ query only the best ``k`` of a block leave it.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitalstream.llm.common import col, materialise
 
-#: Projections, and the share of them a vector must collide in.
-K, HASHES, THRESHOLD = 20, 48, 0.53
+#: Projections for vectors of 64 components or fewer, and for each component of longer ones.
+K, HASHES, PER_COMPONENT = 20, 512, 8
 #: The first radius as a share of M, its growth by round, and half a window's width by radius.
-RADIUS, GROWTH, WIDTH = 0.5, 1.5, 0.95
-#: A query that has verified so large a share of a block verifies all of it.
-ALL_FROM = 0.25
-BLOCK_ROWS, QUERY_ROWS, SEED = 8192, 4096, 42
+RADIUS, GROWTH, WIDTH = 0.5, 1.05, 0.95
+BLOCK_CELLS, QUERY_ROWS, SEED = 1 << 22, 1024, 42
+NORMAL = NormalDist()
+
+
+def hashes_for(dim: int) -> int:
+    return max(HASHES, PER_COMPONENT * dim)
+
+
+def least_share(hashes: int) -> float:
+    """The share of the projections in which a vector at the radius collides with a probability of 0.95."""
+    share = 2 * NORMAL.cdf(WIDTH) - 1
+    return share - NORMAL.inv_cdf(0.95) * (share * (1 - share) / hashes) ** 0.5 - 0.5 / hashes
+
+
+THRESHOLD = least_share(HASHES)
 
 
 def usable(vector: Column) -> Column:
@@ -42,43 +60,50 @@ def usable(vector: Column) -> Column:
 
 def nearest(
     df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K,
-    block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
+    block_rows: int | None = None, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the ``k`` vectors found with the largest inner products.
 
     Candidates are all rows but the query's own id; fewer than ``k`` give fewer
     rows. Scores are products of the original vectors in double precision, ties go to the
-    smaller id. Vectors that are null, empty, zero, hold a null or non-finite component,
-    have a null id or another length than most take no part; rows that repeat an id and a vector
-    count once. An empty table gives an empty result; other columns are not read.
+    smaller id. Vectors that are null, empty, zero, hold a null or non-finite component
+    or have a null id take no part; vectors of different lengths have no product and are searched apart. Rows that repeat an id
+    and a vector count once. An empty table gives an empty result; other columns are not read.
+    ``block_rows`` is the mean size of a block, by default what keeps a block's arrays at ``BLOCK_CELLS`` places.
     """
     rows = df.select(
         col(vec_id).cast("long").alias("vec_id"), col(vector).cast("array<double>").alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     ).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    rows = materialise(rows.groupBy("vec_id", "v").agg(F.max("asks").alias("asks")), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(
+    rows = rows.groupBy("vec_id", "v").agg(F.max("asks").alias("asks")).withColumn("dim", F.size("v"))
+    rows = materialise(rows, "vectors")
+    hashes = F.greatest(F.lit(HASHES), PER_COMPONENT * F.col("dim"))
+    size = F.lit(block_rows) if block_rows else F.greatest(F.lit(1), F.floor(F.lit(BLOCK_CELLS) / hashes))
+    lengths = rows.groupBy("dim").agg(
         F.count("*").alias("n"), F.count_if("asks").alias("asking"),
-        F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm2"),
-    ).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
-    dim, n, asking, norm2 = sizes[0] if sizes else (0, 0, 0, 0.0)
-    blocks, parts = n // block_rows + 1, asking // query_rows + 1
-    rows = rows.where(F.size("v") == dim)
+        F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"),
+    ).select(
+        "dim", "norm", (F.floor(F.col("n") / size) + 1).cast("int").alias("blocks"),
+        (F.floor(F.col("asking") / query_rows) + 1).cast("int").alias("parts"),
+    )
+    rows = rows.join(lengths, "dim")
+    # Named anew, so that columns of both sides can be told apart.
     queries = rows.where("asks").select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), "vec_id", "v",
+        F.col("dim").alias("dim"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"),
+        F.col("vec_id").alias("vec_id"), F.col("v").alias("v"),
     )
     # A block meets every part of the queries: sent once per part.
     data = rows.select(
-        F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "v",
+        "dim", F.pmod(F.xxhash64("vec_id", "v"), "blocks").cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "v", "norm",
     )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         asked, ids, scores = [], [], []
         if left.num_rows and right.num_rows:
-            index, own = Block(_ids(left), _matrix(left, dim), norm2**0.5), _ids(right)
-            for query, (found, products) in zip(own, index.search(own, _matrix(right, dim), k)):
+            index, own = Block(_ids(left), _matrix(left), left.column("norm")[0].as_py()), _ids(right)
+            for query, (found, products) in zip(own, index.search(own, _matrix(right), k)):
                 asked.append(np.full(len(found), query))
                 ids.append(found)
                 scores.append(products)
@@ -87,9 +112,10 @@ def nearest(
             "query_id": join(asked, np.int64), "vec_id": join(ids, np.int64), "score": join(scores, np.float64)
         })
 
-    found = data.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(
-        run, "query_id long, vec_id long, score double"
-    )
+    # Few bytes, but much work: a stated number of partitions is not merged by their size.
+    group, tasks = ["dim", "block", "part"], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = data.repartition(tasks, *group).groupBy(*group).cogroup(queries.repartition(tasks, *group).groupBy(*group))
+    found = pairs.applyInArrow(run, "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -98,63 +124,76 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("vec_id").to_numpy()
 
 
-def _matrix(table: pa.Table, dim: int) -> np.ndarray:
-    return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _matrix(table: pa.Table) -> np.ndarray:
+    return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
 
 class Block:
-    """Sorted arrays of the projections of some vectors."""
+    """Sorted arrays of the projections of some vectors; ``verified`` counts the products taken by all searches."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float):
-        self.ids, self.vectors, self.norm = ids, vectors, norm
+        self.ids, self.vectors, self.norm, self.verified = ids, vectors, norm, 0
         rest = np.sqrt(np.maximum(0.0, norm**2 - np.einsum("ij,ij->i", vectors, vectors)))
-        self.axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, HASHES))
-        projected = vectors @ self.axes[:-1] + rest[:, None] * self.axes[-1]
-        self.order = np.ascontiguousarray(np.argsort(projected, axis=0, kind="stable").T)
-        self.sorted = np.ascontiguousarray(np.sort(projected, axis=0).T)
-
-    def windows(self, at: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """First and last place of every query's window in every sorted array."""
-        width = WIDTH * radius
-        low = [np.searchsorted(s, a - width) for s, a in zip(self.sorted, at.T)]
-        high = [np.searchsorted(s, a + width, "right") for s, a in zip(self.sorted, at.T)]
-        return np.array(low).T, np.array(high).T
+        hashes = hashes_for(vectors.shape[1])
+        self.axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, hashes))
+        self.least = least_share(hashes) * hashes
+        projected = (vectors @ self.axes[:-1] + rest[:, None] * self.axes[-1]).T
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, order, axis=1)
+        self.order = order.astype(np.min_scalar_type(len(ids)))
+
+    def places(self, at: np.ndarray) -> np.ndarray:
+        """In every sorted array the first place that is not below ``at``."""
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.ids))
+        arrays = np.arange(len(at))
+        while (low < high).any():
+            middle = (low + high) // 2
+            below = (low < high) & (self.sorted[arrays, np.minimum(middle, len(self.ids) - 1)] < at)
+            low, high = np.where(below, middle + 1, low), np.where(below, high, middle)
+        return low
+
+    def collide(self, counts: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        """Count the rows in the given places of the sorted arrays, those below the query first."""
+        arrays, many = len(self.order), 16
+        for first in range(0, 2 * arrays, many):
+            last = first + many
+            order = self.order[first % arrays : first % arrays + many]
+            ring = [o[a:b] for o, a, b in zip(order, starts[first:last], ends[first:last])]
+            counts += np.bincount(np.concatenate(ring, dtype=np.intp), minlength=len(counts))
+
+    def likely(self, counts: np.ndarray, radius: float, k: int) -> float:
+        """The distance at which a vector collides as often as that with the ``k``-th greatest count does at ``radius``."""
+        k = min(k, len(counts))
+        share = np.partition(counts, len(counts) - k)[len(counts) - k] / len(self.axes.T)
+        return WIDTH * radius / NORMAL.inv_cdf(0.5 + min(max(share, 1e-3), 0.999) / 2)
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query (id ``own``) the ids and products of the best found."""
         sizes = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-        at = (queries / sizes[:, None] * self.norm) @ self.axes[:-1]
-        rounds: list[tuple[np.ndarray, np.ndarray]] = []
         out = []
-        for i, query in enumerate(queries):
-            counts, verified = np.zeros(len(self.ids), np.int64), self.ids == own[i]
-            found, scores, r, radius = [], [], 0, RADIUS * self.norm
-            low = high = np.zeros(HASHES, np.int64)
-            while not verified.all():
-                if r == len(rounds):
-                    rounds.append(self.windows(at, radius))
-                lows, highs = rounds[r][0][i], rounds[r][1][i]
-                if r == 0:
-                    low = high = lows
-                ring = [o[a:b] for o, a, b in zip(self.order, lows, low)] + [o[a:b] for o, a, b in zip(self.order, high, highs)]
-                counts += np.bincount(np.concatenate(ring), minlength=len(counts))
+        for me, query, size in zip(own, queries, sizes):
+            at = query @ self.axes[:-1] * (self.norm / size)
+            counts, done = np.zeros(len(self.ids), np.int64), self.ids == me
+            found, scores, radius = np.empty(0, np.int64), np.empty(0), RADIUS * self.norm
+            low = high = self.places(at)
+            while not done.all():
+                lows, highs = self.places(at - WIDTH * radius), self.places(at + WIDTH * radius)
+                self.collide(counts, lows.tolist() + high.tolist(), low.tolist() + highs.tolist())
                 low, high = lows, highs
-                fresh = (counts >= THRESHOLD * HASHES) & ~verified
-                if np.count_nonzero(verified | fresh) >= ALL_FROM * len(self.ids):
-                    fresh = ~verified
-                fresh = np.flatnonzero(fresh)
-                verified[fresh] = True
-                found.append(fresh)
-                scores.append(np.einsum("ij,j->i", self.vectors[fresh], query))
-                total = np.concatenate(scores)
-                if len(total) >= k:
-                    # |x - q|^2 = 2 M^2 - 2 M x.q / |q| for the lifted points.
-                    worst = np.partition(total, len(total) - k)[len(total) - k]
-                    if 2 * self.norm**2 - 2 * self.norm * worst / sizes[i] <= radius**2:
-                        break
-                r, radius = r + 1, radius * GROWTH
-            total = np.concatenate([np.empty(0), *scores])
-            ids = self.ids[np.concatenate([np.empty(0, np.int64), *found])]
-            best = np.lexsort((ids, -total))[:k]
-            out.append((ids[best], total[best]))
+                fresh = np.flatnonzero((counts >= self.least) & ~done)
+                done[fresh] = True
+                found = np.concatenate([found, fresh])
+                scores = np.concatenate([scores, np.einsum("ij,j->i", self.vectors[fresh], query)])
+                if len(found) < k:
+                    radius = max(radius * GROWTH, 0.95 * self.likely(counts, radius, k))
+                    continue
+                # |x - q|^2 = 2 M^2 - 2 M x.q / |q| for the lifted points.
+                worst = np.partition(scores, len(scores) - k)[len(scores) - k]
+                reach = max(0.0, 2 * self.norm**2 - 2 * self.norm * worst / size) ** 0.5
+                if reach <= radius:
+                    break
+                radius = min(radius * GROWTH, reach * (1 + 1e-12))
+            self.verified += len(found)
+            best = np.lexsort((self.ids[found], -scores))[:k]
+            out.append((self.ids[found[best]], scores[best]))
         return out
