@@ -127,3 +127,61 @@ def test_substituted_and_short_items(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs_frame(spark, docs), bench).collect()}
     assert found == {(i, i) for i in want} and 35 < len(want) < len(docs)
+
+
+def test_hot_seeds_lose_nothing(spark, monkeypatch):
+    """With every seed held to be hot, all overlaps come by the wide masks."""
+    docs, items = case(1)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, j): n for i, d in enumerate(docs) for j, t in enumerate(items) if (n := brute(d, t))}
+    monkeypatch.setattr(decontam, "HOT", 0)
+    found = decontam.find_leaks(docs_frame(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id): r.matches for r in found} == want
+
+
+def test_a_wide_mask_fits_into_any_qualifying_stretch():
+    for n, most in enumerate(most_equal(decontam.WIDE_MASKS, 40), 1):
+        assert most < max(decontam.MIN_MATCHES, decontam.MIN_SHARE * n)
+    assert min(map(len, decontam.WIDE_MASKS)) == 10
+
+
+def test_a_common_phrase_does_not_meet_in_pairs(spark):
+    phrase = "which of the following statements is the most accurate"
+    text = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    items = [f"{text(i, 20)} {phrase} {text(i + 1000, 20)}" for i in range(300)]
+    docs = [f"{text(i + 2000, 20)} {phrase} {text(i + 3000, 20)}" for i in range(300)] + [items[7]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = docs_frame(spark, docs)
+    keyed = df.selectExpr("doc_id", "doc_id AS id", "doc_id AS doc_hash", "text")
+    assert decontam._hits(keyed, bench).count() < 10 * len(docs)
+    assert [(r.doc_id, r.item_id, r.words) for r in decontam.find_leaks(df, bench).collect()] == [(300, 7, 49)]
+
+
+def slow_longest(same):
+    best = (0, 0, 0)
+    for i in range(len(same)):
+        for j in range(i + 1, len(same) + 1):
+            got = int(sum(same[i:j]))
+            if got >= decontam.MIN_SHARE * (j - i) and (got, i - j) > (best[2], best[0] - best[1]):
+                best = (i, j, got)
+    return best
+
+
+def test_longest_equals_brute_force():
+    rng = np.random.default_rng(9)
+    for n in [1, 2, 5] + [40] * 60:
+        same = rng.random(n) < rng.choice([0.2, 0.6, 0.8, 1.0])
+        assert decontam.longest(same)[2] == slow_longest(same)[2]
+        if same.any():
+            assert decontam.longest(same) == slow_longest(same)
+
+
+def test_long_overlaps(spark):
+    rng = seeded(10)
+    item, other = prose(rng, 230), prose(rng, 60)
+    words = item.split(" ")
+    words[110:130] = [f"no{k}" for k in range(20)]
+    docs = [prose(rng, 9) + " " + " ".join(item.split(" ")[:200]) + " end", "a b " + " ".join(words), other]
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.doc_start, r.item_start, r.words, r.matches) for r in decontam.find_leaks(docs_frame(spark, docs), bench).collect()}
+    assert found == {(0, 1): (9, 0, 200, 200), (1, 1): (2, 0, 230, 210), (2, 2): (0, 0, 60, 60)}
