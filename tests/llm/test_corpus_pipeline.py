@@ -45,3 +45,14 @@ def test_stages(spark):
     df = docs_frame(spark, ["a text of words", "another text"], extra=True)
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, df, "").columns == df.columns
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null and repeated ids, no labels, and empty tables on either side."""
+    texts = ["one text of some words", None, "", "another text, of other words", "another text, of other words", "12"]
+    df = docs_frame(spark, texts, [None, 1, 2, 3, 3, 4], langs=[None] * 6, extra=True)
+    items = spark.createDataFrame([(1, "a benchmark item that stands in no document of this small table")], "item_id long, text string")
+    for name, docs, bench, want in (("all", df, items, {None, 3}), ("items", df, items.limit(0), {None, 3}), ("docs", df.limit(0), items, set())):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect()} == want

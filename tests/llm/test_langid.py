@@ -89,3 +89,11 @@ def test_drop_and_empty(spark):
     assert langid.identify_languages(df.limit(0)).count() == 0
     nothing = langid.identify_languages(docs_frame(spark, ["a", "b"], langs=[None, None]))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
+
+
+def test_only_letterless_texts_go(spark):
+    """Also where no profile holds any n-gram of a text, and where there is nothing to learn from."""
+    texts = ["theing and", None, "", "12 !?_", "ж" * 300, "__ _é"]
+    for langs in (None, [None] * len(texts), [None, "aa", "aa", "aa", None, None]):
+        kept = langid.drop_undetermined(docs_frame(spark, texts, langs=langs))
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 4, 5]

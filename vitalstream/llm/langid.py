@@ -153,8 +153,24 @@ def identify_languages(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
 def drop_undetermined(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", least: float = 0.0
 ) -> DataFrame:
-    """The rows of ``df`` whose text has a language, at a score above ``least``; all columns stay as they are."""
+    """The rows of ``df`` whose text has letters and whose language has a score of ``least`` or more; all columns stay as they are.
+
+    With the default only null, empty and letterless texts go. Without any labelled text there
+    is no profile and no score, and every text with letters stays.
+    """
     fields = df.columns
     profiles = load_profiles(fit_profiles(df.where(in_learning(col(doc_id))), text, lang))
+    if not profiles.langs:
+        return kept_rows(rows_of(df, lettered=lettered(col(text).cast("string"))).where("lettered"), fields)
     rows = rows_of(df, found=predicted(col(text).cast("string"), profiles))
-    return kept_rows(rows.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") > least)), fields)
+    return kept_rows(rows.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= least)), fields)
+
+
+def lettered(text: Column) -> Column:
+    """Whether a text has a letter."""
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: OTHER.sub("", t or "") != "").astype(bool)
+
+    return found(text)
