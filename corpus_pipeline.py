@@ -8,12 +8,12 @@ from vitalstream.llm import decontam, langid, linededup, packing, simhash
 from vitalstream.llm.common import documents, fresh_path
 from vitalstream.llm.queries import piece_digests
 
-#: Raised above zero, the score below which a language is not believed.
+#: The least score of a language that is believed; at zero only texts without letters are rejected.
 LEAST_SCORE = 0.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, empty or letterless texts) go."""
+    """Null, empty and letterless texts go; without any label to learn from, all others stay."""
     return langid.drop_undetermined(docs, least=LEAST_SCORE)
 
 
