@@ -53,28 +53,28 @@ def user_grid(cols=CHANNELS) -> str:
       FROM axis LEFT JOIN buckets USING (user_id, bucket))"""
 
 
-def fill(gap: int, key: str = "") -> str:
+def fill(gap: int, key: str = "", cols=CHANNELS) -> str:
     part = f"PARTITION BY {key} " if key else ""
     before = f"OVER ({part}ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     after = f"OVER ({part}ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
     near = ", ".join(
         f"last_value({c} IGNORE NULLS) {before} AS p_{c}, last_value(CASE WHEN {c} IS NOT NULL THEN pos END IGNORE NULLS) {before} AS pp_{c}, "
         f"first_value({c} IGNORE NULLS) {after} AS q_{c}, first_value(CASE WHEN {c} IS NOT NULL THEN pos END IGNORE NULLS) {after} AS qp_{c}"
-        for c in CHANNELS)
+        for c in cols)
     filled = ", ".join(
         f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN pos - pp_{c} <= {gap} OR qp_{c} - pos <= {gap} THEN "
-        f"coalesce(p_{c} + (q_{c} - p_{c}) * (pos - pp_{c}) / (qp_{c} - pp_{c}), p_{c}, q_{c}) END AS {c}" for c in CHANNELS)
+        f"coalesce(p_{c} + (q_{c} - p_{c}) * (pos - pp_{c}) / (qp_{c} - pp_{c}), p_{c}, q_{c}) END AS {c}" for c in cols)
     keys = f"{key}, " if key else ""
     return f"""near AS (SELECT *, {near} FROM grid),
     filled AS (SELECT {keys}pos, "timestamp", was_missing, {filled} FROM near)"""
 
 
-def clean(us: int = MIN15, gap: int = 10) -> str:
-    return f"""{grid(us)}, {fill(gap)},
+def clean(us: int = MIN15, gap: int = 10, cols=CHANNELS) -> str:
+    return f"""{grid(us, cols)}, {fill(gap, cols=cols)},
     clean AS (
-      SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, "timestamp", was_missing, {chan('{c}')},
-             CASE WHEN {chan('{c} IS NULL', sep=' OR ')} THEN 1 ELSE 0 END AS still_missing
-      FROM filled WHERE {chan('{c} IS NOT NULL', sep=' OR ')}),
+      SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, "timestamp", was_missing, {chan('{c}', cols)},
+             CASE WHEN {chan('{c} IS NULL', cols, ' OR ')} THEN 1 ELSE 0 END AS still_missing
+      FROM filled WHERE {chan('{c} IS NOT NULL', cols, ' OR ')}),
     size AS (SELECT count(*) AS n FROM clean)"""
 
 
@@ -344,6 +344,7 @@ ORACLES = {
     "unanimous_share": f"WITH {MERGED} SELECT count(*) FILTER (vote_count = 3) AS n_unanimous, {r('avg((vote_count = 3)::INTEGER)', 'share')} FROM merged",
     "top_flagged_scores": f"WITH {SCORE} SELECT \"timestamp\", {r('anomaly_score', 'anomaly_score')}, split, {CH6} FROM score_result WHERE anomaly = 1 ORDER BY score_result.anomaly_score DESC, \"timestamp\" LIMIT 20",
     "top_window_scores": f"WITH {WFLAGS} SELECT \"timestamp\", {r('mse', 'mse')}, split, anomaly FROM wflags ORDER BY wflags.mse DESC, \"timestamp\" LIMIT 20",
+    "sampled_rows": "SELECT * FROM (SELECT * FROM events ORDER BY md5(concat_ws('|', event_id, 42)), event_id LIMIT 2000) ORDER BY ts, event_id",
     "first_rows": f"SELECT ts, event_id, {r('value', 'value')} FROM events ORDER BY ts, event_id LIMIT 15",
     "time_of_day": f"""SELECT event_id, ts AS "timestamp", {r('sin(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440)', 'sin_time')} , {r('cos(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440)', 'cos_time')} FROM events""",
     "normalised_scores": f"WITH {SCORE} SELECT pos, {r('anomaly_score', 'anomaly_score')}, anomaly FROM score_result",

@@ -64,8 +64,8 @@ def top_scores(df: DataFrame, n: int, score: str, columns: Sequence[str], ts: st
 
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], order: Sequence[str], seed: int = 42) -> DataFrame:
-    """A repeatable random sample of at most ``n`` rows, in ``order``."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n).orderBy(*order)
+    """A repeatable random sample of at most ``n`` rows, in ``order``: those with the least MD5 of key and seed."""
+    return df.orderBy(F.md5(F.concat_ws("|", *key, F.lit(seed))), *key).limit(n).orderBy(*order)
 
 
 def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
