@@ -26,8 +26,11 @@ WINDOW, PIECE, GROUP, END_ID = 1024, 512, 256, 0
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, whole boolean"
 
 
-def balanced(lengths: Sequence[int], windows: int) -> np.ndarray:
-    """The window of each length, by multiway differencing into ``windows`` windows."""
+def balanced(lengths: Sequence[int], windows: int, capacity: int | None = None) -> np.ndarray | None:
+    """The window of each length, by multiway differencing into ``windows`` windows.
+
+    None as soon as a window exceeds the capacity: windows only grow when partitions merge.
+    """
     n = len(lengths)
     heap, nodes = [], [(-1, -1)] * n  # a node: a length, or two nodes merged
     for i, length in enumerate(lengths):
@@ -40,6 +43,8 @@ def balanced(lengths: Sequence[int], windows: int) -> np.ndarray:
         _, _, a, held_a = heapq.heappop(heap)
         _, _, b, held_b = heapq.heappop(heap)
         sums, left, right = a + b[::-1], held_a, held_b[::-1]
+        if capacity is not None and sums.max() > capacity:
+            return None
         held = np.where(left < 0, right, left)
         for i in np.flatnonzero((left >= 0) & (right >= 0)):
             nodes.append((int(left[i]), int(right[i])))
@@ -69,8 +74,8 @@ def pack(lengths: Sequence[int], capacity: int = WINDOW) -> np.ndarray:
         raise ValueError("a piece exceeds the window")
     windows = max(1, -(-int(lengths.sum()) // capacity))
     while windows < len(lengths):
-        found = balanced(lengths, windows)
-        if np.bincount(found, weights=lengths).max() <= capacity:
+        found = balanced(lengths, windows, capacity)
+        if found is not None:
             return found
         windows += max(1, windows // 128)
     return np.arange(len(lengths))

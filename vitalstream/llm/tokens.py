@@ -22,7 +22,7 @@ SEAM = "\x00"
 WRONG_MARK = re.compile(r"\x00[.,](?<=[\W_]\x00.)")
 WRONG_SPACE = re.compile(r"\x00 (?![^\s\x00])")
 #: Characters looked at together, and the bytes of words a worker remembers before it forgets older ones.
-STRIDE, MEMORY = 1 << 20, 48 << 20
+STRIDE, MEMORY = 1 << 20, 96 << 20
 #: Longer words are not remembered; what an entry takes besides its characters and ids.
 LONGEST, ENTRY = 64, 180
 
@@ -45,7 +45,8 @@ class Encoder:
     A text is cut before single spaces, commas and full stops, where the
     tokenizer splits in any case, and the words by the tokenizer's own pattern.
     The library's model encodes a word once as long as it is remembered. The memory is bounded
-    in bytes, twice ``memory``: when the newer half is full, the older is forgotten, and words above
+    by ``memory`` bytes in thirds: words met once, which are all forgotten when their third is full, and words met again, newer
+    and older; when the newer third is full, the older is forgotten. Words above
     ``LONGEST`` characters (text without spaces, encoded data) are never kept. Strings of special
     tokens are ordinary text. Memory follows the longest stretch without a single space.
     """
@@ -56,9 +57,11 @@ class Encoder:
         self.tokenize = Tokenizer.from_file(path).model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
-        self.limit, self.held = memory, 0
+        self.space = self.letters[0x20]
+        self.limit, self.held, self.fresh_held = memory // 3, 0, 0
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(self.parts(text or ""))
@@ -78,34 +81,50 @@ class Encoder:
         seams = text.replace(" ", SEAM + " ").replace(",", SEAM + ",").replace(".", SEAM + ".")
         if WRONG_SPACE.search(seams) or WRONG_MARK.search(seams):
             seams = CUT.sub(SEAM + " ", text)
-        words = seams.split(SEAM)
-        found = list(map(self.words.get, words))
-        new = [i for i, ids in enumerate(found) if ids is None]
         if self.held > self.limit:
             self.older, self.words, self.held = self.words, {}, 0
-        for i in new:
-            found[i] = self._word(words[i])
+        if self.fresh_held > self.limit:
+            self.older = self.older or self.fresh  # room that no words met again take yet
+            self.fresh, self.fresh_held = {}, 0
+        words = seams.split(SEAM)
+        found = list(map(self.words.get, words))
+        if None in found:
+            for i in [i for i, ids in enumerate(found) if ids is None]:
+                found[i] = self._word(words[i])
         return b"".join(found)
 
     def _word(self, word: str) -> bytes:
-        """The ids of a word with the space or mark before it, which are remembered."""
-        ids = self.words.get(word) or self.older.get(word)
-        if ids is None:
-            # The pattern takes letters, and a space before them, as one piece.
-            ids = self._piece(word) if word[1:].isalpha() and word[0] == " " else self._pieces(word)
-        if len(word) <= LONGEST:
-            if word not in self.words:
-                self.held += ENTRY + len(word.encode()) + len(ids)
+        """The ids of a word with the space or mark before it; met again, it is remembered for long."""
+        ids = self.words.get(word)
+        if ids is not None:  # met before in the same text
+            return ids
+        ids = self.older.get(word) or self.fresh.get(word)
+        if ids:
             self.words[word] = ids
+            self.held += self._size(word, ids)
+            return ids
+        # The pattern takes letters, and a space before them, as one piece.
+        if word[1:].isalpha() and word[0] == " ":
+            ids = self._ids_of(self.space + word[1:] if word.isascii() else self._lettered(word))
+        else:
+            ids = self._pieces(word)
+        if len(word) <= LONGEST:
+            self.fresh[word] = ids
+            self.fresh_held += self._size(word, ids)
         return ids
 
+    @staticmethod
+    def _size(word: str, ids: bytes) -> int:
+        return ENTRY + len(word) * (1 if word.isascii() else 4) + len(ids)
+
     def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self._piece, self.split(text)))
+        return b"".join([self._ids_of(self._lettered(piece)) for piece in self.split(text)])
+
+    def _lettered(self, piece: str) -> str:
+        return (piece if piece.isascii() else piece.encode().decode("latin-1")).translate(self.letters)
 
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1")
-        return array("I", [t.id for t in self.tokenize(piece.translate(self.letters))]).tobytes()
+    def _ids_of(self, lettered: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(lettered)]).tobytes()
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
