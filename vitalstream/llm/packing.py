@@ -32,30 +32,28 @@ def balanced(lengths: Sequence[int], windows: int, capacity: int | None = None)
     None as soon as a window exceeds the capacity: windows only grow when partitions merge.
     """
     n = len(lengths)
-    heap, nodes = [], [(-1, -1)] * n  # a node: a length, or two nodes merged
-    for i, length in enumerate(lengths):
-        sums, held = np.zeros(windows, np.int64), np.full(windows, -1, np.int64)
-        sums[-1], held[-1] = length, i
-        heap.append((-int(length), i, sums, held))
+    nodes = [(-1, -1)] * n  # a node: a length, or two nodes merged
+    # A partition lists its filled windows, emptiest first, as (ids, node).
+    heap = [(-length, i, [(length, i)]) for i, length in enumerate(map(int, lengths))]
     heapq.heapify(heap)
     order = n
     while len(heap) > 1:
-        _, _, a, held_a = heapq.heappop(heap)
-        _, _, b, held_b = heapq.heappop(heap)
-        sums, left, right = a + b[::-1], held_a, held_b[::-1]
-        if capacity is not None and sums.max() > capacity:
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        # Fullest meets emptiest; where windows are left empty, nothing is added up.
+        both = max(0, len(a) + len(b) - windows)
+        merged = a[both:] + b[both:]
+        for (x, left), (y, right) in zip(a[:both], reversed(b[:both])):
+            merged.append((x + y, len(nodes)))
+            nodes.append((left, right))
+        merged.sort()
+        if capacity is not None and merged[-1][0] > capacity:
             return None
-        held = np.where(left < 0, right, left)
-        for i in np.flatnonzero((left >= 0) & (right >= 0)):
-            nodes.append((int(left[i]), int(right[i])))
-            held[i] = len(nodes) - 1
-        by = np.argsort(sums, kind="stable")
-        sums, held = sums[by], held[by]
-        heapq.heappush(heap, (-int(sums[-1] - sums[0]), order, sums, held))
+        least = merged[0][0] if len(merged) == windows else 0
+        heapq.heappush(heap, (least - merged[-1][0], order, merged))
         order += 1
     out = np.zeros(n, np.int64)
-    for window, node in enumerate(heap[0][3] if heap else []):
-        stack = [int(node)] if node >= 0 else []
+    for window, (_, node) in enumerate(heap[0][2] if heap else []):
+        stack = [node]
         while stack:
             at = stack.pop()
             if at < n:
