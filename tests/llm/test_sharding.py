@@ -59,3 +59,12 @@ def test_written(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert back.count() == 100 and back.select("shard").distinct().count() == 16
+
+
+def test_many_tiny_sources(spark):
+    """Sources of one row all tie in their fractional rank: shards are even, and ties are in the order of hashes."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), "id").alias("source"))
+    rows = sharding.assign_shards(df, ["doc_id"], cell_rows=50).withColumn("h", F.expr("xxhash64(42, doc_id) & 9223372036854775807"))
+    rows = sorted(rows.collect(), key=lambda r: (r.shard, r.slot))
+    assert set(Counter(r.shard for r in rows).values()) == {375}
+    assert [r.h for r in rows] == sorted(r.h for r in rows)

@@ -8,9 +8,10 @@ its share by about one.
 
 Neither order is made in one place. Random hashes are uniform, so a row falls into one of
 ``cells`` ranges of the hash; a rank is the rows of the source in earlier cells plus the rank within the
-cell. The second order works alike on ranges of the fractional rank. A cell
-holds a fixed number of rows on average whatever the size of a source, so a source with a third of all rows is
-spread like any other, and only the counts by source and cell are summed up.
+cell. A cell holds a fixed number of rows on average whatever the size of a source, so a source with a third of all rows is
+spread like any other, and only the counts by source and cell are summed up. The second order is a
+sort by (fractional rank, hash) over ranges of both: many small sources, whose rows tie in their
+fractional ranks, are spread too. Places are the rows of earlier ranges plus the place in the range.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitalstream.llm.common import col, materialise, rows_of, with_columns
+from vitalstream.plans.report import numbered_in_order
 
 SHARDS, SEED, CELL_ROWS = 16, 42, 4096
 
@@ -50,9 +52,9 @@ def assign_shards(
     rows = rows.withColumn("none", F.col("source").isNull())
     rows = _numbered(rows, ["none", "known"], "rank", "n", order=["hash", "whole"])
     rows = rows.withColumn("part", (F.col("rank") + 0.5) / F.col("n"))
-    rows = rows.withColumn("cell", F.floor(F.col("part") * cells)).withColumn("all", F.lit(0)).drop("n")
-    rows = materialise(rows, "interleaved")
-    rows = _numbered(rows, ["all"], "place", "n", order=["part", "hash", "whole", "none", "known"])
+    # Stored, as the ranges of a sort are found by a pass of their own.
+    rows = materialise(rows.drop("cell", "rank", "n"), "ranked")
+    rows = numbered_in_order(rows.orderBy("part", "hash", "whole", "none", "known"), "place")
     place, n = F.col("place"), F.lit(total).cast("long")
     small, extra = F.lit(total // shards), total % shards
     # The first ``extra`` shards hold one row more.
