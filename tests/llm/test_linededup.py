@@ -11,7 +11,10 @@ def brute_chunks(text):
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
     out, start = [], 0
     for i in range(len(lines)):
-        if i == len(lines) - 1 or (h[i] + 31 * (h[i - 1] if i else 0)) % 4 == 0:
+        by_hash = (h[i] + 31 * (h[i - 1] if i else 0)) % 1_000_003 % 2 == 0
+        in_run = h[i : i + 1] == h[i + 1 : i + 2]
+        beside_run = (i > 0 and h[i - 1] == h[i]) or (i + 2 < len(h) and h[i + 1] == h[i + 2])
+        if i == len(lines) - 1 or (not in_run and (by_hash or beside_run)):
             out.append(lines[start : i + 1])
             start = i + 1
     return out
@@ -83,5 +86,15 @@ def test_digests_that_collide(spark, monkeypatch):
     assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, ((d[0], want[d][0]) for d in docs)))
 
 
+def test_runs_of_one_line(spark):
+    """Equal lines stay together, so that a run leaves one copy in all documents."""
+    rng = seeded(5)
+    for line in ("All rights reserved.", "-----", "x"):
+        texts = ["\n".join([prose(rng, 4), *[line] * 20, prose(rng, 4)]) for _ in range(50)]
+        found = linededup.drop_repeated_chunks(docs_frame(spark, texts)).collect()
+        assert sorted(r.lines_removed for r in found) == [0] + [20] * 49
+        assert sum(r.text.split("\n").count(line) for r in found) == 20
+
+
 def test_empty(spark):
     assert linededup.drop_repeated_chunks(docs_frame(spark, [])).count() == 0

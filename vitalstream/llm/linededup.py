@@ -1,7 +1,8 @@
 """Removal of repeated passages by content-defined chunks of lines, in DataFrame functions only.
 
 A document's lines are hashed, and a rolling hash over the last ``WINDOW``
-line hashes ends a chunk wherever it is divisible by ``DIVISOR``. Boundaries so depend on
+line hashes ends a chunk wherever its remainder by ``PRIME`` is divisible by ``DIVISOR``. A run of equal lines is a
+chunk of its own, whatever its hashes. Boundaries so depend on
 nearby lines only: a passage moved, or with lines before it inserted, is cut
 in the same places. A chunk of at least ``MIN_LINES`` lines that stands in more
 than one place of the corpus stays where it comes first (lowest document id, then place)
@@ -19,8 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vitalstream.llm.common import col, materialise, rows_of, settled, with_columns
 
-#: Lines per rolling hash, its factor, one boundary in so many lines, lines of a removable chunk.
-WINDOW, FACTOR, DIVISOR, MIN_LINES = 2, 31, 4, 2
+#: Lines per rolling hash, its factor, the prime that mixes it, one boundary in so many lines, lines of a removable chunk.
+WINDOW, FACTOR, PRIME, DIVISOR, MIN_LINES = 2, 31, 1_000_003, 2, 2
 
 
 def line_hash(line: Column) -> Column:
@@ -41,7 +42,14 @@ def chunk_lines(df: DataFrame, text: str = "text") -> DataFrame:
         terms = [F.coalesce(F.get("hashes", i - 1 - k), F.lit(0)) * FACTOR**k for k in range(WINDOW)]
         return sum(terms[1:], terms[0])
 
-    ends = F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | (F.pmod(rolling(i), F.lit(DIVISOR)) == 0))
+    def cut(i: Column) -> Column:
+        """Whether a chunk ends at line ``i`` (from 1): by the rolling hash, or before or after a run of equal lines."""
+        before, own, after, then = (F.get("hashes", i - 2 + k) for k in range(4))
+        by_hash = F.pmod(F.pmod(rolling(i), F.lit(PRIME)), F.lit(DIVISOR)) == 0
+        beside_run = before.eqNullSafe(own) | after.eqNullSafe(then)
+        return (own != after) & (by_hash | beside_run)
+
+    ends = F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | cut(i))
     df = settled(df, ends=ends)
     start = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(0))
     chunks = F.transform("ends", lambda end, k: F.struct(

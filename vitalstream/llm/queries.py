@@ -133,7 +133,8 @@ WITH l AS (
   FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
 ), h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l
 ), b AS (
-  SELECT *, CASE WHEN i = n OR (h + 31 * coalesce(lag(h) OVER w, 0)) % 4 = 0 THEN 1 ELSE 0 END AS e FROM h
+  SELECT *, CASE WHEN i = n OR (h <> lead(h) OVER w AND ((h + 31 * coalesce(lag(h) OVER w, 0)) % 1000003 % 2 = 0
+    OR coalesce(lag(h) OVER w = h, false) OR coalesce(lead(h) OVER w = lead(h, 2) OVER w, false))) THEN 1 ELSE 0 END AS e FROM h
   WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), c AS (
   SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM b
