@@ -185,3 +185,37 @@ def test_csv_roundtrip_and_results(spark, tmp_path):
     assert list(got) == ["prophet"] and got["prophet"].columns.count("anomaly") == 1
     assert got["prophet"].agg(F.sum("anomaly"), F.sum("anomaly_interval")).first() == (1, 1)
     assert "timestamp" in got["prophet"].columns
+
+
+def test_quantiles_of_large_groups_read_the_rows_three_times(spark):
+    """One pass counts the groups, one the bins, one the values; values that fill a bin need no further pass."""
+    n, seen = 20_000, spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.uniform(900, 105_000, n - 4000), np.full(3000, 7.0), -rng.lognormal(0, 2, 1000)])
+    df = frame(spark, pd.DataFrame({"v": v})).mapInArrow(counting, "v double")
+    got = exact_quantiles(df, "v", [0.01, 0.15, 0.5, 0.99], exact_rows=500).orderBy("prob").toPandas()
+    same(got["value"], np.quantile(v, [0.01, 0.15, 0.5, 0.99]), 1e-12)
+    assert seen.value <= 3 * n
+
+
+@pytest.mark.parametrize("exact_rows", [10**6, 5])
+def test_quantiles_of_odd_values(spark, exact_rows):
+    """Zeros of both signs, values that share a bin, infinities, NaN above all, nulls left out, null keys kept."""
+    near = 1.7e9 + np.arange(400) / 1e4
+    v = [*near, *-near, 0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf"), float("nan")]
+    rows = [(g, x) for g in (None, "a") for x in map(float, v)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    probs = [i / (len(v) - 1) for i in (0, 1, 2, 100, 400, 401, 402, 403, 404, 500, 805, 807, 808)]
+    got = exact_quantiles(df, "v", probs, ["g"], exact_rows=exact_rows).orderBy("g", "prob").toPandas()
+    want = np.sort(v)[[round(p * (len(v) - 1)) for p in probs]]
+    for g in (got["g"].isna(), got["g"] == "a"):
+        mine = got[g]["value"].to_numpy()
+        fine = np.isfinite(want)
+        assert len(mine) == len(probs)
+        np.testing.assert_allclose(mine[fine], want[fine], rtol=1e-12, atol=1e-300)

@@ -6,12 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vitalstream.functions.summary import attach, join_on, q
+from vitalstream.functions.summary import join_on, q
 from vitalstream.sources.tables import materialise
 
 # Up to this many rows of a group the built-in aggregate may hold every distinct value.
 EXACT_ROWS = 2_000_000
-ACCURACY = 10_000
+# Bins of the first round for each factor of e (about 1,024 for each of 2); beyond ``FAR`` of them lie only infinities.
+PER_E, FAR = 1477, 1 << 21
+# Parts of a bracket in a later round.
+PARTS = 1024
 
 
 def exact_quantiles(
@@ -21,10 +24,10 @@ def exact_quantiles(
     """``by..., prob, value``: quantiles with linear interpolation, nulls skipped.
 
     Small groups use ``percentile``. That aggregate keeps all distinct values
-    of a group in one buffer, so larger groups are narrowed first: approximate
-    quantiles bracket each wanted rank, exact counts confirm or correct the
-    bracket, and rounds go on until a bracket holds at most ``exact_rows`` rows
-    or a single value.
+    of a group in one buffer, so larger groups are narrowed first: one pass counts the
+    rows by intervals of the logarithm, which brackets each wanted rank. Rounds that cut the
+    brackets into equal parts go on until each holds at most ``exact_rows`` rows or a
+    single value, and a last one counts the values themselves.
     """
     value = F.col(value) if isinstance(value, str) else value
     # Keys get names of their own, so that none meets an inner column. A null key is a group.
@@ -42,33 +45,28 @@ def exact_quantiles(
 
 
 def _by_brackets(rows: DataFrame, probs: Sequence[float], keys: Sequence[str], exact_rows: int) -> DataFrame:
+    rows = rows.withColumn("bin", _bin(F.col("v")))
+    bins = materialise(rows.groupBy(*keys, "bin").agg(*_ends()), "bins")
     rank = F.col("prob") * (F.col("n") - 1)
     targets = materialise(
-        rows.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        bins.groupBy(*keys).agg(F.sum("inside").alias("n"))
         .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumns({"k0": F.floor(rank), "part": rank - F.floor(rank)})
         .withColumn("k1", F.least(F.col("k0") + 1, F.col("n") - 1)),
         "ranks",
     )
-    open_ranks = (
-        targets.select(*keys, "n", "lo", "hi", F.explode(F.array("k0", "k1")).alias("k")).distinct()
-        .withColumns({"below": F.lit(0).cast("bigint"), "inside": F.col("n")}).drop("n")
-    )
+    ranks = targets.select(*keys, F.explode(F.array("k0", "k1")).alias("k")).distinct()
+    before = F.sum("inside").over(Window.partitionBy(*keys).orderBy("bin")) - F.col("inside")
+    listed = bins.withColumn("below", before)
+    brackets = _holding(join_on(ranks, listed, keys) if keys else ranks.crossJoin(listed))
     while True:
-        open_ranks = materialise(open_ranks, "brackets")
-        widest = open_ranks.where(F.col("lo") < F.col("hi")).agg(F.max("inside")).first()[0]
-        if widest is None or widest <= exact_rows:
+        brackets = materialise(brackets, "brackets")
+        widest = brackets.where("lo < hi").agg(F.max("inside")).first()[0]
+        if widest is None:
             break
-        open_ranks = _narrow(rows, open_ranks, keys)
-    counted = (
-        _inside(rows, open_ranks, keys).groupBy(*keys, "k", "below", "v").agg(F.count(F.lit(1)).alias("c"))
-    )
-    running = F.sum("c").over(Window.partitionBy(*keys, "k").orderBy("v"))
-    found = (
-        counted.withColumn("upto", F.col("below") + running)
-        .where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("c") <= F.col("k")))
-        .select(*keys, "k", "v")
-    )
+        share = F.floor((F.col("v") - F.col("first")) / (F.col("last") - F.col("first")) * PARTS)
+        brackets = _narrow(rows, brackets, keys, F.col("v") if widest <= exact_rows else share)
+    found = brackets.select(*keys, "k", F.col("lo").alias("v"))
     low = found.withColumnsRenamed({"k": "k0", "v": "v0"})
     high = found.withColumnsRenamed({"k": "k1", "v": "v1"})
     out = join_on(join_on(targets, low, [*keys, "k0"]), high, [*keys, "k1"])
@@ -76,62 +74,31 @@ def _by_brackets(rows: DataFrame, probs: Sequence[float], keys: Sequence[str], e
     return out.select(*keys, "prob", value.alias("value"))
 
 
-def _inside(rows: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each row once per bracket it lies in; a group has at most two brackets per probability."""
-    fields = [c for c in brackets.columns if c not in keys]
-    lists = brackets.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("brackets"))
-    hits = F.expr("explode(filter(brackets, b -> v >= b.lo AND v <= b.hi)) AS b")
-    return attach(rows, lists, keys).select(*keys, "v", hits).select(*keys, "v", "b.*")
-
-
-def _narrow(rows: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    rank = [*keys, "k"]
-    # Bracket the rank inside the current bracket, a little wider than the
-    # error of the approximate quantile.
-    grid = 1.0 / ACCURACY
-    # Ranks that share a bracket, as all do at first, share its quantiles.
-    span = [*keys, "lo", "hi"]
-    cuts = materialise(
-        _inside(rows, brackets.select(*span).distinct(), keys).groupBy(*span).agg(
-            F.percentile_approx("v", F.array(*[F.lit(i / 100) for i in range(101)]), ACCURACY).alias("cuts")
-        ),
-        "cuts",
-    )
-    near = materialise(join_on(brackets, cuts, span), "cuts")
-    share = (F.col("k") - F.col("below")) / F.col("inside")
-    first = F.greatest(F.floor((share - 2 * grid) * 100), F.lit(0)).cast("int")
-    last = F.least(F.ceil((share + 2 * grid) * 100), F.lit(100)).cast("int")
-    tried = near.withColumns({"a": F.get("cuts", first), "b": F.get("cuts", last)}).drop("cuts")
-    below_a = F.count_if(F.col("v") < F.col("a"))
-    upto_b = F.count_if(F.col("v") <= F.col("b"))
-    at_a = F.count_if(F.col("v") == F.col("a"))
-    counts = _inside(rows, tried, keys).groupBy(*rank, "below", "inside", "lo", "hi", "a", "b").agg(
-        below_a.alias("n_a"), upto_b.alias("n_b"), at_a.alias("n_at"),
-        F.max(F.when(F.col("v") < F.col("a"), F.col("v"))).alias("before_a"),
-        F.min(F.when(F.col("v") > F.col("b"), F.col("v"))).alias("after_b"),
-        F.min(F.when(F.col("v") > F.col("a"), F.col("v"))).alias("after_a"),
-        F.max(F.when(F.col("v") < F.col("b"), F.col("v"))).alias("before_b"),
-        F.count_if(F.col("v") < F.col("b")).alias("n_below_b"),
-    )
-    want = F.col("k") - F.col("below")
-    # The end values may fill the bracket: they are split off as brackets of one value.
-    cases = [
-        (want < F.col("n_a"), "lo", "before_a", F.lit(0), F.col("n_a")),
-        (want < F.col("n_a") + F.col("n_at"), "a", "a", F.col("n_a"), F.col("n_at")),
-        (want < F.col("n_below_b"), "after_a", "before_b", F.col("n_a") + F.col("n_at"),
-         F.col("n_below_b") - F.col("n_a") - F.col("n_at")),
-        (want < F.col("n_b"), "b", "b", F.col("n_below_b"), F.col("n_b") - F.col("n_below_b")),
-        (F.lit(True), "after_b", "hi", F.col("n_b"), F.col("inside") - F.col("n_b")),
-    ]
-
-    def pick(i: int) -> Column:
-        out = None
-        for case in cases:
-            got = F.col(case[i]) if isinstance(case[i], str) else case[i]
-            out = F.when(case[0], got) if out is None else out.when(case[0], got)
-        return out
-
-    return counts.select(
-        *rank, pick(1).alias("lo"), pick(2).alias("hi"),
-        (F.col("below") + pick(3)).cast("bigint").alias("below"), pick(4).cast("bigint").alias("inside"),
-    )
+def _bin(v: Column) -> Column:
+    """A whole number that never falls as the value grows: intervals of the logarithm, and 0, NaN and infinities apart."""
+    size = F.floor(F.least(F.log(F.abs(v)) * PER_E, F.lit(FAR))) + 2 * FAR
+    return F.when(F.isnan(v), 4 * FAR).when(v > 0, size).when(v < 0, -size).otherwise(0)
+
+
+def _ends() -> list[Column]:
+    return [F.count(F.lit(1)).alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+
+
+def _holding(brackets: DataFrame) -> DataFrame:
+    """Of a rank's possible brackets the one it lies in."""
+    return brackets.where((F.col("k") >= F.col("below")) & (F.col("k") < F.col("below") + F.col("inside")))
+
+
+def _narrow(rows: DataFrame, brackets: DataFrame, keys: Sequence[str], part: Column) -> DataFrame:
+    """Brackets of more than one value are cut into parts, in the order of ``part``; the part of each rank is kept."""
+    span = [*keys, "bin", "first", "last"]
+    wide = brackets.where("lo < hi").withColumnsRenamed({"lo": "first", "hi": "last"})
+    spans = wide.select(*span, F.col("below").alias("start")).distinct()
+    # Rows meet the few brackets of their bin; brackets of a bin do not overlap.
+    inside = join_on(rows, spans, [*keys, "bin"]).where(F.col("v").between(F.col("first"), F.col("last")))
+    parts = inside.withColumn("part", part).groupBy(*span, "start", "part").agg(*_ends())
+    running = F.sum("inside").over(Window.partitionBy(*span).orderBy("part"))
+    parts = parts.withColumn("below", F.col("start") + running - F.col("inside"))
+    held = _holding(join_on(wide.select(*span, "k"), parts, span))
+    columns = [*keys, "k", "bin", "lo", "hi", "inside", "below"]
+    return held.select(*columns).unionByName(brackets.where("NOT lo < hi").select(*columns))
