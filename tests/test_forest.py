@@ -152,3 +152,25 @@ def test_contamination_sweep(spark):
         cut = pdf["anomaly_score"].quantile(1 - c)
         assert row["threshold"] == pytest.approx(cut)
         assert row["n_flagged"] == (pdf["anomaly_score"] >= cut).sum()
+
+
+@pytest.mark.parametrize("width, size", [(1, 256), (4, 256), (6, 100), (4, 2)])
+def test_grids_equal_a_walk(width, size):
+    """Look-ups of four levels at once: the very sums of a walk level by level."""
+    rng = np.random.default_rng(width)
+    x = np.round(rng.normal(size=(3000, width)), 1)
+    depth = max(1, int(np.ceil(np.log2(size))))
+    nodes = pd.concat([FO._grow_tree(x[rng.choice(3000, size, False)], t, depth, 3) for t in range(7)])
+    arrays = FO._forest_arrays(nodes, depth)
+    found = FO._scorer(*arrays, depth, width)
+    assert isinstance(found, FO.GriddedTrees)
+    odd = np.concatenate([x, np.full((1, width), np.inf), np.full((1, width), -np.inf), nodes["threshold"].dropna().to_numpy()[:5, None].repeat(width, 1)])
+    assert (found.sums(odd) == FO.WalkedTrees(*arrays, depth).sums(odd)).all()
+
+
+@pytest.mark.parametrize("width, size", [(30, 256), (3, 2000)])
+def test_many_features_and_deep_trees_are_walked(width, size):
+    rng = np.random.default_rng(5)
+    x, depth = rng.normal(size=(2000, width)), int(np.ceil(np.log2(size)))
+    nodes = FO._grow_tree(x[:size], 0, depth, 3)
+    assert isinstance(FO._scorer(*FO._forest_arrays(nodes, depth), depth, width), FO.WalkedTrees)

@@ -24,8 +24,10 @@ META_SCHEMA = ("features array<string>, depth int, max_samples int, contaminatio
 SCORE = "raw_score"
 # Hash values are compared as numbers below this one.
 RESOLUTION = 1 << 53
-# Rows walked down the trees at a time: keeps the working arrays in cache.
-CHUNK = 4096
+# Rows sent down the trees at a time: keeps the working arrays in cache.
+CHUNK = 1 << 14
+# Levels of a tree looked up at once, and the features and cells (8 bytes each) up to which that is done.
+LEVELS, GRID_FEATURES, GRID_CELLS = 4, 8, 1 << 23
 # Slots of all trees together, as they are sent to every task: about 1.5 GB.
 MAX_SLOTS = 1 << 26
 
@@ -159,21 +161,133 @@ def _forest_arrays(nodes: pd.DataFrame, depth: int) -> tuple[np.ndarray, np.ndar
     return feature, cut, path
 
 
-def _mean_depth(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, path: np.ndarray, depth: int) -> np.ndarray:
-    total = np.zeros(len(x))
-    inner = cut.shape[1]
-    for start in range(0, len(x), CHUNK):
-        part = np.ascontiguousarray(x[start:start + CHUNK])
-        flat, base = part.ravel(), np.arange(len(part)) * part.shape[1]
-        sums = np.zeros(len(part))
-        for tree in range(len(cut)):
-            slot = np.zeros(len(part), dtype=np.intp)
-            for _ in range(depth):
-                right = flat.take(base + feature[tree].take(slot)) > cut[tree].take(slot)
-                slot = 2 * slot + 1 + right
-            sums += path[tree].take(slot - inner)
-        total[start:start + CHUNK] = sums / len(cut)
-    return total
+@dataclass
+class WalkedTrees:
+    """Trees as complete heaps, walked a level at a time."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    path: np.ndarray
+    depth: int
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Per row the path lengths of all trees, added in the order of the trees."""
+        flat, base = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        total = np.zeros(len(x))
+        # All indexes lie inside: "wrap" only spares the check of each.
+        for feature, cut, path in zip(self.feature, self.cut, self.path):
+            slot = np.zeros(len(x), dtype=np.intp)
+            for _ in range(self.depth):
+                at = feature.take(slot, mode="wrap")
+                at += base
+                right = flat.take(at, mode="wrap") > cut.take(slot, mode="wrap")
+                slot += slot
+                slot += 1
+                slot += right
+            slot -= len(cut)
+            total += path.take(slot, mode="wrap")
+        return total
+
+
+@dataclass
+class GriddedTrees:
+    """Trees of few features as grids: ``LEVELS`` levels below a node are one look-up.
+
+    The cuts below a node divide each feature's values into intervals, and their
+    product into cells; a cell leads to one node further down. A value is ranked once among all cuts
+    of its feature; per tree the rank gives the interval among the tree's own cuts (``ranks``), and per step
+    the intervals of all features (``parts``) add up to the cell.
+    """
+
+    cuts: list[np.ndarray]
+    ranks: list[list[np.ndarray]]
+    steps: list[list[tuple[list[np.ndarray], np.ndarray]]]
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """As for walked trees."""
+        rank = [np.searchsorted(cuts, x[:, f]) for f, cuts in enumerate(self.cuts)]
+        total = np.zeros(len(x))
+        for ranks, steps in zip(self.ranks, self.steps):
+            place = [own.take(r, mode="wrap").astype(np.intp) for own, r in zip(ranks, rank)]
+            node = None
+            for parts, ends in steps:
+                cell = None
+                for part, at in zip(parts, place):
+                    share = part.take(at if node is None else node + at, mode="wrap")
+                    cell = share if cell is None else np.add(cell, share, out=cell)
+                node = ends.take(cell, mode="wrap")
+            total += node
+        return total
+
+
+def _below(root: int, levels: int) -> np.ndarray:
+    """The slots of the ``levels`` levels that start at slot ``root``, level by level."""
+    return np.concatenate([(root + 1) * 2**i - 1 + np.arange(2**i) for i in range(levels)])
+
+
+def _scorer(feature: np.ndarray, cut: np.ndarray, path: np.ndarray, depth: int, width: int) -> WalkedTrees | GriddedTrees:
+    """Grids where they stay small: that follows the model alone, and the sums are the same."""
+    starts = range(0, depth, LEVELS)
+    real = cut < np.inf
+    cells = 0
+    if width <= GRID_FEATURES and depth <= 2 * LEVELS:
+        for start in starts:
+            for root in range(2**start - 1, 2 ** (start + 1) - 1):
+                slots = _below(root, min(LEVELS, depth - start))
+                used = [((feature[:, slots] == f) & real[:, slots]).sum(axis=1) + 1 for f in range(width)]
+                cells += int(np.prod(used, axis=0, dtype=float).sum())
+    if not 0 < cells <= GRID_CELLS:
+        return WalkedTrees(feature, cut, path, depth)
+    cuts = [np.unique(cut[real & (feature == f)]) for f in range(width)]
+    ranks, steps = [], []
+    for tree in range(len(cut)):
+        own = [np.unique(cut[tree][real[tree] & (feature[tree] == f)]) for f in range(width)]
+        ranks.append([
+            np.searchsorted(np.searchsorted(cuts[f], own[f]), np.arange(len(cuts[f]) + 1)).astype(np.uint16) for f in range(width)
+        ])
+        places = max(map(len, own)) + 1
+        # The number of each slot's cut among the tree's own cuts of its feature.
+        number = np.full(cut.shape[1], places)
+        for f in range(width):
+            mine = real[tree] & (feature[tree] == f)
+            number[mine] = np.searchsorted(own[f], cut[tree][mine])
+        steps.append([
+            _step(feature[tree], number, path[tree], start, min(LEVELS, depth - start), depth, width, places) for start in starts
+        ])
+    return GriddedTrees(cuts, ranks, steps)
+
+
+def _step(
+    feature: np.ndarray, number: np.ndarray, path: np.ndarray, start: int, levels: int, depth: int, width: int, places: int
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """For all nodes of level ``start``: what each feature's interval adds to the cell, and where a cell leads."""
+    parts, ends, offset = [[] for _ in range(width)], [], 0
+    for node in range(2**start):
+        root = 2**start - 1 + node
+        slots = _below(root, levels)
+        slots = slots[number[slots] < places]
+        own = [np.unique(number[slots[feature[slots] == f]]) for f in range(width)]
+        shape = [len(o) + 1 for o in own]
+        cells = np.indices(shape).reshape(width, -1)
+        strides = [int(np.prod(shape[f + 1:], dtype=np.int64)) for f in range(width)]
+        for f in range(width):
+            interval = np.searchsorted(own[f], np.arange(places))
+            parts[f].append(interval * strides[f] + (offset if f == 0 else 0))
+        at = np.full(cells.shape[1], root)
+        for _ in range(levels):
+            bound = np.full(len(at), places)
+            for f in range(width):
+                mine = (feature[at] == f) & (number[at] < places)
+                bound[mine] = np.searchsorted(own[f], number[at[mine]])
+            at = 2 * at + 1 + (cells[feature[at], np.arange(len(at))] > bound)
+        first = 2 ** (start + levels) - 1
+        ends.append(path[at - first] if start + levels == depth else (at - first) * places)
+        offset += len(at)
+    return [np.concatenate(p).astype(np.intp) for p in parts], np.concatenate(ends)
+
+
+def _mean_depth(x: np.ndarray, trees: WalkedTrees | GriddedTrees, count: int) -> np.ndarray:
+    return np.concatenate([trees.sums(x[at:at + CHUNK]) / count for at in range(0, len(x), CHUNK)] or [np.empty(0)])
 
 
 def score_rows(model: ForestModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -186,19 +300,20 @@ def score_rows(model: ForestModel, df: DataFrame, keep: Sequence[str]) -> DataFr
     if slots > MAX_SLOTS:
         raise ValueError(f"trees of {slots} slots exceed the {MAX_SLOTS} that are sent to every task")
     arrays = _forest_arrays(model.nodes.toPandas(), model.depth)
-    shared = df.sparkSession.sparkContext.broadcast(arrays)
-    keep, depth = list(keep), model.depth
+    shared = df.sparkSession.sparkContext.broadcast(_scorer(*arrays, model.depth, len(model.features)))
+    count = len(arrays[0])
+    keep = list(keep)
     norm = path_correction(model.max_samples) or 1.0
     names = [f"__f{i}" for i in range(len(model.features))]
     rows = spread(df.select(*keep, *[F.col(c).cast("double").alias(n) for c, n in zip(model.features, names)]))
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(SCORE, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feature, cut, path = shared.value
+        trees = shared.value
         for batch in batches:
             x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
             missing = np.isnan(x).any(axis=1)
-            raw = 2.0 ** (-_mean_depth(x, feature, cut, path, depth) / norm)
+            raw = 2.0 ** (-_mean_depth(x, trees, count) / norm)
             kept = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(raw, mask=missing)], [*keep, SCORE])
 
