@@ -8,7 +8,7 @@ Many series are fitted in the same job.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -147,7 +147,11 @@ def fit_forecast(numbered: DataFrame, cfg: ForecastConfig = ForecastConfig(), by
 
         for batch in batches:
             schema = batch.schema
-            x = _design(batch, width, order)
+            us, t0, span, y, y_scale = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("__us", "__t0", "__span", "__y", "__y_scale")
+            )
+            columns = {"us": us, "t0": t0, "span": span, "changepoints": batch.column("__changepoints")}
+            x = np.column_stack([_design(columns, width, order), y / y_scale])
             for key, rows in _series_rows(batch, by):
                 part = x[rows]
                 open_sums[key] = open_sums.get(key, 0.0) + part.T @ part
@@ -208,19 +212,18 @@ def _series_rows(batch: pa.RecordBatch, by: Sequence[str]) -> Iterator[tuple[tup
         yield tuple(batch.column(c)[int(rows[0])].as_py() for c in by), rows
 
 
-def _design(batch: pa.RecordBatch, width: int, order: int) -> np.ndarray:
-    """Slope, offset, hinges, daily harmonics and scaled value of every row of a batch."""
-    us, t0, span, y, y_scale = (
-        batch.column(c).to_numpy(zero_copy_only=False) for c in ("__us", "__t0", "__span", "__y", "__y_scale")
-    )
+def _design(part: Mapping, width: int, order: int) -> np.ndarray:
+    """Slope, offset, hinges and daily harmonics of every row; ``part`` holds ``us``, ``t0``, ``span`` and ``changepoints``."""
+    us, t0, span = (np.asarray(part[c]) for c in ("us", "t0", "span"))
     t = (us - t0) / span
     points = np.full((len(t), width), np.inf)
-    lists = batch.column("__changepoints")
+    lists = part["changepoints"]
+    lists = lists if isinstance(lists, pa.Array) else pa.array(lists)
     points[np.arange(width) < np.asarray(pc.list_value_length(lists))[:, None]] = lists.flatten().to_numpy()
     hinges = np.maximum(t[:, None] - points, 0.0)
     angle = 2 * math.pi * (us % DAY_US) / DAY_US
     waves = [f(k * angle) for k in range(1, order + 1) for f in (np.sin, np.cos)]
-    return np.column_stack([t, np.ones_like(t), hinges, *waves, y / y_scale])
+    return np.column_stack([t, np.ones_like(t), hinges, *waves])
 
 
 def _solution(gram: np.ndarray, upper: tuple, size: int, width: int, order: int, scale: float) -> tuple:
