@@ -100,3 +100,42 @@ def test_lengths_are_searched_apart(spark):
     vectors = [[1, 0], [1, 2, 3], [2, 1], [1, 0, 1], [3, 0, 0], [5]]
     found = ann.nearest(frame(spark, vectors, [0, 20, 1, 2, 3, 40]), F.col("vec_id") % 20 == 0).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == [(0, 1, 1, 2.0), (20, 1, 2, 4.0), (20, 2, 3, 3.0)]
+
+
+@pytest.mark.parametrize("arrays", [1, 2, 3, 512, 613])
+def test_bits_are_counted(arrays):
+    bits = np.random.default_rng(arrays).integers(0, 2, (arrays, 3, 128), np.uint8)
+    planes = np.packbits(bits, axis=2, bitorder="little").view(np.uint64)
+    sums = ann.count_bits(iter(planes))
+    want = bits.sum(0, dtype=int)
+    got = sum(np.unpackbits(s.view(np.uint8), axis=1, bitorder="little").astype(int) << w for w, s in enumerate(sums))
+    assert (got == want).all()
+    for least in (1, arrays // 2 + 1, arrays, arrays + 1, 5000):
+        found = np.unpackbits(ann.at_least(sums, least).view(np.uint8), axis=1, bitorder="little")
+        assert (found == (want >= least)).all()
+
+
+@pytest.mark.parametrize("rows", [1, 7, 200, 3000])
+def test_windows_reach_the_nearest_step(rows):
+    """Counts are those of the windows themselves, but for half a step at either end; without steps of several rows they are equal."""
+    rng = np.random.default_rng(rows)
+    x = rng.standard_normal((rows, 16))
+    norm = np.linalg.norm(x, axis=1).max()
+    block = ann.Block(np.arange(rows), x, norm)
+    lifted = np.column_stack([x, np.sqrt(np.maximum(0, norm**2 - (x**2).sum(1)))]) @ block.axes
+    queries = rng.standard_normal((5, 16)) @ block.axes[:-1]
+    for half in (0.1, 2.0, 100.0):
+        sums = block.collisions(queries.T.copy(), np.full(5, half))
+        got = sum(np.unpackbits(s.view(np.uint8), axis=1, count=rows, bitorder="little").astype(int) << w for w, s in enumerate(sums))
+        want = (np.abs(lifted[None] - queries[:, None]) <= half).sum(2)
+        assert np.abs(got - want).max() <= (0 if rows <= ann.STEPS else 20)
+
+
+def test_few_rounds_for_many_queries(monkeypatch):
+    """The first radius is near the last, and the queries of a round are counted together."""
+    x = np.random.default_rng(5).standard_normal((4096, 64))
+    block, asked, counted = ann.Block(np.arange(4096), x, np.linalg.norm(x, axis=1).max()), np.arange(0, 4096, 16), []
+    collisions = ann.Block.collisions
+    monkeypatch.setattr(ann.Block, "collisions", lambda self, at, half: counted.append(len(half)) or collisions(self, at, half))
+    block.search(asked, x[asked], 20)
+    assert sum(counted) <= 6 * len(asked) and len(counted) <= len(asked) // 2

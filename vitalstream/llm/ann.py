@@ -4,12 +4,12 @@ Largest inner products become nearest neighbours: with M the greatest norm,
 a vector x gets the further coordinate sqrt(M^2 - |x|^2), a query q is scaled to
 norm M and gets 0, and the nearest of these points have the largest products.
 Each of some random projections (``hashes_for``) orders the vectors of a block in one
-sorted array. Around a query's own projection a window is opened; a vector in
-it collides. A round widens all windows (virtual rehashing: nothing is
+sorted array, which bit arrays at equal steps stand for. Around a query's own projection a window is opened, to the nearest step; a vector in
+it collides. Collisions are added up bit by bit, 64 vectors and many queries at a time. A round widens all windows (virtual rehashing: nothing is
 hashed again), and a vector that collides in enough of the projections (``least_share``) is verified
 by its exact product. At each radius a vector within it is verified with a probability of
 0.95 or more. The search in a block ends if the ``k`` best so far lie within the radius, or if nothing is left; there is no
-cap on what is verified. The next radius is the distance of the ``k``-th best so far, or, with fewer than ``k``, what the
+cap on what is verified. The first radius is what a quarter of up to ``SOME`` vectors of the block need for ``k`` neighbours; the next is the distance of the ``k``-th best so far, or, with fewer than ``k``, what the
 ``k``-th greatest count makes likely; it grows by ``GROWTH`` at least, and by no more once there are ``k``.
 
 Distances of vectors without clusters differ by about one part in the root of their dimension, so
@@ -23,6 +23,9 @@ query only the best ``k`` of a block leave it.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+from functools import cached_property
 from statistics import NormalDist
 
 import numpy as np
@@ -33,9 +36,11 @@ from vitalstream.llm.common import col, materialise
 
 #: Projections for vectors of 64 components or fewer, and for each component of longer ones.
 K, HASHES, PER_COMPONENT = 20, 512, 8
-#: The first radius as a share of M, its growth by round, and half a window's width by radius.
+#: The least first radius as a share of M, its growth by round, and half a window's width by radius.
 RADIUS, GROWTH, WIDTH = 0.5, 1.05, 0.95
-BLOCK_CELLS, QUERY_ROWS, SEED = 1 << 22, 1024, 42
+BLOCK_CELLS, QUERY_ROWS, SEED = 1 << 22, 4096, 42
+#: Parts of a sorted array, queries counted together, and vectors that the first radius is taken from, at most.
+STEPS, TOGETHER, SOME = 256, 32, 64
 NORMAL = NormalDist()
 
 
@@ -128,38 +133,100 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
 
+def count_bits(planes: Iterable[np.ndarray]) -> list[np.ndarray]:
+    """Column sums of many bit arrays of one shape, as bit arrays again: the ones, twos, fours and so on.
+
+    A full adder makes one array of a weight and one of the next out of three, for all 64 columns of a word at once.
+    """
+    waiting: list[list[np.ndarray]] = []
+
+    def add(plane: np.ndarray, weight: int) -> None:
+        if weight == len(waiting):
+            waiting.append([])
+        waiting[weight].append(plane)
+        if len(waiting[weight]) == 3:
+            x, y, z = waiting[weight]
+            odd = x ^ y
+            waiting[weight] = [odd ^ z]
+            add((x & y) | (odd & z), weight + 1)
+
+    for plane in planes:
+        add(plane, 0)
+    for weight, held in enumerate(waiting):  # carries may add a weight
+        if len(held) == 2:
+            add(np.zeros_like(held[0]), weight)
+    return [held[0] for held in waiting]
+
+
+def at_least(sums: list[np.ndarray], least: int) -> np.ndarray:
+    """The columns whose sum, as ``count_bits`` gives it, is ``least`` or more."""
+    if least >> len(sums):
+        return np.zeros_like(sums[0])
+    out = ~np.zeros_like(sums[0])
+    for weight, bits in enumerate(sums):
+        out = bits & out if least >> weight & 1 else bits | out
+    return out
+
+
 class Block:
-    """Sorted arrays of the projections of some vectors; ``verified`` counts the products taken by all searches."""
+    """Sorted projections of some vectors; ``verified`` counts the products taken by all searches.
+
+    A sorted array is cut into ``STEPS`` equal parts, and a bit array tells for each cut which rows stand before it. A window
+    ends at the nearest cuts; its rows are the difference of two bit arrays, and the collisions of all rows
+    are added up 64 at a time.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float):
+        n, dim = vectors.shape
         self.ids, self.vectors, self.norm, self.verified = ids, vectors, norm, 0
         rest = np.sqrt(np.maximum(0.0, norm**2 - np.einsum("ij,ij->i", vectors, vectors)))
-        hashes = hashes_for(vectors.shape[1])
-        self.axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, hashes))
-        self.least = least_share(hashes) * hashes
-        projected = (vectors @ self.axes[:-1] + rest[:, None] * self.axes[-1]).T
-        order = np.argsort(projected, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(projected, order, axis=1)
-        self.order = order.astype(np.min_scalar_type(len(ids)))
-
-    def places(self, at: np.ndarray) -> np.ndarray:
-        """In every sorted array the first place that is not below ``at``."""
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.ids))
-        arrays = np.arange(len(at))
-        while (low < high).any():
-            middle = (low + high) // 2
-            below = (low < high) & (self.sorted[arrays, np.minimum(middle, len(self.ids) - 1)] < at)
-            low, high = np.where(below, middle + 1, low), np.where(below, high, middle)
-        return low
-
-    def collide(self, counts: np.ndarray, starts: list[int], ends: list[int]) -> None:
-        """Count the rows in the given places of the sorted arrays, those below the query first."""
-        arrays, many = len(self.order), 16
-        for first in range(0, 2 * arrays, many):
-            last = first + many
-            order = self.order[first % arrays : first % arrays + many]
-            ring = [o[a:b] for o, a, b in zip(order, starts[first:last], ends[first:last])]
-            counts += np.bincount(np.concatenate(ring, dtype=np.intp), minlength=len(counts))
+        hashes = hashes_for(dim)
+        self.axes = np.random.default_rng(SEED).standard_normal((dim + 1, hashes))
+        self.least = math.ceil(least_share(hashes) * hashes)
+        projected = np.ascontiguousarray((vectors @ self.axes[:-1] + rest[:, None] * self.axes[-1]).T)
+        order = np.argsort(projected, axis=1)
+        self.order = order.astype(np.min_scalar_type(n))
+        steps = min(STEPS, n)
+        self.cuts = np.arange(steps + 1) * n // steps
+        #: The value in the middle of each part.
+        self.middles = np.take_along_axis(projected, order[:, (self.cuts[:-1] + self.cuts[1:]) // 2], axis=1)
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        """By sorted array and cut the rows before the cut."""
+        hashes, n = self.order.shape
+        steps = len(self.cuts) - 1
+        numbers = np.repeat(np.arange(1, steps + 1, dtype=np.int16), np.diff(self.cuts))
+        out = np.zeros((hashes, steps + 1, -(-n // 64) * 8), np.uint8)
+        # By array, so that what is written stays in the processor's cache.
+        parts = np.empty(n, np.int16)
+        for order, bits in zip(self.order, out):
+            parts[order] = numbers
+            for bit in range(8):  # rows eight apart: no byte is written twice at once
+                own = parts[bit::8]
+                bits[own, np.arange(len(own))] |= np.uint8(1 << bit)
+            np.bitwise_or.accumulate(bits, axis=0, out=bits)
+        return out.view(np.uint64)
+
+    def start(self, k: int) -> float:
+        """A first radius: what a quarter of some vectors of the block need for their ``k`` nearest, ``RADIUS`` of M at least."""
+        some = self.vectors[:: -(-len(self.ids) // SOME)]
+        sizes = np.sqrt(np.einsum("ij,ij->i", some, some))
+        products = some @ self.vectors.T * (self.norm / sizes)[:, None]
+        at = max(0, len(self.ids) - k - 1)
+        near = np.partition(products, at, axis=1)[:, at]
+        return max(RADIUS * self.norm, float(np.quantile(np.sqrt(np.maximum(0.0, 2 * self.norm**2 - 2 * near * self.norm)), 0.25)))
+
+    def collisions(self, at: np.ndarray, half: np.ndarray) -> list[np.ndarray]:
+        """Per query the collisions of all rows, as ``count_bits`` gives them; ``at`` has an array's places in a row."""
+
+        def planes():
+            for j, bits in enumerate(self.bits):
+                low = self.middles[j].searchsorted(at[j] - half)
+                high = self.middles[j].searchsorted(at[j] + half, "right")
+                yield bits[low] ^ bits[high]
+
+        return count_bits(planes())
 
     def likely(self, counts: np.ndarray, radius: float, k: int) -> float:
         """The distance at which a vector collides as often as that with the ``k``-th greatest count does at ``radius``."""
@@ -169,31 +236,49 @@ class Block:
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query (id ``own``) the ids and products of the best found."""
+        n, total = len(self.ids), len(own)
         sizes = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        at = np.ascontiguousarray((queries @ self.axes[:-1] * (self.norm / sizes)[:, None]).T)
+        done = np.zeros((total, self.bits.shape[2]), np.uint64)
+        rows = done.view(np.uint8)
+        by_id = np.argsort(self.ids, kind="stable")
+        first, last = (self.ids[by_id].searchsorted(own, side) for side in ("left", "right"))
+        for i in np.flatnonzero(first < last):
+            np.bitwise_or.at(rows[i], by_id[first[i] : last[i]] >> 3, (1 << (by_id[first[i] : last[i]] & 7)).astype(np.uint8))
+        left = n - (last - first)
+        found, scores = [np.empty(0, np.int64)] * total, [np.empty(0)] * total
+        radius, active = np.full(total, self.start(k)), np.flatnonzero(left > 0)
+        while len(active):
+            goes_on = []
+            for some in np.split(active, range(TOGETHER, len(active), TOGETHER)):
+                sums = self.collisions(at[:, some], WIDTH * radius[some])
+                fresh = at_least(sums, self.least) & ~done[some]
+                done[some] |= fresh
+                fresh = np.unpackbits(fresh.view(np.uint8), axis=1, bitorder="little").view(bool)
+                for place, i in enumerate(some):
+                    new = np.flatnonzero(fresh[place])
+                    found[i] = np.concatenate([found[i], new])
+                    scores[i] = np.concatenate([scores[i], np.einsum("ij,j->i", self.vectors[new], queries[i])])
+                    if len(found[i]) == left[i]:
+                        continue
+                    if len(found[i]) < k:
+                        counts = sum(
+                            np.unpackbits(bits[place].view(np.uint8), count=n, bitorder="little").astype(np.int64) << weight
+                            for weight, bits in enumerate(sums)
+                        )
+                        radius[i] = max(radius[i] * GROWTH, 0.95 * self.likely(counts, radius[i], k))
+                        goes_on.append(i)
+                        continue
+                    # |x - q|^2 = 2 M^2 - 2 M x.q / |q| for the lifted points.
+                    worst = np.partition(scores[i], len(scores[i]) - k)[len(scores[i]) - k]
+                    reach = max(0.0, 2 * self.norm**2 - 2 * self.norm * worst / sizes[i]) ** 0.5
+                    if reach > radius[i]:
+                        radius[i] = min(radius[i] * GROWTH, reach * (1 + 1e-12))
+                        goes_on.append(i)
+            active = np.array(goes_on, np.int64)
         out = []
-        for me, query, size in zip(own, queries, sizes):
-            at = query @ self.axes[:-1] * (self.norm / size)
-            counts, done = np.zeros(len(self.ids), np.int64), self.ids == me
-            found, scores, radius = np.empty(0, np.int64), np.empty(0), RADIUS * self.norm
-            low = high = self.places(at)
-            while not done.all():
-                lows, highs = self.places(at - WIDTH * radius), self.places(at + WIDTH * radius)
-                self.collide(counts, lows.tolist() + high.tolist(), low.tolist() + highs.tolist())
-                low, high = lows, highs
-                fresh = np.flatnonzero((counts >= self.least) & ~done)
-                done[fresh] = True
-                found = np.concatenate([found, fresh])
-                scores = np.concatenate([scores, np.einsum("ij,j->i", self.vectors[fresh], query)])
-                if len(found) < k:
-                    radius = max(radius * GROWTH, 0.95 * self.likely(counts, radius, k))
-                    continue
-                # |x - q|^2 = 2 M^2 - 2 M x.q / |q| for the lifted points.
-                worst = np.partition(scores, len(scores) - k)[len(scores) - k]
-                reach = max(0.0, 2 * self.norm**2 - 2 * self.norm * worst / size) ** 0.5
-                if reach <= radius:
-                    break
-                radius = min(radius * GROWTH, reach * (1 + 1e-12))
-            self.verified += len(found)
-            best = np.lexsort((self.ids[found], -scores))[:k]
-            out.append((self.ids[found[best]], scores[best]))
+        for i in range(total):
+            self.verified += len(found[i])
+            best = np.lexsort((self.ids[found[i]], -scores[i]))[:k]
+            out.append((self.ids[found[i][best]], scores[i][best]))
         return out
