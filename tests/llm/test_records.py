@@ -90,3 +90,20 @@ def test_memory_of_words_is_bounded_in_bytes():
         kept = sum(len(w) + len(i) + 180 for d in (mine.words, mine.older) for w, i in d.items())
         assert kept <= 2 * (1 << 16) + 200 * 220
     assert mine.older
+
+
+@pytest.mark.parametrize("memory", [900, 96 << 20])
+def test_texts_together_equal_the_library(monkeypatch, memory):
+    """Many texts at once give the ids of each alone, and a word is looked up once however often it stands."""
+    monkeypatch.setattr("vitalstream.llm.tokens.STRIDE", 2000)
+    lib, mine, rng = library(), Encoder(tokenizer_path(), memory), seeded(11)
+    texts = [*odd_texts(rng), "a\x00b c", "\x00", "x y. z, " * 900, "ü ß. ,", prose(rng, 300), " end ", "  two  ", "a . b ,c"]
+    got = mine.encode_all(texts)
+    for text, ids in zip(texts, got.to_pylist(), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text or "", add_special_tokens=False).ids
+    assert mine.encode_all([]).to_pylist() == [] and mine.encode_all([None, ""]).to_pylist() == [b"", b""]
+    asked = []
+    learn = Encoder._learn
+    monkeypatch.setattr(Encoder, "_learn", lambda self, word: asked.append(word) or learn(self, word))
+    Encoder(tokenizer_path()).encode_all(["one two"] * 500 + ["two one two"] * 500)
+    assert sorted(asked) == sorted([" one", " two", "one", "two"])

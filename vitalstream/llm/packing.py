@@ -17,12 +17,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from vitalstream.llm.common import col, materialise, pieces_of
 from vitalstream.llm.tokens import encoder, tokenizer_path
 
 WINDOW, PIECE, GROUP, END_ID = 1024, 512, 256, 0
+#: Bytes of text that are encoded together.
+TEXT_BYTES = 1 << 24
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, whole boolean"
 
 
@@ -92,23 +95,23 @@ def _cut(window: int, piece: int, tokenizer: str, end_id: int):
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encode = encoder(tokenizer).encode
+        encode_all = encoder(tokenizer).encode_all
         for batch in batches:
-            for part in pieces_of(batch, "text", 1 << 22):
-                found = [encode(text) + end for text in part.column("text").to_pylist()]
-                sizes = [len(ids) // 4 for ids in found]
-                edges = [_edges(n, window, piece) for n in sizes]
+            for part in pieces_of(batch, "text", TEXT_BYTES):
+                found = pc.binary_join_element_wise(encode_all(part.column("text").to_pylist()), end, b"")
+                sizes = pc.binary_length(found).to_numpy() // 4
+                edges = [_edges(n, window, piece) for n in sizes.tolist()]
                 row = np.repeat(np.arange(len(sizes)), [len(e) - 1 for e in edges])
                 start = np.concatenate([e[:-1] for e in edges])
                 length = np.concatenate([np.diff(e) for e in edges])
                 # Pieces follow each other in the joined ids.
                 ends = np.concatenate([[0], 4 * np.cumsum(length)]).astype(np.int32)
                 ids = pa.Array.from_buffers(
-                    pa.binary(), len(row), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(found))]
+                    pa.binary(), len(row), [None, pa.py_buffer(ends.tobytes()), found.buffers()[2]]
                 )
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length),
-                    pa.array(np.array(sizes, np.int64)[row]), ids, pa.array(length == window),
+                    pa.array(sizes.astype(np.int64)[row]), ids, pa.array(length == window),
                 ], names)
 
     return run

@@ -6,9 +6,13 @@ import gc
 import os
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -31,12 +35,13 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """The letter that byte-level tokenizers write for each byte: itself if printable, else one from 256 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     letters = {b: chr(b) for b in printable}
     rest = (b for b in range(256) if b not in letters)
-    return letters | {b: chr(256 + i) for i, b in enumerate(rest)}
+    letters |= {b: chr(256 + i) for i, b in enumerate(rest)}
+    return "".join(letters[b] for b in range(256))
 
 
 class Encoder:
@@ -75,29 +80,67 @@ class Encoder:
             yield self._ids(text[at:end])
             at = end
 
+    def encode_all(self, texts: list[str | None]) -> pa.Array:
+        """The ids of every text as ``encode`` gives them, one binary value each.
+
+        The words of all texts are split and numbered by Arrow, so that each distinct word is looked up once and not at
+        every place. Texts above ``STRIDE`` characters and those that hold the seam are encoded one by one.
+        """
+        apart = {i: self.encode(t) for i, t in enumerate(texts) if t and (len(t) > STRIDE or SEAM in t)}
+        seams = [self._seams(t or "") for i, t in enumerate(texts) if i not in apart]
+        words = pc.split_pattern(pa.array(seams, pa.string()), SEAM)
+        numbered = words.values.dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        ids = pa.array(self._all_ids(distinct), pa.binary()).take(numbered.indices)
+        _, ends, data = ids.buffers()
+        # Where a text's words end, its ids do.
+        ends = pa.array(np.frombuffer(ends, np.int32)[words.offsets.to_numpy()])
+        found = pa.Array.from_buffers(pa.binary(), len(seams), [None, ends.buffers()[1], data])
+        if not apart:
+            return found
+        order = np.argsort([i for i in range(len(texts)) if i not in apart] + list(apart))
+        return pa.concat_arrays([found, pa.array(apart.values(), pa.binary())]).take(pa.array(order))
+
+    def _all_ids(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.words.get, words))
+        for at, i in enumerate([i for i, ids in enumerate(found) if ids is None]):
+            if at % 4096 == 0:
+                self._forget()
+            found[i] = self._learn(words[i])
+        return found
+
     def _ids(self, text: str) -> bytes:
         if SEAM in text:
             return self._pieces(text)
+        seams = self._seams(text)
+        self._forget()
+        words = seams.split(SEAM)
+        found = list(map(self.words.get, words))
+        if None in found:
+            for i in [i for i, ids in enumerate(found) if ids is None]:
+                found[i] = self._word(words[i])
+        return b"".join(found)
+
+    @staticmethod
+    def _seams(text: str) -> str:
         seams = text.replace(" ", SEAM + " ").replace(",", SEAM + ",").replace(".", SEAM + ".")
         if WRONG_SPACE.search(seams) or WRONG_MARK.search(seams):
-            seams = CUT.sub(SEAM + " ", text)
+            return CUT.sub(SEAM + " ", text)
+        return seams
+
+    def _forget(self) -> None:
         if self.held > self.limit:
             self.older, self.words, self.held = self.words, {}, 0
         if self.fresh_held > self.limit:
             self.older = self.older or self.fresh  # room that no words met again take yet
             self.fresh, self.fresh_held = {}, 0
-        words = seams.split(SEAM)
-        found = list(map(self.words.get, words))
-        if None in found:
-            for i in [i for i, ids in enumerate(found) if ids is None]:
-                found[i] = self._word(words[i])
-        return b"".join(found)
 
     def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)  # met before in the same text
+        return self._learn(word) if ids is None else ids
+
+    def _learn(self, word: str) -> bytes:
         """The ids of a word with the space or mark before it; met again, it is remembered for long."""
-        ids = self.words.get(word)
-        if ids is not None:  # met before in the same text
-            return ids
         ids = self.older.get(word) or self.fresh.get(word)
         if ids:
             self.words[word] = ids
@@ -121,7 +164,7 @@ class Encoder:
         return b"".join([self._ids_of(self._lettered(piece)) for piece in self.split(text)])
 
     def _lettered(self, piece: str) -> str:
-        return (piece if piece.isascii() else piece.encode().decode("latin-1")).translate(self.letters)
+        return charmap_decode(piece.encode(), "strict", self.letters)[0]
 
     def _ids_of(self, lettered: str) -> bytes:
         return array("I", [t.id for t in self.tokenize(lettered)]).tobytes()
