@@ -39,8 +39,8 @@ K, HASHES, PER_COMPONENT = 20, 512, 8
 #: The least first radius as a share of M, its growth by round, and half a window's width by radius.
 RADIUS, GROWTH, WIDTH = 0.5, 1.05, 0.95
 BLOCK_CELLS, QUERY_ROWS, SEED = 1 << 22, 4096, 42
-#: Parts of a sorted array, queries counted together, and vectors that the first radius is taken from, at most.
-STEPS, TOGETHER, SOME = 256, 32, 64
+#: Parts of a sorted array in a block of full size, queries counted together, and vectors that the first radius is taken from, at most.
+STEPS, TOGETHER, SOME = 256, 128, 64
 NORMAL = NormalDist()
 
 
@@ -171,7 +171,7 @@ def at_least(sums: list[np.ndarray], least: int) -> np.ndarray:
 class Block:
     """Sorted projections of some vectors; ``verified`` counts the products taken by all searches.
 
-    A sorted array is cut into ``STEPS`` equal parts, and a bit array tells for each cut which rows stand before it. A window
+    A sorted array is cut into equal parts, ``STEPS`` in a block of full size and more in smaller ones, down to single rows. A bit array tells for each cut which rows stand before it. A window
     ends at the nearest cuts; its rows are the difference of two bit arrays, and the collisions of all rows
     are added up 64 at a time.
     """
@@ -186,7 +186,7 @@ class Block:
         projected = np.ascontiguousarray((vectors @ self.axes[:-1] + rest[:, None] * self.axes[-1]).T)
         order = np.argsort(projected, axis=1)
         self.order = order.astype(np.min_scalar_type(n))
-        steps = min(STEPS, n)
+        steps = min(n, max(STEPS, STEPS * BLOCK_CELLS // self.order.size))
         self.cuts = np.arange(steps + 1) * n // steps
         #: The value in the middle of each part.
         self.middles = np.take_along_axis(projected, order[:, (self.cuts[:-1] + self.cuts[1:]) // 2], axis=1)
