@@ -64,6 +64,28 @@ def test_components_equal_brute_force(spark, monkeypatch, block):
     check(spark, ids, texts)
 
 
+def test_joins_with_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes exploded rows and stored tables too low, so a broadcast of them can exceed the driver's memory."""
+    plans = []
+
+    def noting(f):
+        def run(df, *name):
+            plans.append((*name, df._jdf.queryExecution().executedPlan().toString()))
+            return f(df, *name)
+
+        return run
+
+    for name in ("materialise", "components"):
+        monkeypatch.setattr(minhash, name, noting(getattr(minhash, name)))
+    rng = seeded(14)
+    texts = families(rng)
+    check(spark, list(range(len(texts))), texts)
+    # The texts of candidates are joined by a table of hashes, which do not compress.
+    planned = [p for *name, p in plans if name != ["candidate-sets"]]
+    assert len(planned) == len(plans) - 1 and sum("SortMergeJoin" in p for p in planned) >= 7
+    assert not any("BroadcastHashJoin" in p for p in planned)
+
+
 def test_odd_documents(spark):
     rng = seeded(12)
     a = prose(rng, 80)

@@ -18,6 +18,10 @@ confirmed on their full sets. A bucket is not unfolded into its pairs:
    only links that join two components leave it.
 
 So every pair that shares a key and lies in different components is compared, however large the bucket.
+
+Spark sizes a table by its compressed file and by default widths of its columns, and an exploded row like the row it
+comes from. Such sizes can be far too low, so joins with these tables are sort-merge joins by hint (``_merged``), and
+none of them is sent to the driver for a broadcast.
 """
 
 from __future__ import annotations
@@ -97,6 +101,11 @@ def _signed(docs: DataFrame, size: int, rows: int, parts: int, seed: int) -> Dat
     return docs.withColumns({"at": F.monotonically_increasing_id(), "md5": _md5()}).mapInArrow(run, schema)
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """``df`` for a sort-merge join, neither side of which is broadcast."""
+    return df.hint("merge")
+
+
 def _md5():
     return F.unhex(F.md5("text"))
 
@@ -174,10 +183,10 @@ def near_duplicates(
     sides = materialise(_live_sides(sets, parts), "live-hashes")
     members = materialise(_members(sides), "table-members")
     ends = members.select("at").unionByName(members.select(F.col("pivot").alias("at"))).distinct()
-    wanted = materialise(sets.select("at", "md5", "n").join(ends, "at", "left_semi"), "candidates")
+    wanted = materialise(sets.select("at", "md5", "n").join(_merged(ends), "at", "left_semi"), "candidates")
     held = materialise(_held(wanted, texts, shingle, seed), "candidate-sets")
     found = components(_links(sides, members, held, percent))
-    named = sets.select("digest", "least", "at").join(found.withColumnRenamed("vertex", "at"), "at", "left").select(
+    named = sets.select("digest", "least", "at").join(_merged(found.withColumnRenamed("vertex", "at")), "at", "left").select(
         "digest", "least", F.coalesce("root", "at").alias("root")
     )
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -197,7 +206,7 @@ def _live_sides(sets: DataFrame, parts: int) -> DataFrame:
     )
     live = hashes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     side = lambda flag: F.collect_list(F.when(flag, F.col("h")))
-    return hashes.join(live, "h").groupBy("at").agg(
+    return hashes.join(_merged(live), "h").groupBy("at").agg(
         side(F.col("is_a")).alias("a"), side(~F.col("is_a")).alias("b")
     ).where("size(a) > 0 and size(b) > 0")
 
@@ -208,14 +217,14 @@ def _members(sides: DataFrame) -> DataFrame:
         "at", "a", F.xxhash64("a", "b").alias("key")
     )
     tables = keyed.groupBy("key").agg(F.min("at").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return keyed.join(tables, "key").where("at <> pivot").select("at", "a", "pivot")
+    return keyed.join(_merged(tables), "key").where("at <> pivot").select("at", "a", "pivot")
 
 
 def _links(sides: DataFrame, members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between distinct sets with the components of all links among candidates."""
     sizes = held.select("at", "n")
     met = members.select(F.col("pivot").alias("a"), F.col("at").alias("b")).distinct()
-    met = met.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(
+    met = met.join(_merged(sizes.toDF("a", "na")), "a").join(_merged(sizes.toDF("b", "nb")), "b").where(
         F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     ).select("a", "b")
     first = materialise(_confirmed(met, held, percent), "first-links")
@@ -237,18 +246,19 @@ def _confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                 ok[k] = 100 * both >= percent * (len(p) + len(q) - both)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(_merged(left), "a").join(_merged(right), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _open_links(sides: DataFrame, members: DataFrame, held: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """Links between members of different components that share a table, enough to join what is linked."""
-    labels = materialise(held.select("at", "n").join(named.withColumnRenamed("vertex", "at"), "at", "left").select(
+    labels = materialise(held.select("at", "n").join(_merged(named.withColumnRenamed("vertex", "at")), "at", "left").select(
         "at", "n", F.coalesce("root", "at").alias("label")
     ), "labels")
     # A table is open if a member is not in its pivot's component; all who share the table's hash of A may be in it.
-    known = labels.select("at", "label")
-    opened = members.join(known, "at").join(known.toDF("pivot", "other"), "pivot").where("label <> other").select("a").distinct()
-    rows = sides.select("at", F.explode("a").alias("a")).join(opened, "a").join(labels, "at")
+    known = _merged(labels.select("at", "label"))
+    other = _merged(labels.select(F.col("at").alias("pivot"), F.col("label").alias("other")))
+    opened = members.join(known, "at").join(other, "pivot").where("label <> other").select("a").distinct()
+    rows = sides.select("at", F.explode("a").alias("a")).join(_merged(opened), "a").join(_merged(labels), "at")
     rows = materialise(rows.select("a", "at", "label", (F.col("n") + MEMBER).alias("n")), "open-members")
     # Groups with the same members are one. Two members have met already.
     mixed = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
@@ -259,9 +269,10 @@ def _open_links(sides: DataFrame, members: DataFrame, held: DataFrame, named: Da
     groups = groups.groupBy("c", "sum", "sum2", "low", "high").agg(F.min(F.struct("a", "n", "first")).alias("g")).select(
         "g.a", "g.first", F.expr(f"g.n div {BLOCK_SHINGLES}").alias("asked")
     )
-    rows = rows.join(groups, "a")
+    rows = rows.join(_merged(groups), "a")
     asking = rows.where("label <> first").groupBy("a").agg(F.expr(f"sum(n) div {BLOCK_SHINGLES}").alias("asking"))
-    rows = rows.join(asking, "a")
+    # A large group is dealt anew before its members are copied for the blocks.
+    rows = rows.join(_merged(asking), "a").repartition("at")
     block = lambda n: F.pmod(F.xxhash64("at"), F.col(n) + 1)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n)))
     # A member stays in its block of the asked and meets every block of those that ask.
@@ -271,7 +282,7 @@ def _open_links(sides: DataFrame, members: DataFrame, held: DataFrame, named: Da
     asking = rows.where("label <> first").select(
         "a", "at", "label", F.lit(True).alias("asks"), every("asked").alias("there"), block("asking").alias("here")
     )
-    dealt = asked.unionByName(asking).join(held.select("at", "shingles"), "at")
+    dealt = asked.unionByName(asking).join(_merged(held.select("at", "shingles")), "at")
 
     def run(group: pa.Table) -> pa.Table:
         a, b = _forest(group, percent)
